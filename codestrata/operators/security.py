@@ -41,6 +41,24 @@ def looks_random(rule: fv.Rule) -> str:
     return f"get(transform(array({value}), v -> {enough}), 0)"
 
 
+def secret_values(lines: DataFrame) -> DataFrame:
+    """``(file_id, path, line_no, rule_no, value, entropy)`` of all rules that test entropy."""
+    found = ", ".join(
+        f"CASE WHEN {text.holds_any_sql('low', r.needs)}"
+        f" AND line RLIKE {sql_string(to_java(r.pattern))} THEN named_struct('rule_no', {n},"
+        f" 'value', {text.secret_value_sql('line', r.pattern, r.entropy_groups)}) END"
+        for n, r in enumerate(fv.SECURITY_RULES, start=1)
+        if r.entropy_groups
+    )
+    values = per_lowered_line(f"CASE WHEN {ELIGIBLE} THEN array_compact(array({found})) END")
+    return (
+        lines.select("file_id", "path", "line_no", F.explode_outer(F.expr(values)).alias("f"))
+        .filter(F.col("f").isNotNull())
+        .select("file_id", "path", "line_no", "f.rule_no", "f.value")
+        .withColumn("entropy", F.expr(text.entropy_sql("value")))
+    )
+
+
 def rule_hit(rule: fv.Rule, gated: bool = True) -> str:
     """Does ``rule`` fire on a line?  A cheap literal test stands before the pattern."""
     tests = [f"line RLIKE {sql_string(to_java(rule.pattern))}"]

@@ -93,6 +93,11 @@ def analysable(
     return kept if max_files is None else first_in_walk_order(kept, max_files)
 
 
+def unpruned(files: DataFrame) -> DataFrame:
+    """All files a walk lists, supported or not."""
+    return files.filter(~is_pruned())
+
+
 def first_in_walk_order(files: DataFrame, max_files: int = fv.MAX_FILES) -> DataFrame:
     """The first ``max_files`` files of a recursive walk.
 

@@ -28,11 +28,11 @@ DUMP_SCHEMA = (
 )
 
 
-def _nested(rows: DataFrame, order: tuple[str, ...], name: str, **fields) -> DataFrame:
+def _nested(rows: DataFrame, order: tuple[str, ...], alias: str, /, **fields) -> DataFrame:
     """The rows of a file as one ordered list.  A file's rows are bounded by its size."""
     item = F.struct(*order, F.struct(*[c.alias(k) for k, c in fields.items()]).alias("item"))
     return rows.groupBy("file_id").agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias(name))
+        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias(alias))
 
 
 def json_report(file_report: DataFrame, issues: DataFrame) -> DataFrame:
@@ -109,7 +109,8 @@ def markdown_rows(summary: DataFrame, file_report: DataFrame, issues: DataFrame)
         ("AI-Suspected Files", "%d", "ai_suspected"), ("Security Issues", "%d", "security_issues"),
     ]
     lines = F.array(
-        *[F.format_string(f"| {label} | {fmt} |", c) for label, fmt, c in figures])
+        *[F.format_string(f"| {label} | {fmt} |", F.bround(c, 1) if fmt == "%.1f" else F.col(c))
+          for label, fmt, c in figures])
     head = summary.select(F.posexplode(lines).alias("n", "line"))
     finding_line = F.format_string("| `%s` | %d | %s | %s |", "path", "line_no", "type", "message")
     # a half goes to the even number, as the report prints it

@@ -112,8 +112,8 @@ def generic_names(files: DataFrame) -> DataFrame:
         f" 1 + octet_length({before}) - octet_length(replace({before}, '\\n', ''))))"
     )
     return (
-        with_identifiers(files)
-        .select("file_id", "path", line_count().alias("n_lines"),
+        with_identifiers(files.withColumn("n_lines", line_count()))
+        .select("file_id", "path", "n_lines",
                 F.posexplode_outer(F.expr(placed)).alias("pos", "found"))
         .filter(F.col("found").isNotNull())
         .select("file_id", "path", "n_lines", "pos", "found.name", "found.line_no")

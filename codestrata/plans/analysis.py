@@ -20,8 +20,8 @@ class Analysis:
 
     ``files`` holds ``(file_id, path, content)``.  Every pass reads the same selected
     files, each at the partition of its ``file_id``; with ``keep`` they are persisted
-    there, so they are read and moved once.  Lost blocks are computed again from the
-    source.  Call ``release`` when done.
+    there, so they are read and moved once, and so are the functions, which two passes
+    use.  Lost blocks are computed again from the source.  Call ``release`` when done.
     """
 
     def __init__(
@@ -39,15 +39,22 @@ class Analysis:
         selected = corpus.analysable(files, max_bytes, max_files)
         if not co_located or max_files is not None:
             selected = corpus.co_locate(selected)
-        self.files = selected.persist(StorageLevel.MEMORY_AND_DISK) if keep else selected
-        self._kept = keep
+        self._keep = keep
+        self._kept: list[DataFrame] = []
+        self.files = self._kept_if_wanted(selected)
         self._path_aware = path_aware
         self._change_log = change_log
         self._max_commits = max_commits
 
+    def _kept_if_wanted(self, table: DataFrame) -> DataFrame:
+        if self._keep:
+            table.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(table)
+        return table
+
     def release(self) -> None:
-        if self._kept:
-            self.files.unpersist()
+        for table in self._kept:
+            table.unpersist()
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -55,7 +62,7 @@ class Analysis:
 
     @cached_property
     def functions(self) -> DataFrame:
-        return complexity.functions(self.lines)
+        return self._kept_if_wanted(complexity.functions(self.lines))
 
     @cached_property
     def security_issues(self) -> DataFrame:

@@ -104,7 +104,8 @@ def whole(name: str):
 
 
 def r6(c: str | Column) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Rounded to compare; the small addend keeps exact ties from going either way."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
 
 
 # -- corpus ----------------------------------------------------------------

@@ -24,18 +24,17 @@ def explode_lines(files: DataFrame) -> DataFrame:
     There is always a line, so the outer form gives the same rows; with it Spark does
     not split every file once more to filter out empty ones.
     """
-    return (
-        files.select(
-            "file_id", "path", "language",
-            line_count().alias("n_lines"),
-            F.posexplode_outer(split_lines()).alias("pos", "line"),
-        )
-        .select(
-            "file_id", "path", "language", "n_lines",
-            (F.col("pos") + 1).alias("line_no"),
-            "line",
-            text.strip("line").alias("trimmed"),
-        )
+    counted = files.select(
+        "file_id", "path", "language", line_count().alias("n_lines"), "content"
+    )  # a step of its own: next to the generator it would be counted for every line
+    # stripped before the generator, so that no filter above has to strip again
+    both = F.transform(
+        split_lines(), lambda x: F.struct(x.alias("line"), text.strip(x).alias("trimmed")))
+    return counted.select(
+        "file_id", "path", "language", "n_lines", F.posexplode_outer(both).alias("pos", "l")
+    ).select(
+        "file_id", "path", "language", "n_lines",
+        (F.col("pos") + 1).alias("line_no"), "l.line", "l.trimmed",
     )
 
 

@@ -16,6 +16,11 @@ def add(name: str, sql: str, *needs: str) -> None:
     SQL[name] = query(sql, *needs)
 
 
+def r6(x: str) -> str:
+    """Rounded as the queries round, with ties out of the way."""
+    return f"round(({x})::DOUBLE + 1e-9, 6)"
+
+
 def case_of(column: str, values) -> str:
     return f"[{names(values)}][{column} + 1]"
 
@@ -37,7 +42,7 @@ add("line_explode",
     trimmed_bytes::INT AS trimmed_bytes, indent::INT AS indent, is_blank, is_comment
     FROM described""", "described")
 add("json_report",
-    f"""SELECT path, round(ai_score / 100, 6) AS ai_probability, complexity, coalesce(i, '') AS issues
+    f"""SELECT path, round((ai_score / 100)::DOUBLE + 1e-9, 6) AS ai_probability, complexity, coalesce(i, '') AS issues
     FROM file_report LEFT JOIN (SELECT file_id, string_agg(line_no || ':' || type || ':' ||
       {case_of('severity', fv.SEVERITY_NAMES)}, ';' ORDER BY pass_no, check_no, ord, rule_no) AS i
       FROM issues GROUP BY file_id) USING (file_id)
@@ -55,8 +60,8 @@ add("markdown_report",
       || '% | ' || complexity || ' |' FROM file_report WHERE ai_score > 50""",
     "summary", "issues", "file_report")
 add("report_source",
-    """SELECT f.path, language, line_count, round(ai_score, 6) AS ai_probability, complexity,
-    n_functions, issue_count::INT AS n_issues, commit_count, round(comment_ratio, 6) AS comment_ratio
+    """SELECT f.path, language, line_count, round((ai_score)::DOUBLE + 1e-9, 6) AS ai_probability, complexity,
+    n_functions, issue_count::INT AS n_issues, commit_count, round((comment_ratio)::DOUBLE + 1e-9, 6) AS comment_ratio
     FROM file_report f LEFT JOIN git_info USING (path)""", "file_report", "git_info")
 add("newest_commits", "SELECT commit_id, author, path FROM newest", "newest")
 
@@ -89,7 +94,7 @@ for name, rules in (
         "security_issues")
     offset += len(rules)
 add("entropy_gate",
-    """SELECT file_id, line_no, rule_no::INT AS rule_no, value, round(entropy, 6) AS entropy,
+    """SELECT file_id, line_no, rule_no::INT AS rule_no, value, round((entropy)::DOUBLE + 1e-9, 6) AS entropy,
     entropy >= 3.5 AS kept FROM rule_values WHERE value IS NOT NULL""", "rule_values")
 add("test_downgrade",
     f"""SELECT file_id, path, line_no, CASE WHEN {has('path', fv.TEST_PATH_PATTERN)} THEN 0
@@ -125,7 +130,7 @@ add("quality_scan", f"SELECT {ISSUE} FROM quality_issues", "quality_issues")
 
 # -- signals
 def score(name: str) -> str:
-    return f"round(({SIGNALS[name]})::DOUBLE, 6) AS score"
+    return f"{r6(SIGNALS[name])} AS score"
 
 
 add("token_diversity",
@@ -140,8 +145,8 @@ for name in ("formatting", "comment_quality", "structural_pattern", "line_length
              "repetitive_structure"):
     add(name, f"SELECT file_id, {score(name)} FROM stats", "stats")
 add("generic_repetition",
-    f"SELECT file_id, round(({GENERIC_REPETITION})::DOUBLE, 6) AS score FROM stats", "stats")
-add("comment_ratio", "SELECT file_id, round(comment_ratio, 6) AS score FROM signals", "signals")
+    f"SELECT file_id, {r6(GENERIC_REPETITION)} AS score FROM stats", "stats")
+add("comment_ratio", "SELECT file_id, round((comment_ratio)::DOUBLE + 1e-9, 6) AS score FROM signals", "signals")
 add("function_uniformity",
     f"SELECT file_id, n_functions, {score('function_uniformity')} FROM stats WHERE n_functions > 0",
     "stats")
@@ -157,9 +162,9 @@ add("error_boilerplate",
     f"""SELECT file_id, n_blocks, n_top_block, {score('error_boilerplate')} FROM stats
     WHERE n_blocks > 0""", "stats")
 add("ai_signals",
-    "SELECT file_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in fv.SIGNAL_WEIGHTS)
+    "SELECT file_id, " + ", ".join(f"{r6(n)} AS {n}" for n in fv.SIGNAL_WEIGHTS)
     + " FROM signals", "signals")
-add("ai_score", f"SELECT file_id, round({AI_SCORE}, 6) AS ai_score FROM signals", "signals")
+add("ai_score", f"SELECT file_id, {r6(AI_SCORE)} AS ai_score FROM signals", "signals")
 
 # -- joins
 add("file_churn_join",
@@ -187,11 +192,11 @@ add("generic_name_lookup",
 
 # -- roll-ups
 add("file_report",
-    """SELECT file_id, path, language, line_count, round(ai_score, 6) AS ai_score, complexity,
-    round(comment_ratio, 6) AS comment_ratio, issue_count, commit_count
+    """SELECT file_id, path, language, line_count, round((ai_score)::DOUBLE + 1e-9, 6) AS ai_score, complexity,
+    round((comment_ratio)::DOUBLE + 1e-9, 6) AS comment_ratio, issue_count, commit_count
     FROM file_report LEFT JOIN git_info USING (path)""", "file_report", "git_info")
 add("project_summary",
-    """SELECT files_analyzed, files_flagged, round(avg_complexity, 6) AS avg_complexity,
+    """SELECT files_analyzed, files_flagged, round((avg_complexity)::DOUBLE + 1e-9, 6) AS avg_complexity,
     total_issues, ai_suspected, security_issues FROM summary""", "summary")
 add("severity_counts",
     """SELECT count(*) AS total, count(*) FILTER (severity = 3) AS critical,
@@ -207,16 +212,16 @@ UNIFORM = """(SELECT file_id, path, n AS functions, mean_size FROM (
 add("uniform_sizes", f"SELECT file_id, path, functions, mean_size::BIGINT AS mean_size FROM {UNIFORM}",
     "measured")
 add("quality_metrics",
-    """SELECT * REPLACE (round(avg_complexity, 6) AS avg_complexity,
-    round(avg_comment_percent, 6) AS avg_comment_percent) FROM quality_metrics""", "quality_metrics")
+    """SELECT * REPLACE (round((avg_complexity)::DOUBLE + 1e-9, 6) AS avg_complexity,
+    round((avg_comment_percent)::DOUBLE + 1e-9, 6) AS avg_comment_percent) FROM quality_metrics""", "quality_metrics")
 add("quality_grade",
     """SELECT score, CASE WHEN score < 50 THEN 'Needs Work' WHEN score < 70 THEN 'Fair'
       WHEN score < 85 THEN 'Good' ELSE 'Excellent' END AS grade
-    FROM (SELECT round(greatest(0.0::DOUBLE, 100 - 3 * long_functions - 4 * complex_functions
-      - 2 * duplications - unused_imports - 2 * greatest(0, avg_complexity - 15)), 6) AS score
+    FROM (SELECT round((greatest(0.0::DOUBLE, 100 - 3 * long_functions - 4 * complex_functions
+      - 2 * duplications - unused_imports - 2 * greatest(0, avg_complexity - 15)))::DOUBLE + 1e-9, 6) AS score
     FROM quality_metrics)""", "quality_metrics")
 add("issue_breakdown",
-    """SELECT label, n AS issue_count, round(n / total_quality_issues, 6) AS share FROM (
+    """SELECT label, n AS issue_count, round((n / total_quality_issues)::DOUBLE + 1e-9, 6) AS share FROM (
       SELECT total_quality_issues, unnest(['Complex Functions', 'Long Functions', 'Code Duplication',
         'Unused Imports', 'TODO Markers', 'Dead Code', 'Deep Nesting', 'Error Handling']) AS label,
         unnest([complex_functions, long_functions, duplications, unused_imports, todos, dead_code,

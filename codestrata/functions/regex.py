@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 _SPACE = r"\t\n\f\r "
 _WORD = "[0-9A-Za-z_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+#: One word and nothing else: classes, digits, groups and repeats between two boundaries.
+_ONE_WORD = re.compile(r"\\b((?:\[[A-Za-z0-9_-]+\]|\\d|[A-Za-z0-9_(){},*+])+)\\b")
 
 
 def to_java(pattern: str) -> str:
@@ -16,6 +20,9 @@ def to_java(pattern: str) -> str:
     flags = "(?d)"
     if pattern.startswith("(?i)"):
         flags, pattern = "(?id)", pattern[4:]
+    if word := _ONE_WORD.fullmatch(pattern):
+        # the neighbours inside are known, so one look around is enough at either end
+        return f"{flags}(?<!{_WORD}){word[1]}(?!{_WORD})"
     out: list[str] = []
     in_class = False
     chars = iter(pattern)

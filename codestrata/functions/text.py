@@ -104,6 +104,15 @@ def is_definition_line(lowered: Column) -> Column:
     return holds_any(lowered, fv.DEFINITION_LINE_WORDS)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Spark interprets the body instead of writing it into the generated loop, which
+    also keeps long CASE chains from making that loop too large to be compiled.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def bound(value: Column) -> Column:
     """``value`` as the output of a one-row generator.
 

@@ -18,39 +18,40 @@ def branch_count(trimmed: str = "trimmed", language: str = "language") -> Column
     A keyword counts once per line, wherever it stands.
     """
     trimmed, language = F.col(trimmed), F.col(language)
+    fallback = fv.BRANCH_KEYWORDS[fv.FALLBACK_KEYWORD_LANGUAGE]
     by_keywords: dict[tuple[str, ...], list[str]] = {}
     for name, keywords in fv.BRANCH_KEYWORDS.items():
-        by_keywords.setdefault(keywords, []).append(name)
+        if keywords != fallback:
+            by_keywords.setdefault(keywords, []).append(name)
 
-    def present(keywords: tuple[str, ...]) -> Column:
-        return reduce(Column.__add__, [trimmed.contains(k).cast("int") for k in keywords])
+    def words(keywords: tuple[str, ...]) -> Column:
+        return F.array(*[F.lit(k) for k in keywords])
 
-    fallback = fv.BRANCH_KEYWORDS[fv.FALLBACK_KEYWORD_LANGUAGE]
-    keywords = None
-    for words, names in by_keywords.items():
-        if words == fallback:
-            continue
-        hit = language.isin(names)
-        keywords = F.when(hit, present(words)) if keywords is None else keywords.when(
-            hit, present(words))
-    operators = reduce(Column.__add__, [text.count_of(trimmed, op) for op in fv.LOGICAL_OPERATORS])
-    return keywords.otherwise(present(fallback)) + operators
+    own = reduce(
+        lambda cases, kv: cases.when(language.isin(kv[1]), words(kv[0])), by_keywords.items(), F)
+    present = F.size(F.filter(own.otherwise(words(fallback)), lambda k: trimmed.contains(k)))
+    return present + reduce(
+        Column.__add__, [text.count_of(trimmed, op) for op in fv.LOGICAL_OPERATORS])
 
 
 def function_name(trimmed: str = "trimmed", language: str = "language") -> Column:
     """The name of the function that starts on the line, NULL if none does."""
-    trimmed, language = F.col(trimmed), F.col(language)
+    language = F.col(language)
     by_pattern: dict[tuple, list[str]] = {}
     for name, spec in fv.FUNCTION_PATTERNS.items():
         by_pattern.setdefault(spec, []).append(name)
-    out = None
-    for (pattern, groups), names in by_pattern.items():
-        found = F.coalesce(*[F.nullif(text.group(trimmed, pattern, g), F.lit("")) for g in groups])
-        hit = language.isin(names)
-        if pattern.endswith(r"\("):
-            hit = hit & trimmed.contains("(")  # spares long lines the backtracking
-        out = F.when(hit, found) if out is None else out.when(hit, found)
-    return out
+
+    def name_in(line: Column) -> Column:
+        out = F
+        for (pattern, groups), names in by_pattern.items():
+            found = F.coalesce(*[F.nullif(text.group(line, pattern, g), F.lit("")) for g in groups])
+            hit = language.isin(names)
+            if pattern.endswith(r"\("):
+                hit = hit & line.contains("(")  # spares long lines the backtracking
+            out = out.when(hit, found)
+        return out
+
+    return text.let(F.col(trimmed), name_in)
 
 
 def brace_change(c: str) -> Column:

@@ -244,9 +244,9 @@ def error_swallowing() -> Column:
 def todo_marker() -> Column:
     word = F.upper(text.group("line", fv.TODO_PATTERN, 1))
     rest = text.strip(text.group("line", fv.TODO_PATTERN, 2))
-    hint = F.lower("line")
+    words = ("todo", "fixme", "hack", "xxx", "bug")
     return F.when(
-        text.holds_any(hint, ("todo", "fixme", "hack", "xxx", "bug"))
+        text.let(F.lower("line"), lambda low: text.holds_any(low, words))
         & text.matches("line", fv.TODO_PATTERN),
         _quality(
             "todo_marker", fv.INFO, F.concat(word, F.lit(": "), rest),

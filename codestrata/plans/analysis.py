@@ -20,8 +20,9 @@ class Analysis:
 
     ``files`` holds ``(file_id, path, content)``.  Every pass reads the same selected
     files, each at the partition of its ``file_id``; with ``keep`` they are persisted
-    there, so they are read and moved once, and so are the functions, which two passes
-    use.  Lost blocks are computed again from the source.  Call ``release`` when done.
+    there, so they are read and moved once, and so are the functions and findings,
+    which several results use.  Lost blocks are computed again from the source.  Call
+    ``release`` when done.
     """
 
     def __init__(
@@ -80,7 +81,8 @@ class Analysis:
     @cached_property
     def issues(self) -> DataFrame:
         """The findings of all passes (a bag)."""
-        return union_all([self.ai_issues, self.security_issues, self.quality_issues])
+        return self._kept_if_wanted(
+            union_all([self.ai_issues, self.security_issues, self.quality_issues]))
 
     @cached_property
     def signals(self) -> DataFrame:

@@ -58,8 +58,9 @@ TEMPLATES = (
     "pwd = 'xxxxxxxxxxxx'",
     'Authorization: Bearer @H@',
     'Authorization: Basic @H@',
-    "-----BEGIN RSA " "PRIVATE KEY-----",
-    "-----BEGIN PGP " "PRIVATE KEY BLOCK-----",
+    'pem = "-----BEGIN RSA ' 'PRIVATE KEY-----"',
+    'pgp = "-----BEGIN PGP ' 'PRIVATE KEY BLOCK-----"',
+    "-----BEGIN EC " "PRIVATE KEY-----",
     'conn = "postgres://u@N@:@W@@db.internal/x"',
     'conn = "postgres://db.internal/x"',
     "dsn user=@W@ host=x pass=@H@",

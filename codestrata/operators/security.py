@@ -69,6 +69,24 @@ def rule_hit(rule: fv.Rule, gated: bool = True) -> str:
     return " AND ".join(tests)
 
 
+def fired_rules(rules: Sequence[fv.Rule], gated: bool = True) -> str:
+    """The numbers of the rules that fire on a line, among zeros.
+
+    Rules with the same ``mark`` stand behind one test of that character.
+    """
+    by_mark: dict[str, list[str]] = {}
+    for n, rule in enumerate(rules, start=1):
+        case = f"CASE WHEN {rule_hit(rule, gated)} THEN {n} ELSE 0 END"
+        by_mark.setdefault(rule.mark if gated else "", []).append(case)
+    parts = []
+    for mark, cases in by_mark.items():
+        part = f"array({', '.join(cases)})"
+        if mark:
+            part = f"CASE WHEN {text.holds_any_sql('line', tuple(mark))} THEN {part} ELSE array(0) END"
+        parts.append(part)
+    return f"concat({', '.join(parts)})"
+
+
 def scan(
     lines: DataFrame,
     path_aware: bool = False,
@@ -80,15 +98,19 @@ def scan(
     A narrow transformation: no shuffle.  With ``path_aware`` secrets in test files
     count as information only.
     """
-    fired = ", ".join(
-        f"CASE WHEN {rule_hit(r, gated)} THEN {n} END" for n, r in enumerate(rules, start=1)
+    looked_at = lines.select(
+        "file_id", "path", "line_no", "line", "trimmed", text.bound(F.lower("line")).alias("low")
+    ).filter(ELIGIBLE)
+    # the array is a column of its own, so that it is compiled; the outer form of explode
+    # keeps Spark from testing the array in a filter first
+    found = (
+        looked_at.select(
+            "file_id", "path", "line_no", F.expr(fired_rules(rules, gated)).alias("fired"))
+        .select(
+            "file_id", "path", "line_no",
+            F.explode_outer(F.array_remove("fired", 0)).alias("rule_no"))
+        .filter(F.col("rule_no").isNotNull())
     )
-    hits = per_lowered_line(f"CASE WHEN {ELIGIBLE} THEN array_compact(array({fired})) END")
-    # the outer form keeps Spark from testing the array in a filter of its own first
-    found = lines.select(
-        "file_id", "path", "line_no", F.explode_outer(F.expr(hits)).alias("rule_no")
-    ).filter(F.col("rule_no").isNotNull())
-
     detail = ", ".join(
         f"named_struct('type', {sql_string(r.type)}, 'severity', {r.severity},"
         f" 'message', {sql_string(r.message)}, 'fix', {sql_string(r.fix)})"

@@ -10,7 +10,7 @@ from codestrata.sources.changes import newest_commits
 
 
 def authors(change_log: DataFrame) -> DataFrame:
-    """``(path, author, commits, newest_at, newest_commit, latest)``, a row per author of a path.
+    """``(path, author, commits, newest_at, newest_commit)``, a row per author of a path.
 
     The partial aggregation takes the load of paths that very many commits touch.
     """
@@ -45,11 +45,15 @@ def churn(change_log: DataFrame) -> DataFrame:
     )
 
 
-def author_ranks(change_log: DataFrame) -> DataFrame:
-    """``(path, author_no, author)``: the authors of a path, newest first, as rows."""
+def author_ranks(change_log: DataFrame, max_commits: int = fv.MAX_COMMITS) -> DataFrame:
+    """``(path, author_no, author)``: the authors of a path in the newest commits, newest first.
+
+    At most ``max_commits`` rows per path; of a whole history ``authors`` holds the
+    same order as ``newest_at`` and ``newest_commit``, without ranking hot paths.
+    """
     newest_first = Window.partitionBy("path").orderBy(
         F.desc("newest_at"), F.desc("newest_commit"))
-    return authors(change_log).select(
+    return authors(newest_commits(change_log, max_commits)).select(
         "path", F.row_number().over(newest_first).alias("author_no"), "author")
 
 
@@ -57,7 +61,7 @@ def git_info(change_log: DataFrame, max_commits: int = fv.MAX_COMMITS) -> DataFr
     """``(path, git_info)`` of the newest commits, with the authors as one list.
 
     A list is no longer than ``max_commits``; for a whole history use ``churn`` and
-    ``author_ranks``.
+    ``authors``.
     """
     newest_first = F.reverse(
         F.array_sort(F.collect_list(F.struct("newest_at", "newest_commit", "author"))))

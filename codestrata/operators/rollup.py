@@ -131,8 +131,9 @@ def quality_metrics(file_report: DataFrame, issues: DataFrame) -> DataFrame:
         F.coalesce(F.sum("complexity") / F.count(F.lit(1)), F.lit(0.0)).alias("avg_complexity"),
         F.coalesce(F.avg("comment_ratio") * 100, F.lit(0.0)).alias("avg_comment_percent"),
     )
-    # one row each
-    return files.crossJoin(counts.withColumnRenamed("quality_issues", "total_quality_issues"))
+    counts = counts.withColumnRenamed("quality_issues", "total_quality_issues")
+    both = files.unionByName(counts, allowMissingColumns=True)  # two rows, each with its half
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def quality_grade(metrics: DataFrame) -> DataFrame:
@@ -152,20 +153,17 @@ def quality_grade(metrics: DataFrame) -> DataFrame:
 
 def issue_breakdown(issues: DataFrame) -> DataFrame:
     """Count and share of the eight groups; empty groups are left out."""
-    group = None
-    for label, types in BREAKDOWN_GROUPS.items():
-        hit = F.col("type").isin(list(types))
-        group = F.when(hit, label) if group is None else group.when(hit, label)
-    per_type = issues.filter(F.col("category") == fv.QUALITY).groupBy("type").agg(
-        F.count(F.lit(1)).alias("n"))
-    # at most as many rows as there are types
-    total = per_type.agg(F.sum("n").alias("total"))
+    counted = issues.filter(F.col("category") == fv.QUALITY).agg(
+        F.count(F.lit(1)).alias("total"),
+        *[_count_if(F.col("type").isin(list(types))).alias(label)
+          for label, types in BREAKDOWN_GROUPS.items()],
+    )
+    groups = F.array(
+        *[F.struct(F.lit(label).alias("label"), F.col(label).alias("issue_count"))
+          for label in BREAKDOWN_GROUPS])
     return (
-        per_type.withColumn("label", group)
-        .filter(F.col("label").isNotNull())
-        .groupBy("label")
-        .agg(F.sum("n").alias("issue_count"))
-        .crossJoin(total)
+        counted.select("total", F.inline(groups))
+        .filter(F.col("issue_count") > 0)
         .select("label", "issue_count", (F.col("issue_count") / F.col("total")).alias("share"))
     )
 
@@ -204,7 +202,7 @@ def tree_listing(files: DataFrame) -> DataFrame:
         ),
     )
     return (
-        files.select(F.explode_outer(nodes).alias("n"), F.size(parts).alias("size"))
+        files.select(F.explode_outer(nodes).alias("n"))
         .select("n.parent", "n.name", "n.is_dir")
         .distinct()
         .withColumn(

@@ -584,6 +584,11 @@ def _(i: Inputs):
     return churn.author_ranks(i.change_log)
 
 
+@single("author_activity")
+def _(i: Inputs):
+    return churn.authors(i.change_log).select("path", "author", "commits", "newest_commit")
+
+
 @whole("issue_counts")
 def _(a: Analysis):
     return rollup.issue_counts(a.issues)

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 
 #: A path list up to this length is small enough to send to every task.
 BROADCAST_PATHS = 100_000
+WALK_SLICES = 200
 
 
 def language_of(path: Column | str = "path") -> Column:
@@ -80,9 +81,11 @@ def analysable(
 ) -> DataFrame:
     """The files that are analysed, with their ``language``.
 
-    The checks on the path come first, so a columnar source can skip the content
-    of files that are dropped.
+    A table may bring its sizes as ``n_bytes``; the limit then reaches the scan, and
+    contents of larger files are not read at all.
     """
+    if "n_bytes" in files.columns:
+        files = files.filter(F.col("n_bytes") <= max_bytes)
     kept = (
         files.withColumn("language", language_of())
         .filter(F.col("language").isNotNull())
@@ -101,10 +104,21 @@ def unpruned(files: DataFrame) -> DataFrame:
 def first_in_walk_order(files: DataFrame, max_files: int = fv.MAX_FILES) -> DataFrame:
     """The first ``max_files`` files of a recursive walk.
 
-    Only the paths are sorted (a distributed top-k); contents meet the chosen
-    paths in a semi join.
+    Only the paths are ranked; contents meet the chosen paths in a semi join.  The
+    first paths of each of ``WALK_SLICES`` random slices come before the last top-k,
+    so that its one task sees no more than ``WALK_SLICES * max_files`` of them.
     """
-    chosen = files.select("path").orderBy(walk_key()).limit(max_files)
+    in_slice = Window.partitionBy("slice").orderBy("walk_key")
+    chosen = (
+        files.select(
+            "path", walk_key().alias("walk_key"),
+            F.pmod(F.xxhash64("path"), F.lit(WALK_SLICES)).alias("slice"))
+        .withColumn("rank", F.row_number().over(in_slice))
+        .filter(F.col("rank") <= max_files)
+        .orderBy("walk_key")
+        .limit(max_files)
+        .select("path")
+    )
     if max_files <= BROADCAST_PATHS:
         chosen = F.broadcast(chosen)
     return files.join(chosen, "path", "left_semi").select(files.columns)

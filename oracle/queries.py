@@ -244,9 +244,11 @@ add("file_churn",
       strftime(max(authored_at), '%Y-%m-%d') AS last_modified
     FROM change_log GROUP BY path""", "change_log")
 add("file_authors",
-    """SELECT path, row_number() OVER (PARTITION BY path ORDER BY newest DESC)::INT AS author_no, author
-    FROM (SELECT path, author, max((authored_at, commit_id)) AS newest FROM change_log GROUP BY ALL)""",
-    "change_log")
+    """SELECT path, row_number() OVER (PARTITION BY path ORDER BY first_seq)::INT AS author_no, author
+    FROM (SELECT path, author, min(seq) AS first_seq FROM newest GROUP BY ALL)""", "newest")
+add("author_activity",
+    """SELECT path, author, count(*) AS commits, arg_max(commit_id, (authored_at, commit_id)) AS newest_commit
+    FROM change_log GROUP BY ALL""", "change_log")
 add("issue_counts",
     """SELECT file_id, path, type, severity, category, count(*) AS issue_count FROM issues
     GROUP BY ALL""", "issues")

@@ -55,6 +55,15 @@ def test_size_limit(files):
     assert sorted(r.file_id for r in got.collect()) == [0, 1]
 
 
+def test_size_limit_reaches_the_scan(spark, files, tmp_path):
+    sized = files(["a", "b" * 9]).withColumn("n_bytes", F.octet_length("content"))
+    sized.write.parquet(str(tmp_path / "sized"))
+    kept = corpus.analysable(spark.read.parquet(str(tmp_path / "sized")), max_bytes=5)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(n_bytes,5)" in plan
+    assert [r.path for r in kept.collect()] == ["f0.go"]
+
+
 def test_walk_order(files):
     paths = ["b.go", "a/z.go", "a.go", "a/b/c.go", "B.go", "a-b/x.go"]
     got = corpus.first_in_walk_order(corpus.analysable(files([(p, "x") for p in paths])), 4)
@@ -120,6 +129,8 @@ def test_churn(spark):
     newest = changes.newest_commits(log(spark), 2).collect()
     assert sorted((r.commit_id, r.path) for r in newest) == [(3, "f0.go"), (3, "f1.go"), (4, "f1.go")]
     assert [tuple(r) for r in churn.high_churn(log(spark), 1).collect()] == [("f0.go", 3)]
+    ranks = churn.author_ranks(log(spark)).filter("path = 'f1.go'").collect()
+    assert sorted((r.author_no, r.author) for r in ranks) == [(1, "cy"), (2, "ann")]
 
 
 def test_files_without_history(spark, files):

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
-from codestrata.functions.regex import to_java
 from codestrata.functions.text import sql_string
 from codestrata.operators.findings import AI_PASS, emit, finding, union_all
-from codestrata.sources.lines import in_file, line_count, previous_non_null
+from codestrata.sources.lines import LineStats, in_file, line_count, previous_non_null
 
 GENERIC, MARKER, README = 1, 2, 3
 MIN_COMMENT_BYTES = 5
@@ -135,24 +134,30 @@ def generic_naming(files: DataFrame) -> DataFrame:
 # -- comments --------------------------------------------------------------
 
 
-def _first_phrase(patterns: list[str]) -> Column:
-    """Number of the first pattern that the comment of the line matches, else NULL."""
-    cases = " ".join(
-        f"WHEN c RLIKE {sql_string(to_java(p))} THEN {n}" for n, p in enumerate(patterns, start=1))
-    first = F.expr(f"CASE {cases} END")
-    return F.when(F.octet_length("c") >= MIN_COMMENT_BYTES, first)
+def phrase_no(patterns: list[str]) -> Column:
+    """Number of the first pattern that a comment line matches, else NULL."""
+    def first(comment: Column) -> Column:
+        cases = F
+        for n, pattern in enumerate(patterns, start=1):
+            cases = cases.when(text.matches(comment, pattern), n)
+        return F.when(F.octet_length(comment) >= MIN_COMMENT_BYTES, cases)
+
+    return F.when(text.is_comment(), text.let(text.comment_text(), first))
+
+
+def marker_no() -> Column:
+    return phrase_no([p for p, _ in fv.MARKER_PHRASES])
+
+
+def readme_no() -> Column:
+    return phrase_no(list(fv.README_PHRASES))
 
 
 def comment_lines(lines: DataFrame) -> DataFrame:
     """Comment lines with the phrases they hold: ``marker_no`` and ``readme_no``."""
-    return (
-        lines.filter(text.is_comment())
-        .select("file_id", "path", "n_lines", "line_no", text.comment_text().alias("c"))
-        .withColumns({
-            "marker_no": _first_phrase([p for p, _ in fv.MARKER_PHRASES]),
-            "readme_no": _first_phrase(list(fv.README_PHRASES)),
-        })
-    )
+    return lines.filter(text.is_comment()).select(
+        "file_id", "path", "n_lines", "line_no",
+        marker_no().alias("marker_no"), readme_no().alias("readme_no"))
 
 
 def marker_phrase() -> Column:
@@ -186,12 +191,15 @@ def findings(lines: DataFrame, files: DataFrame) -> DataFrame:
     return union_all([generic_naming(files), comment_findings(lines)])
 
 
-def comment_stats(lines: DataFrame) -> DataFrame:
+def comment_stats() -> LineStats:
     """Comments per file and how many hold a phrase."""
-    return comment_lines(lines).groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("n_comments"),
-        F.count("marker_no").alias("n_markers"),
-        F.count("readme_no").alias("n_readme"),
+    return LineStats(
+        {"is_comment": text.is_comment(), "marker_no": marker_no(), "readme_no": readme_no()},
+        {
+            "n_comments": _count_if(F.col("is_comment")),
+            "n_markers": F.count("marker_no"),
+            "n_readme": F.count("readme_no"),
+        },
     )
 
 
@@ -216,40 +224,39 @@ def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def line_stats(lines: DataFrame) -> DataFrame:
-    """All conditional aggregates over the lines of a file, in one go."""
+def line_stats() -> LineStats:
+    """What the signals of lines are computed from."""
     blank = text.is_blank()
-    described = lines.select(
-        "file_id", "language", "n_lines", "line_no",
-        F.when(~blank, text.is_comment()).alias("comment"),
-        F.when(~blank, F.octet_length("line")).alias("byte_len"),
-        F.when(~blank, F.octet_length("trimmed")).alias("trimmed_bytes"),
-        F.when(~blank, text.indent("line") % 2 == 0).alias("even_indent"),
-        text.matches("line", fv.SECTION_HEADER_PATTERN).alias("section"),
-        *[
-            ((F.col("language") == language) & text.matches("line", p)).alias(f"call_{language}_{n}")
-            for language, patterns in fv.REPEATED_CALL_PATTERNS.items()
-            for n, p in enumerate(patterns)
-        ],
-    ).withColumn("after_comment", previous_non_null("comment"))
-    calls = [
-        _count_if(F.col(f"call_{language}_{n}"))
+    calls = {
+        f"call_{language}_{n}": (F.col("language") == language) & text.matches("line", pattern)
         for language, patterns in fv.REPEATED_CALL_PATTERNS.items()
-        for n in range(len(patterns))
-    ]
-    often = [F.when(c >= fv.MIN_REPEATS, c).otherwise(0) for c in calls]
-    return described.groupBy("file_id").agg(
-        F.count("comment").alias("n_filled"),
-        _count_if(F.col("comment")).alias("n_comment_lines"),
-        _count_if(~F.col("comment")).alias("n_code"),
-        _count_if(F.col("even_indent")).alias("n_even"),
-        F.var_pop("byte_len").alias("length_variance"),
-        F.skewness("trimmed_bytes").alias("length_skew"),
-        F.min("trimmed_bytes").alias("shortest"),
-        F.max("trimmed_bytes").alias("longest"),
-        _count_if(F.col("section")).alias("n_sections"),
-        _count_if(~F.col("comment") & F.col("after_comment")).alias("n_transitions"),
-        reduce(Column.__add__, often).alias("n_calls"),
+        for n, pattern in enumerate(patterns)
+    }
+    n_calls = [_count_if(F.col(c)) for c in calls]
+    often = [F.when(n >= fv.MIN_REPEATS, n).otherwise(0) for n in n_calls]
+    return LineStats(
+        columns={
+            "comment": F.when(~blank, text.is_comment()),
+            "byte_len": F.when(~blank, F.octet_length("line")),
+            "trimmed_bytes": F.when(~blank, F.octet_length("trimmed")),
+            "even_indent": F.when(~blank, text.indent("line") % 2 == 0),
+            "section": text.matches("line", fv.SECTION_HEADER_PATTERN),
+            **calls,
+        },
+        windowed={"after_comment": previous_non_null("comment")},
+        aggregates={
+            "n_filled": F.count("comment"),
+            "n_comment_lines": _count_if(F.col("comment")),
+            "n_code": _count_if(~F.col("comment")),
+            "n_even": _count_if(F.col("even_indent")),
+            "length_variance": F.var_pop("byte_len"),
+            "length_skew": F.skewness("trimmed_bytes"),
+            "shortest": F.min("trimmed_bytes"),
+            "longest": F.max("trimmed_bytes"),
+            "n_sections": _count_if(F.col("section")),
+            "n_transitions": _count_if(~F.col("comment") & F.col("after_comment")),
+            "n_calls": reduce(Column.__add__, often),
+        },
     )
 
 
@@ -393,25 +400,30 @@ SIGNALS = {
 }
 
 
-def file_stats(files: DataFrame, lines: DataFrame, functions: DataFrame) -> DataFrame:
+def file_stats(
+    files: DataFrame, lines: DataFrame, functions: DataFrame, per_file_stats: DataFrame
+) -> DataFrame:
     """All that the signals are computed from, a row per file.
 
-    Every part is keyed by ``file_id``; on a co-located corpus the joins move nothing.
+    ``per_file_stats`` holds the ``line_stats`` and ``comment_stats``.  Every part is
+    keyed by ``file_id``; on a co-located corpus the joins move nothing.
     """
-    base = files.select("file_id", "path", "language", line_count().alias("n_lines"))
     parts = [
-        identifier_stats(files), line_stats(lines), comment_stats(lines),
-        function_size_stats(functions), error_block_stats(lines), shape_stats(lines),
+        identifier_stats(files), function_size_stats(functions), error_block_stats(lines),
+        shape_stats(lines),
     ]
-    joined = reduce(lambda a, b: a.join(b, "file_id", "left"), parts, base)
-    return joined.fillna(0, ["n_comments", "n_markers", "n_readme", "n_functions"])
+    joined = reduce(lambda a, b: a.join(b, "file_id", "left"), parts, per_file_stats)
+    return joined.fillna(0, ["n_functions"])
 
 
-def signals(stats: DataFrame) -> DataFrame:
-    """The twelve signals, each from 0 to 1; files under five lines have none."""
+def signals(stats: DataFrame, *kept: str) -> DataFrame:
+    """The twelve signals, each from 0 to 1; files under five lines have none.
+
+    Columns named in ``kept`` come along.
+    """
     large_enough = F.col("n_lines") >= fv.MIN_AI_LINES
     return stats.select(
-        "file_id", "path", "language", "n_lines",
+        "file_id", "path", "language", "n_lines", *kept,
         *[F.when(large_enough, SIGNALS[s]()).otherwise(0.0).alias(s) for s in fv.SIGNAL_WEIGHTS],
         comment_ratio().alias("comment_ratio"),
         F.col("n_functions").cast("int").alias("n_functions"),

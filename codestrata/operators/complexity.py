@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
-from codestrata.sources.lines import so_far
+from codestrata.sources.lines import LineStats, per_file, so_far
 
 
 def branch_count(trimmed: str = "trimmed", language: str = "language") -> Column:
@@ -58,11 +58,22 @@ def brace_change(c: str) -> Column:
     return text.count_of(c, "{") - text.count_of(c, "}")
 
 
+def branch_stats() -> LineStats:
+    return LineStats(
+        {"branches": branch_count()},
+        {"complexity": (F.sum("branches") + 1).cast("int")},
+    )
+
+
 def file_complexity(lines: DataFrame) -> DataFrame:
     """``(file_id, path, complexity)``: one plus all branches."""
-    return lines.groupBy("file_id", "path").agg(
-        (F.sum(branch_count()) + 1).cast("int").alias("complexity")
-    )
+    return per_file(lines, branch_stats()).select("file_id", "path", "complexity")
+
+
+def parameter_count(line: str = "line") -> Column:
+    """Filled parts between commas in the first parentheses of the line."""
+    parts = F.split(text.group(line, fv.PARAMETER_LIST_PATTERN, 1), ",", -1)
+    return F.size(F.filter(parts, lambda p: text.strip(p) != ""))
 
 
 def function_starts(lines: DataFrame) -> DataFrame:
@@ -75,7 +86,7 @@ def function_starts(lines: DataFrame) -> DataFrame:
 
 
 def functions(lines: DataFrame) -> DataFrame:
-    """``(file_id, path, name, start_line, end_line, complexity, line_count)``.
+    """``(file_id, path, name, start_line, end_line, complexity, line_count, n_params)``.
 
     A function runs to the line before the next start, or to the end of the file;
     Python and Ruby functions already end before the first unindented line, Lua
@@ -85,7 +96,7 @@ def functions(lines: DataFrame) -> DataFrame:
     Only flags and counts go through the windows, never the text.
     """
     per_line = lines.filter(F.col("language").isin(list(fv.FUNCTION_PATTERNS))).select(
-        "file_id", "path", "language", "line_no",
+        "file_id", "path", "language", "line_no", "line",
         function_name().alias("started"),
         brace_change("trimmed").alias("braces"),
         branch_count().alias("branches"),
@@ -95,7 +106,7 @@ def functions(lines: DataFrame) -> DataFrame:
         ).otherwise((F.col("language") == "Lua") & (F.col("trimmed") == "end")).alias("may_close"),
     )
     starts = F.col("started").isNotNull()
-    running = per_line.select(
+    running = per_line.withColumn("n_params", F.when(starts, parameter_count())).drop("line").select(
         "*",
         F.sum("braces").over(so_far()).alias("depth"),
         F.sum("branches").over(so_far()).alias("branches_so_far"),
@@ -118,6 +129,7 @@ def functions(lines: DataFrame) -> DataFrame:
         F.max("line_no").alias("last_line"),
         F.max("branches_so_far").alias("branches_at_last"),
         F.min(F.when(starts, F.col("branches_so_far") - F.col("branches"))).alias("branches_before"),
+        F.max("n_params").alias("n_params"),
     )
     before_close = F.when(F.col("language") == "Lua", 0).otherwise(1)
     end_line = F.coalesce(F.col("close_line") - before_close, F.col("last_line"))
@@ -128,4 +140,5 @@ def functions(lines: DataFrame) -> DataFrame:
         end_line.cast("int").alias("end_line"),
         (counted + 1).cast("int").alias("complexity"),
         (end_line - F.col("start_line") + 1).cast("int").alias("line_count"),
+        "n_params",
     )

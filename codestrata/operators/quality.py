@@ -10,7 +10,7 @@ from codestrata.functions import text
 from codestrata.operators.complexity import brace_change
 from codestrata.operators.findings import QUALITY_PASS, emit, finding, union_all
 from codestrata.sources.lines import (
-    earlier, in_file, line_count, next_non_null, so_far,
+    LineStats, earlier, in_file, line_count, next_non_null, so_far,
 )
 
 (
@@ -72,30 +72,23 @@ def function_length() -> Column:
     return F.when(is_god, god).when(F.col("line_count") > fv.MAX_FUNCTION_LINES, long)
 
 
-def function_findings(functions: DataFrame) -> DataFrame:
-    return emit(functions, function_complexity(), function_length())
-
-
-def long_parameter_lists(function_starts: DataFrame) -> DataFrame:
-    """On the line of each function start, so no join of functions and lines is needed."""
-    parts = F.split(text.group("line", fv.PARAMETER_LIST_PATTERN, 1), ",", -1)
-    n = F.size(F.filter(parts, lambda p: text.strip(p) != ""))
-    counted = function_starts.select("file_id", "path", "line_no", "name", n.alias("n"))
-    return emit(
-        counted,
-        F.when(
-            F.col("n") > fv.MAX_PARAMETERS,
-            _quality(
-                "long_param_list", fv.WARNING,
-                F.concat(F.lit("Function '"), "name", F.lit("' has "), _s("n"),
-                         F.lit(f" parameters (max recommended: {fv.MAX_PARAMETERS})")),
-                "Group related parameters into a struct/object. Consider using options pattern or builder.",
-                PARAMETERS,
-            ),
+def long_parameter_list() -> Column:
+    return F.when(
+        F.col("n_params") > fv.MAX_PARAMETERS,
+        _quality(
+            "long_param_list", fv.WARNING,
+            F.concat(F.lit("Function '"), "name", F.lit("' has "), _s("n_params"),
+                     F.lit(f" parameters (max recommended: {fv.MAX_PARAMETERS})")),
+            "Group related parameters into a struct/object. Consider using options pattern or builder.",
+            PARAMETERS, line_no=F.col("start_line"),
         ),
     )
 
 
+def function_findings(functions: DataFrame) -> DataFrame:
+    return emit(functions, function_complexity(), function_length(), long_parameter_list())
+
+
 # -- files and lines -------------------------------------------------------
 
 
@@ -296,38 +289,36 @@ def magic_numbers(lines: DataFrame) -> DataFrame:
     )
 
 
-def naming_counts(lines: DataFrame) -> DataFrame:
+def naming_stats() -> LineStats:
     """camelCase and snake_case names per file and the first line of either."""
+    checked = ~F.col("language").isin(list(fv.MIXED_NAMING_LANGUAGES))
     camel = F.size(text.all_matches("line", fv.CAMEL_PATTERN))
     snake = F.when(
         F.col("line").contains("_"), F.size(text.all_matches("line", fv.SNAKE_PATTERN))
     ).otherwise(0)
-    return (
-        lines.filter(~F.col("language").isin(list(fv.MIXED_NAMING_LANGUAGES)))
-        .select(
-            "file_id", "path", "line_no", camel.alias("camel"), snake.alias("snake"),
-            (F.col("line").contains("_") & text.matches("line", fv.SNAKE_SEARCH_PATTERN))
-            .alias("mixed_snake"),
-        )
-        .groupBy("file_id", "path")
-        .agg(
-            F.sum("camel").alias("camel"),
-            F.sum("snake").alias("snake"),
-            F.min(F.when(F.col("camel") > 0, F.col("line_no"))).alias("first_camel"),
-            F.min(F.when(F.col("mixed_snake"), F.col("line_no"))).alias("first_snake"),
-        )
+    mixed = F.col("line").contains("_") & text.matches("line", fv.SNAKE_SEARCH_PATTERN)
+    return LineStats(
+        {
+            "camel": F.when(checked, camel),
+            "snake": F.when(checked, snake),
+            "mixed_snake": checked & mixed,
+        },
+        {
+            "n_camel_names": F.sum("camel"),
+            "n_snake_names": F.sum("snake"),
+            "first_camel": F.min(F.when(F.col("camel") > 0, F.col("line_no"))),
+            "first_snake": F.min(F.when(F.col("mixed_snake"), F.col("line_no"))),
+        },
     )
 
 
-def naming_inconsistency(lines: DataFrame) -> DataFrame:
-    total = F.col("camel") + F.col("snake")
-    snake_minor = F.col("snake") < F.col("camel")
+def naming_inconsistency(stats: DataFrame) -> DataFrame:
+    """From a ``per_file`` table with the ``naming_stats``."""
+    camel, snake = F.col("n_camel_names"), F.col("n_snake_names")
+    total, snake_minor = camel + snake, snake < camel
     chosen = (
-        naming_counts(lines)
-        .filter(
-            (total >= fv.MIN_NAMES)
-            & (F.least("camel", "snake") / total > fv.MAX_MINORITY_SHARE)
-        )
+        stats.filter(
+            (total >= fv.MIN_NAMES) & (F.least(camel, snake) / total > fv.MAX_MINORITY_SHARE))
         .select(
             "file_id", "path", snake_minor.alias("snake_minor"),
             F.when(snake_minor, F.col("first_snake")).otherwise(F.col("first_camel"))
@@ -453,18 +444,17 @@ def code_duplication(lines: DataFrame) -> DataFrame:
     )
 
 
-def scan(lines: DataFrame, files: DataFrame, functions: DataFrame, starts: DataFrame) -> DataFrame:
+def scan(lines: DataFrame, files: DataFrame, functions: DataFrame, stats: DataFrame) -> DataFrame:
     """All quality findings.  The checks of single lines share one pass."""
     seen = with_closure_flag(with_following_lines(lines))
     return union_all(
         [
             function_findings(functions),
-            long_parameter_lists(starts),
             long_files(files),
             deep_nesting(lines),
             emit(seen, dead_code(), empty_error_handler(), error_swallowing(), todo_marker()),
             magic_numbers(lines),
-            naming_inconsistency(lines),
+            naming_inconsistency(stats),
             unused_imports(lines, files),
             code_duplication(lines),
         ]

@@ -12,17 +12,18 @@ from codestrata import fixed_values as fv
 from codestrata.operators import ai, churn, complexity, quality, rollup, security
 from codestrata.operators.findings import union_all
 from codestrata.sources import corpus
-from codestrata.sources.lines import explode_lines
+from codestrata.sources.lines import explode_lines, per_file
 
 
 class Analysis:
     """All tables of one analysis, declared lazily.
 
     ``files`` holds ``(file_id, path, content)``.  Every pass reads the same selected
-    files, each at the partition of its ``file_id``; with ``keep`` they are persisted
-    there, so they are read and moved once, and so are the functions and findings,
-    which several results use.  Lost blocks are computed again from the source.  Call
-    ``release`` when done.
+    files, each at the partition of its ``file_id``.  With ``keep`` (the default) they
+    are persisted there, so they are read and moved once, and so are the functions, the
+    per-file aggregates and the findings, which several results use.  Lost blocks are
+    computed again from the source.  Call ``release`` when done.  Without ``keep`` every
+    pass reads the source; that suits single tables.
     """
 
     def __init__(
@@ -31,7 +32,7 @@ class Analysis:
         change_log: DataFrame | None = None,
         *,
         co_located: bool = False,
-        keep: bool = False,
+        keep: bool = True,
         path_aware: bool = False,
         max_bytes: int = fv.MAX_FILE_BYTES,
         max_files: int | None = None,
@@ -65,6 +66,14 @@ class Analysis:
     def functions(self) -> DataFrame:
         return self._kept_if_wanted(complexity.functions(self.lines))
 
+    @cached_property
+    def file_stats(self) -> DataFrame:
+        """All aggregates over the lines of a file, a row per file."""
+        return self._kept_if_wanted(
+            per_file(
+                self.lines, ai.line_stats(), ai.comment_stats(), complexity.branch_stats(),
+                quality.naming_stats()))
+
     @cached_property
     def security_issues(self) -> DataFrame:
         return security.scan(self.lines, self._path_aware)
@@ -75,8 +84,7 @@ class Analysis:
 
     @cached_property
     def quality_issues(self) -> DataFrame:
-        return quality.scan(
-            self.lines, self.files, self.functions, complexity.function_starts(self.lines))
+        return quality.scan(self.lines, self.files, self.functions, self.file_stats)
 
     @cached_property
     def issues(self) -> DataFrame:
@@ -86,7 +94,8 @@ class Analysis:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return ai.signals(ai.file_stats(self.files, self.lines, self.functions))
+        stats = ai.file_stats(self.files, self.lines, self.functions, self.file_stats)
+        return ai.signals(stats, "complexity")
 
     @cached_property
     def git_info(self) -> DataFrame | None:
@@ -99,13 +108,11 @@ class Analysis:
         """A row per file with its score, complexity and counts of findings."""
         scored = self.signals.select(
             "file_id", "path", "language", F.col("n_lines").alias("line_count"),
-            ai.ai_score().alias("ai_score"), "comment_ratio", "n_functions",
+            ai.ai_score().alias("ai_score"), "comment_ratio", "n_functions", "complexity",
         )
-        branches = complexity.file_complexity(self.lines).select("file_id", "complexity")
         counts = rollup.issues_per_file(self.issues)
         report = (
-            scored.join(branches, "file_id", "left")
-            .join(counts, "file_id", "left")
+            scored.join(counts, "file_id", "left")
             .fillna(0, ["issue_count", "security_issues", "quality_issues", "ai_issues"])
         )
         if self.git_info is None:

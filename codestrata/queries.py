@@ -15,7 +15,7 @@ from codestrata.operators.findings import ISSUE_COLUMNS
 from codestrata.plans.analysis import Analysis
 from codestrata.sources import changes, corpus, derived, reports
 from codestrata.sources.lines import (
-    line_count, with_line_columns,
+    line_count, per_file, with_line_columns,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,7 @@ class Inputs:
 
     @cached_property
     def analysis(self) -> Analysis:
-        return Analysis(self.raw_files, co_located=True)
+        return Analysis(self.raw_files, co_located=True, keep=False)
 
     @cached_property
     def files(self) -> DataFrame:
@@ -321,7 +321,7 @@ def _(i: Inputs):
 
 @single("long_parameter_lists")
 def _(i: Inputs):
-    return quality.long_parameter_lists(i.starts)
+    return quality.emit(i.functions, quality.long_parameter_list())
 
 
 @single("dead_code")
@@ -352,7 +352,7 @@ def _(i: Inputs):
 
 @single("naming_inconsistency")
 def _(i: Inputs):
-    return quality.naming_inconsistency(i.lines)
+    return quality.naming_inconsistency(per_file(i.lines, quality.naming_stats()))
 
 
 @single("unused_imports")
@@ -406,9 +406,7 @@ def _(i: Inputs):
 def _line_signal(name: str, score: Callable[[], Column]) -> None:
     @single(name)
     def _(i: Inputs):
-        stats = ai.line_stats(i.lines).join(
-            i.files.select("file_id", line_count().alias("n_lines")), "file_id")
-        return stats.select("file_id", r6(score()).alias("score"))
+        return per_file(i.lines, ai.line_stats()).select("file_id", r6(score()).alias("score"))
 
 
 _line_signal("formatting", ai.formatting)
@@ -431,7 +429,7 @@ def _(i: Inputs):
 
 @single("marker_phrase_score")
 def _(i: Inputs):
-    return ai.comment_stats(i.lines).select(
+    return per_file(i.lines, ai.comment_stats()).filter("n_comments > 0").select(
         "file_id", "n_comments", "n_markers", ai.marker_phrases().alias("score"))
 
 
@@ -442,7 +440,7 @@ def _(i: Inputs):
 
 @single("readme_comment_score")
 def _(i: Inputs):
-    return ai.comment_stats(i.lines).select(
+    return per_file(i.lines, ai.comment_stats()).filter("n_comments > 0").select(
         "file_id", "n_comments", "n_readme", ai.readme_comments().alias("score"))
 
 
@@ -455,11 +453,8 @@ def _(i: Inputs):
 def _repetition(name: str, score: Callable[[], Column]) -> None:
     @single(name)
     def _(i: Inputs):
-        stats = (
-            i.files.select("file_id", line_count().alias("n_lines"))
-            .join(ai.line_stats(i.lines), "file_id", "left")
-            .join(ai.shape_stats(i.lines), "file_id", "left")
-        )
+        stats = per_file(i.lines, ai.line_stats()).join(
+            ai.shape_stats(i.lines), "file_id", "left")
         return stats.select("file_id", r6(score()).alias("score"))
 
 

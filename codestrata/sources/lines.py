@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -71,3 +73,32 @@ def next_non_null(column: str) -> Column:
 
 def previous_non_null(column: str) -> Column:
     return F.expr(f"lag({column}) IGNORE NULLS OVER (PARTITION BY file_id ORDER BY line_no)")
+
+
+class LineStats(NamedTuple):
+    """Aggregates over the lines of a file and the columns of a line they need.
+
+    ``windowed`` columns look at other lines of the file, by way of ``columns``.
+    """
+
+    columns: dict[str, Column]
+    aggregates: dict[str, Column]
+    windowed: dict[str, Column] = {}
+
+
+def per_file(lines: DataFrame, *stats: LineStats) -> DataFrame:
+    """``(file_id, path, language, n_lines, ...)``: all ``stats`` in one aggregate.
+
+    Every file has a line, so every file has a row.
+    """
+    columns = {k: c for s in stats for k, c in s.columns.items()}
+    windowed = {k: c for s in stats for k, c in s.windowed.items()}
+    aggregates = {k: c for s in stats for k, c in s.aggregates.items()}
+    described = lines.select(
+        "file_id", "path", "language", "n_lines", "line_no",
+        *[c.alias(k) for k, c in columns.items()],
+    )
+    if windowed:
+        described = described.withColumns(windowed)
+    return described.groupBy("file_id", "path", "language", "n_lines").agg(
+        *[c.alias(k) for k, c in aggregates.items()])

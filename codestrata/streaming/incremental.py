@@ -40,7 +40,7 @@ def analyse_landing(files: DataFrame, out: str, checkpoint: str) -> DataStreamWr
     """
 
     def analyse(batch: DataFrame, batch_id: int) -> None:
-        analysis = Analysis(batch, keep=True)
+        analysis = Analysis(batch)
         try:
             analysis.issues.write.mode("overwrite").parquet(f"{out}/issues/batch={batch_id}")
             analysis.file_report.write.mode("overwrite").parquet(

@@ -40,7 +40,7 @@ def random_files():
 @pytest.fixture(scope="module")
 def analysis(spark, random_files):
     a = Analysis(
-        spark.createDataFrame(random_files, "file_id long, path string, content string"), keep=True)
+        spark.createDataFrame(random_files, "file_id long, path string, content string"))
     yield a
     a.release()
 
@@ -99,7 +99,7 @@ def test_duplicates(analysis, random_files):
 
 
 def test_transitions(analysis, random_files):
-    rows = ai.line_stats(analysis.lines).select("file_id", "n_transitions").collect()
+    rows = analysis.file_stats.select("file_id", "n_transitions").collect()
     assert_same(random_files, rows, lambda c, lines, lang: [model.transitions(lines)])
 
 

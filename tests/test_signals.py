@@ -118,7 +118,7 @@ def test_summary_and_gate(spark, rows, summary, verdict):
 
 
 def test_whole_analysis(files):
-    a = Analysis(files(["x\n", "h := md5.New()", "// todo: x"]), keep=True)
+    a = Analysis(files(["x\n", "h := md5.New()", "// todo: x"]))
     s = a.summary.first()
     assert (s.files_analyzed, s.files_flagged, s.total_issues, s.security_issues) == (3, 2, 2, 1)
     assert a.gate.first().verdict == "FAIL"

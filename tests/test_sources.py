@@ -83,7 +83,7 @@ def test_lines(files):
 
 def test_co_located_lines_need_one_shuffle(files):
     """Windows and aggregates by file add no exchange of their own."""
-    a = Analysis(files(["x\n" * 20]))
+    a = Analysis(files(["x\n" * 20]), keep=False)
     plan = a.functions._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
@@ -99,7 +99,7 @@ def test_bucketed_corpus_needs_no_shuffle(spark, files):
     corpus.save_bucketed(files(["func a() {\n}\n", "x"]), "bucketed_corpus", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        a = Analysis(spark.table("bucketed_corpus"), co_located=True)
+        a = Analysis(spark.table("bucketed_corpus"), co_located=True, keep=False)
         plan = a.functions._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
         assert [r.name for r in a.functions.collect()] == ["a"]
@@ -140,7 +140,7 @@ def test_files_without_history(spark, files):
 
 
 def test_reports(spark, files, tmp_path):
-    a = Analysis(files(["h := md5.New()\n// todo: x", "x"]), log(spark), keep=True)
+    a = Analysis(files(["h := md5.New()\n// todo: x", "x"]), log(spark))
     out = str(tmp_path)
     reports.write_json_report(a.summary, a.file_report, a.issues, out)
     stored = [json.loads(x) for f in os.listdir(f"{out}/files") if f.endswith(".json")
@@ -163,7 +163,7 @@ def test_reports(spark, files, tmp_path):
 
 
 def test_snippets_and_views(files):
-    a = Analysis(files(["  h := md5.New() // " + "x" * 90]), keep=True)
+    a = Analysis(files(["  h := md5.New() // " + "x" * 90]))
     row = views.security_view(a.issues, a.lines).first()
     assert row.label == "ERROR" and len(row.snippet) == 70 and row.snippet.endswith("...")
     order = [r.severity for r in views.by_severity(a.issues).collect()]

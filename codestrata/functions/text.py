@@ -80,15 +80,18 @@ def is_comment(trimmed: Column | str = "trimmed") -> Column:
     return starts_with_any(trimmed, fv.COMMENT_PREFIXES)
 
 
-def comment_text(trimmed: Column | str = "trimmed") -> Column:
+def comment_text_sql(trimmed: str) -> str:
     """The text after a comment marker; the trimmed line if there is none."""
-    trimmed = _col(trimmed)
-    out = None
-    for prefix in fv.COMMENT_TEXT_PREFIXES:
-        rest = strip(F.substring(trimmed, len(prefix) + 1, 2**31 - 1))
-        hit = trimmed.startswith(prefix)
-        out = F.when(hit, rest) if out is None else out.when(hit, rest)
-    return out.otherwise(trimmed)
+    cases = " ".join(
+        f"WHEN startswith({trimmed}, {sql_string(p)})"
+        f" THEN btrim(substring({trimmed}, {len(p) + 1}), {sql_string(WHITE_SPACE)})"
+        for p in fv.COMMENT_TEXT_PREFIXES
+    )
+    return f"CASE {cases} ELSE {trimmed} END"
+
+
+def comment_text(trimmed: str = "trimmed") -> Column:
+    return F.expr(comment_text_sql(trimmed))
 
 
 def is_security_comment(line: Column | str = "line") -> Column:

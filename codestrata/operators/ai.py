@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
+from codestrata.functions.regex import to_java
 from codestrata.functions.text import sql_string
 from codestrata.operators.findings import AI_PASS, emit, finding, union_all
 from codestrata.sources.lines import LineStats, in_file, line_count, previous_non_null
@@ -124,9 +125,8 @@ def generic_naming(files: DataFrame) -> DataFrame:
         generic_names(files).filter(F.col("n_lines") >= fv.MIN_AI_LINES),
         finding(
             type="generic_naming", severity=fv.INFO, category=fv.AI_PATTERN, fix="",
-            message=F.concat(F.lit("Generic identifier '"), "name",
-                             F.lit("' — common in AI-generated code")),
-            pass_no=AI_PASS, check_no=GENERIC, ord=F.col("pos"),
+            message="Generic identifier '{name}' — common in AI-generated code",
+            pass_no=AI_PASS, check_no=GENERIC, ord="pos",
         ),
     )
 
@@ -136,13 +136,11 @@ def generic_naming(files: DataFrame) -> DataFrame:
 
 def phrase_no(patterns: list[str]) -> Column:
     """Number of the first pattern that a comment line matches, else NULL."""
-    def first(comment: Column) -> Column:
-        cases = F
-        for n, pattern in enumerate(patterns, start=1):
-            cases = cases.when(text.matches(comment, pattern), n)
-        return F.when(F.octet_length(comment) >= MIN_COMMENT_BYTES, cases)
-
-    return F.when(text.is_comment(), text.let(text.comment_text(), first))
+    cases = " ".join(
+        f"WHEN c RLIKE {sql_string(to_java(p))} THEN {n}" for n, p in enumerate(patterns, start=1))
+    first = f"CASE WHEN octet_length(c) < {MIN_COMMENT_BYTES} THEN NULL {cases} END"
+    bound = text.comment_text_sql("trimmed")
+    return F.when(text.is_comment(), F.expr(f"get(transform(array({bound}), c -> {first}), 0)"))
 
 
 def marker_no() -> Column:
@@ -161,12 +159,12 @@ def comment_lines(lines: DataFrame) -> DataFrame:
 
 
 def marker_phrase() -> Column:
-    messages = F.array(*[F.lit(m) for _, m in fv.MARKER_PHRASES])
+    messages = ", ".join(sql_string(m) for _, m in fv.MARKER_PHRASES)
     return F.when(
         F.col("marker_no").isNotNull() & (F.col("n_lines") >= fv.MIN_AI_LINES),
         finding(
             type="ai_marker_phrase", severity=fv.INFO, category=fv.AI_PATTERN, fix="",
-            message=F.get(messages, F.col("marker_no") - 1),
+            message="", message_sql=f"get(array({messages}), marker_no - 1)",
             pass_no=AI_PASS, check_no=MARKER,
         ),
     )

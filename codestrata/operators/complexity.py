@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
+from codestrata.functions.regex import to_java
+from codestrata.functions.text import sql_string
 from codestrata.sources.lines import LineStats, per_file, so_far
 
 
@@ -17,41 +19,40 @@ def branch_count(trimmed: str = "trimmed", language: str = "language") -> Column
 
     A keyword counts once per line, wherever it stands.
     """
-    trimmed, language = F.col(trimmed), F.col(language)
     fallback = fv.BRANCH_KEYWORDS[fv.FALLBACK_KEYWORD_LANGUAGE]
     by_keywords: dict[tuple[str, ...], list[str]] = {}
     for name, keywords in fv.BRANCH_KEYWORDS.items():
         if keywords != fallback:
             by_keywords.setdefault(keywords, []).append(name)
 
-    def words(keywords: tuple[str, ...]) -> Column:
-        return F.array(*[F.lit(k) for k in keywords])
+    def listed(words) -> str:
+        return ", ".join(sql_string(w) for w in words)
 
-    own = reduce(
-        lambda cases, kv: cases.when(language.isin(kv[1]), words(kv[0])), by_keywords.items(), F)
-    present = F.size(F.filter(own.otherwise(words(fallback)), lambda k: trimmed.contains(k)))
+    cases = " ".join(
+        f"WHEN {language} IN ({listed(names)}) THEN array({listed(words)})"
+        for words, names in by_keywords.items())
+    own = f"CASE {cases} ELSE array({listed(fallback)}) END"
+    present = F.expr(f"size(filter({own}, k -> contains({trimmed}, k)))")
     return present + reduce(
         Column.__add__, [text.count_of(trimmed, op) for op in fv.LOGICAL_OPERATORS])
 
 
 def function_name(trimmed: str = "trimmed", language: str = "language") -> Column:
     """The name of the function that starts on the line, NULL if none does."""
-    language = F.col(language)
     by_pattern: dict[tuple, list[str]] = {}
     for name, spec in fv.FUNCTION_PATTERNS.items():
         by_pattern.setdefault(spec, []).append(name)
-
-    def name_in(line: Column) -> Column:
-        out = F
-        for (pattern, groups), names in by_pattern.items():
-            found = F.coalesce(*[F.nullif(text.group(line, pattern, g), F.lit("")) for g in groups])
-            hit = language.isin(names)
-            if pattern.endswith(r"\("):
-                hit = hit & line.contains("(")  # spares long lines the backtracking
-            out = out.when(hit, found)
-        return out
-
-    return text.let(F.col(trimmed), name_in)
+    cases = []
+    for (pattern, groups), names in by_pattern.items():
+        java = sql_string(to_java(pattern))
+        found = ", ".join(f"nullif(regexp_extract({trimmed}, {java}, {g}), '')" for g in groups)
+        hit = f"{language} IN ({', '.join(sql_string(n) for n in names)})"
+        if pattern.endswith(r"\("):
+            hit += f" AND contains({trimmed}, '(')"  # spares long lines the backtracking
+        cases.append(f"WHEN {hit} THEN coalesce({found})")
+    # inside a lambda the long CASE is interpreted, not part of one huge generated method
+    case = f"CASE {' '.join(cases)} END"
+    return F.expr(f"get(transform(array(0), one -> {case}), 0)")
 
 
 def brace_change(c: str) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.functions.text import sql_string
+
 #: Findings sort by pass, check, position within the check, and rule.
 ORDER = ("pass_no", "check_no", "ord", "rule_no")
 ISSUE_COLUMNS = (
@@ -16,28 +19,30 @@ ISSUE_COLUMNS = (
 AI_PASS, SECURITY_PASS, QUALITY_PASS = 1, 2, 3
 
 
-def _c(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def filled(template: str) -> str:
+    """SQL for ``template`` with each ``{column}`` replaced by the column's value."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [sql_string(t) if n % 2 == 0 else t for n, t in enumerate(parts) if t or n % 2]
+    return f"concat({', '.join(pieces)})" if len(parts) > 1 else sql_string(template)
 
 
 def finding(
-    *, type, severity, category, message, fix, pass_no, check_no,
-    line_no: Column | None = None, ord: Column | None = None, rule_no=0,
+    *, type: str, severity: int, category: int, message: str, fix: str, pass_no: int,
+    check_no: int, line_no: str = "line_no", ord: str | None = None, rule_no: str = "0",
+    message_sql: str | None = None,
 ) -> Column:
-    """A struct with all columns of a finding but the file."""
-    line_no = F.col("line_no") if line_no is None else line_no
-    ord = line_no if ord is None else ord
-    return F.struct(
-        line_no.cast("int").alias("line_no"),
-        _c(type).alias("type"),
-        _c(severity).cast("int").alias("severity"),
-        _c(category).cast("int").alias("category"),
-        _c(message).alias("message"),
-        _c(fix).alias("fix"),
-        _c(pass_no).cast("int").alias("pass_no"),
-        _c(check_no).cast("int").alias("check_no"),
-        _c(ord).cast("long").alias("ord"),
-        _c(rule_no).cast("int").alias("rule_no"),
+    """A struct with all columns of a finding but the file, put together as SQL text.
+
+    ``message`` and ``fix`` are templates, see ``filled``; ``message_sql`` replaces the
+    former by an expression.
+    """
+    return F.expr(
+        "named_struct("
+        f"'line_no', cast({line_no} AS int), 'type', {sql_string(type)},"
+        f" 'severity', {severity}, 'category', {category},"
+        f" 'message', {message_sql or filled(message)}, 'fix', {filled(fix)},"
+        f" 'pass_no', {pass_no}, 'check_no', {check_no},"
+        f" 'ord', cast({ord or line_no} AS bigint), 'rule_no', cast({rule_no} AS int))"
     )
 
 

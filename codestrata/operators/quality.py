@@ -19,27 +19,22 @@ from codestrata.sources.lines import (
 ) = range(1, 14)
 
 
-def _quality(type, severity, message, fix, check_no, **more) -> Column:
+def _quality(type: str, severity: int, message: str, fix: str, check_no: int, **more) -> Column:
     return finding(
         type=type, severity=severity, category=fv.QUALITY, message=message, fix=fix,
         pass_no=QUALITY_PASS, check_no=check_no, **more,
     )
 
 
-def _s(c: str) -> Column:
-    return F.col(c).cast("string")
-
-
 # -- functions -------------------------------------------------------------
 
 
 def function_complexity() -> Column:
     def found(type, severity, word, threshold, fix):
-        message = F.concat(
-            F.lit("Function '"), "name", F.lit("' has cyclomatic complexity "), _s("complexity"),
-            F.lit(f" ({word} threshold: {threshold})"),
-        )
-        return _quality(type, severity, message, fix, COMPLEXITY, line_no=F.col("start_line"))
+        message = (
+            "Function '{name}' has cyclomatic complexity {complexity}"
+            f" ({word} threshold: {threshold})")
+        return _quality(type, severity, message, fix, COMPLEXITY, line_no="start_line")
 
     return F.when(
         F.col("complexity") >= fv.COMPLEXITY_CRITICAL,
@@ -55,17 +50,15 @@ def function_complexity() -> Column:
 def function_length() -> Column:
     god = _quality(
         "god_function", fv.ERROR,
-        F.concat(F.lit("God function '"), "name", F.lit("' — "), _s("line_count"),
-                 F.lit(" lines with complexity "), _s("complexity")),
+        "God function '{name}' — {line_count} lines with complexity {complexity}",
         "This function does too much. Split into focused functions with single responsibilities.",
-        LENGTH, line_no=F.col("start_line"),
+        LENGTH, line_no="start_line",
     )
     long = _quality(
         "long_function", fv.WARNING,
-        F.concat(F.lit("Function '"), "name", F.lit("' is "), _s("line_count"),
-                 F.lit(f" lines (recommended max: {fv.MAX_FUNCTION_LINES})")),
+        f"Function '{{name}}' is {{line_count}} lines (recommended max: {fv.MAX_FUNCTION_LINES})",
         "Break into smaller functions. Functions should ideally fit on one screen.",
-        LENGTH, line_no=F.col("start_line"),
+        LENGTH, line_no="start_line",
     )
     is_god = (F.col("line_count") > fv.GOD_FUNCTION_LINES) & (
         F.col("complexity") > fv.GOD_FUNCTION_COMPLEXITY)
@@ -77,10 +70,9 @@ def long_parameter_list() -> Column:
         F.col("n_params") > fv.MAX_PARAMETERS,
         _quality(
             "long_param_list", fv.WARNING,
-            F.concat(F.lit("Function '"), "name", F.lit("' has "), _s("n_params"),
-                     F.lit(f" parameters (max recommended: {fv.MAX_PARAMETERS})")),
+            f"Function '{{name}}' has {{n_params}} parameters (max recommended: {fv.MAX_PARAMETERS})",
             "Group related parameters into a struct/object. Consider using options pattern or builder.",
-            PARAMETERS, line_no=F.col("start_line"),
+            PARAMETERS, line_no="start_line",
         ),
     )
 
@@ -101,8 +93,7 @@ def long_files(files: DataFrame) -> DataFrame:
             F.col("n_lines") > fv.MAX_FILE_LINES,
             _quality(
                 "long_file", fv.INFO,
-                F.concat(F.lit("File is "), _s("n_lines"),
-                         F.lit(f" lines (recommended max: {fv.MAX_FILE_LINES})")),
+                f"File is {{n_lines}} lines (recommended max: {fv.MAX_FILE_LINES})",
                 "Split into multiple files by responsibility. Group related functions together.",
                 LONG_FILE,
             ),
@@ -123,8 +114,7 @@ def deep_nesting(lines: DataFrame) -> DataFrame:
         first,
         _quality(
             "deep_nesting", fv.WARNING,
-            F.concat(F.lit("Code nested "), _s("level"),
-                     F.lit(f" levels deep (max recommended: {fv.MAX_NESTING})")),
+            f"Code nested {{level}} levels deep (max recommended: {fv.MAX_NESTING})",
             "Use early returns (guard clauses) to reduce nesting. Extract nested logic into helper functions.",
             NESTING,
         ),
@@ -188,33 +178,30 @@ def dead_code() -> Column:
     return F.when(
         F.col("next_filled").isNotNull() & ~F.col("in_closure") & ~fine & is_jump(),
         _quality(
-            "dead_code", fv.WARNING, F.concat(F.lit("Unreachable code after "), "trimmed"),
+            "dead_code", fv.WARNING, "Unreachable code after {trimmed}",
             "Remove this unreachable code or restructure the control flow.",
-            DEAD_CODE, line_no=F.col("next_filled_no"), ord=F.col("line_no"),
+            DEAD_CODE, line_no="next_filled_no", ord="line_no",
         ),
     )
 
 
 def empty_error_handler() -> Column:
     """Needs the columns of ``with_following_lines``; the last line is never one."""
-    t = F.col("trimmed")
-    block_empty = F.coalesce(F.col("next_filled") == "}", F.lit(False))
-    python_empty = F.col("next_trimmed").isin("pass", "")
     kind = (
-        F.when(t.contains("catch") & t.endswith("{"), F.when(block_empty, "catch block"))
-        .when(t.contains("except") & t.endswith(":"), F.when(python_empty, "except block"))
-        .when(
-            (F.col("language") == "Go") & t.contains("if err != nil") & t.endswith("{"),
-            F.when(block_empty, "error handler"),
-        )
+        "CASE WHEN contains(trimmed, 'catch') AND endswith(trimmed, '{')"
+        " THEN CASE WHEN next_filled = '}' THEN 'catch block' END"
+        " WHEN contains(trimmed, 'except') AND endswith(trimmed, ':')"
+        " THEN CASE WHEN next_trimmed IN ('pass', '') THEN 'except block' END"
+        " WHEN language = 'Go' AND contains(trimmed, 'if err != nil') AND endswith(trimmed, '{')"
+        " THEN CASE WHEN next_filled = '}' THEN 'error handler' END END"
     )
     return F.when(
-        F.col("next_trimmed").isNotNull() & kind.isNotNull(),
+        F.expr(f"next_trimmed IS NOT NULL AND ({kind}) IS NOT NULL"),
         _quality(
-            "empty_error_handler", fv.ERROR,
-            F.concat(F.lit("Empty "), kind, F.lit(" — errors silently swallowed")),
+            "empty_error_handler", fv.ERROR, "",
             "At minimum, log the error. Consider returning it or wrapping with context.",
             EMPTY_HANDLER,
+            message_sql=f"concat('Empty ', {kind}, ' — errors silently swallowed')",
         ),
     )
 
@@ -235,15 +222,15 @@ def error_swallowing() -> Column:
 
 
 def todo_marker() -> Column:
-    word = F.upper(text.group("line", fv.TODO_PATTERN, 1))
-    rest = text.strip(text.group("line", fv.TODO_PATTERN, 2))
     words = ("todo", "fixme", "hack", "xxx", "bug")
+    java = text.sql_string(text.to_java(fv.TODO_PATTERN))
+    rest = f"btrim(regexp_extract(line, {java}, 2), {text.sql_string(text.WHITE_SPACE)})"
     return F.when(
         text.let(F.lower("line"), lambda low: text.holds_any(low, words))
         & text.matches("line", fv.TODO_PATTERN),
         _quality(
-            "todo_marker", fv.INFO, F.concat(word, F.lit(": "), rest),
-            "Resolve this TODO before merging to main branch.", TODO,
+            "todo_marker", fv.INFO, "", "Resolve this TODO before merging to main branch.", TODO,
+            message_sql=f"concat(upper(regexp_extract(line, {java}, 1)), ': ', {rest})",
         ),
     )
 
@@ -280,11 +267,9 @@ def magic_numbers(lines: DataFrame) -> DataFrame:
         first,
         _quality(
             "magic_number", fv.INFO,
-            F.concat(F.lit("Magic number "), "token",
-                     F.lit(" — consider defining as a named constant")),
-            F.concat(F.lit("Extract to a named constant for readability: const someName = "),
-                     "token"),
-            MAGIC, rule_no=F.col("pos"),
+            "Magic number {token} — consider defining as a named constant",
+            "Extract to a named constant for readability: const someName = {token}",
+            MAGIC, rule_no="pos",
         ),
     )
 
@@ -325,16 +310,18 @@ def naming_inconsistency(stats: DataFrame) -> DataFrame:
             .alias("line_no"),
         )
     )
-    message = F.when(
-        F.col("snake_minor"),
-        "Mixed naming conventions — file uses mostly camelCase but also contains snake_case",
-    ).otherwise("Mixed naming conventions — file uses mostly snake_case but also contains camelCase")
+    styles = "if(snake_minor, '{0}', '{1}')"
+    message = (
+        "concat('Mixed naming conventions — file uses mostly ',"
+        f" {styles.format('camelCase', 'snake_case')}, ' but also contains ',"
+        f" {styles.format('snake_case', 'camelCase')})")
     return emit(
         chosen,
         F.when(
             F.col("line_no").isNotNull(),
-            _quality("naming_inconsistency", fv.INFO, message,
-                     "Pick one convention and use it consistently throughout the file.", NAMING),
+            _quality("naming_inconsistency", fv.INFO, "",
+                     "Pick one convention and use it consistently throughout the file.", NAMING,
+                     message_sql=message),
         ),
     )
 
@@ -403,7 +390,7 @@ def unused_imports(lines: DataFrame, files: DataFrame) -> DataFrame:
         found,
         _quality(
             "unused_import", fv.WARNING,
-            F.concat(F.lit("Import '"), "pkg", F.lit("' may be unused")),
+            "Import '{pkg}' may be unused",
             "Remove unused imports to keep code clean.", IMPORTS,
         ),
     )
@@ -438,7 +425,7 @@ def code_duplication(lines: DataFrame) -> DataFrame:
         duplicate_windows(lines),
         _quality(
             "code_duplication", fv.INFO,
-            F.concat(F.lit("Duplicate code block (also at line "), _s("first_line"), F.lit(")")),
+            "Duplicate code block (also at line {first_line})",
             "Extract duplicated code into a shared function.", DUPLICATION,
         ),
     )

@@ -31,14 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written below spark.checkpoint.dir, which all executors share, without lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all executors share.
+
+    Only where it names none (tests), one of its own is made."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getCheckpointDir()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
 
-    Only where the session names no folder (tests), one of its own is made."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written below the shared folder, without lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

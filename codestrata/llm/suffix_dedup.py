@@ -12,7 +12,8 @@ the same least hash among their half-length grams, so
    A start whose factor has `length` bytes or more repeats an earlier one.
 4. A gram with more than `most` classes (a string that very many texts share, each in other
    surroundings) is not sorted in one task: its starts are grouped by the hash of their string over
-   all tasks, with partial counts; the least position of a group is the earliest.
+   all tasks, with partial counts; the least position of a group is the earliest. Only starts whose
+   band of neighbours shares its bytes with another band get that far.
 With keep_first, bytes covered by strings that stand earlier too are removed and the first copy
 stays; without, every copy goes (a source of a factor is marked as well). Earlier means: smaller
 (doc_id, text hash, position).
@@ -35,6 +36,8 @@ from codestrata.llm.words import BYTES, mix, powers
 
 #: Classes of a gram that are sorted together in one task.
 MOST_CLASSES = 1000
+#: Neighbouring starts of a spread gram that are looked at together first.
+BAND = 32
 #: Bytes of runs that a task sorts at a time; the runs of one gram stay together.
 SORT_BYTES = 2 << 20
 
@@ -199,9 +202,26 @@ def _run_table(keyed: DataFrame, length: int) -> DataFrame:
         cut_up, "id long, h long, lo long, hi long, gram long, cover long, twice boolean")
 
 
+def bands(hashes: Hashes, lo: int, hi: int, gram: int, length: int) -> list[tuple[int, int, int, list[int]]]:
+    """(first start, gram, hash of what the band's strings share, hash of each string) of a run, in
+    bands counted from the gram, so that equal strings lie in bands of equal hash."""
+    starts, width = np.arange(lo, hi + 1), max(1, length // 2)
+    strings = hashes.of(starts, length)
+    near = np.arange(lo, hi + length - width + 1)
+    held = near[hashes.of(near, width).view(np.int64) == gram]
+    if len(held) != 1 or length <= BAND:  # no one place to count from
+        return [(int(s), gram, x, [x]) for s, x in zip(starts, strings.view(np.int64).tolist(), strict=True)]
+    number = (held[0] - starts) // BAND
+    shared = hashes.of(held[0] - BAND * number, length - BAND + 1) + number.astype(np.uint64)
+    cuts = np.append(np.flatnonzero(np.diff(number, prepend=number[0] + 1)), len(starts))
+    return [(int(starts[a]), gram, int(shared[a:a + 1].view(np.int64)[0]), strings[a:b].view(np.int64).tolist())
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(id, h, lo, gram, spread, piece): the bytes of the wanted runs; for spread grams (gram, start,
-    string) rows instead, with no bytes."""
+    """(id, h, lo, gram, band, strings, piece): the bytes of the wanted runs. For spread grams, instead
+    of bytes, bands of neighbouring starts: a hash of the bytes that all strings of the band hold, and
+    the hash of each string."""
     lists = wanted.groupBy(*_ROW).agg(F.collect_list(F.struct("lo", "hi", "gram", "spread")).alias("runs"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,26 +229,26 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
                 hashes = None
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for r in batch.column(3)[i].as_py():
                     if not r["spread"]:
-                        for column, value in zip(out, (r["lo"], r["gram"], None, data[r["lo"]:r["hi"] + length].tobytes()), strict=True):
+                        piece = data[r["lo"]:r["hi"] + length].tobytes()
+                        rows = [(r["lo"], r["gram"], None, None, piece)]
+                    else:
+                        hashes = hashes or Hashes(data)
+                        rows = [(*band, None) for band in bands(hashes, r["lo"], r["hi"], r["gram"], length)]
+                    for row in rows:
+                        for column, value in zip(out, row, strict=True):
                             column.append(value)
-                        continue
-                    hashes = hashes or Hashes(data)
-                    starts = np.arange(r["lo"], r["hi"] + 1)
-                    out[0] += starts.tolist()
-                    out[1] += [r["gram"]] * len(starts)
-                    out[2] += hashes.of(starts, length).view(np.int64).tolist()
-                    out[3] += [None] * len(starts)
                 n = len(out[0])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(c)[i].as_py()] * n, pa.int64()) for c in (0, 1)]
-                    + [pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.binary())],
-                    names=["id", "h", "lo", "gram", "string", "piece"])
+                    + [pa.array(c, pa.int64()) for c in out[:3]]
+                    + [pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
+                    names=["id", "h", "lo", "gram", "band", "strings", "piece"])
 
     return keyed.join(lists, _ROW).select("id", "h", "bytes", "runs").mapInArrow(
-        take, "id long, h long, lo long, gram long, string long, piece binary")
+        take, "id long, h long, lo long, gram long, band long, strings array<long>, piece binary")
 
 
 def _sorted_repeats(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -283,7 +303,11 @@ def _sorted_repeats(pieces: DataFrame, length: int, keep_first: bool) -> DataFra
 
 def _spread_repeats(pieces: DataFrame, keep_first: bool) -> DataFrame:
     """(id, h, lo, hi): repeating starts of grams that are not sorted in one task."""
-    starts = pieces.filter("string IS NOT NULL").select("id", "h", "lo", "gram", "string").distinct()
+    bands_ = pieces.filter("band IS NOT NULL").dropDuplicates(["id", "h", "gram", "lo"])
+    met = bands_.groupBy("gram", "band").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    starts = bands_.join(met, ["gram", "band"]).select(
+        "id", "h", "lo", "gram", F.posexplode("strings").alias("step", "string")).select(
+        "id", "h", (F.col("lo") + F.col("step")).alias("lo"), "gram", "string")
     place = F.struct("id", "h", "lo")
     groups = starts.groupBy("gram", "string").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     hits = starts.join(groups, ["gram", "string"])

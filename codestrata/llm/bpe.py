@@ -12,7 +12,7 @@ Texts are first split at special strings and then into words by the pattern of t
 byte-level tokenizer. Decoding emits the arc labels and reads them as UTF-8 (bad bytes: U+FFFD).
 
 Null and empty texts have no tokens; null ids decode to an empty text. Very long words take time in
-proportion to their length times that of the longest token. Rows are neither dropped nor changed
+proportion to their length. Rows are neither dropped nor changed
 otherwise; repeated rows are encoded alike. Added columns replace columns of the same name."""
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Words kept with their tokens by a worker before it starts anew; only speed depends on it.
-CACHE_WORDS = 400_000
+#: Words, and transitions, that a worker keeps before it starts anew; only speed depends on it.
+CACHE = 250_000
+#: Rows whose ids a worker holds as Python numbers at a time.
+ROWS = 256
 
 # The pattern that splits text before the merges of byte-level BPE.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,7 +52,7 @@ class Automaton:
         self.labels: list[bytes] = [b""] * size
         self.left, self.right, self.time = [-1] * size, [-1] * size, [-1] * size
         self.cuts: dict[tuple[int, int], int] = {}
-        self._open: dict[tuple[int, int], bool] = {}
+        self._open: dict[int, bool] = {}
         self.arcs: dict[bytes, int] = {b: t for b, t in vocabulary.items() if len(b) == 1}
         for label, t in vocabulary.items():
             self.labels[t] = label
@@ -59,7 +61,10 @@ class Automaton:
         self.special = special
         for text, t in special.items():
             self.labels[t] = text.encode()
-        self.longest = max(map(len, self.arcs), default=1)
+        self.reach: dict[bytes, int] = {}  # the longest arc that begins with three bytes
+        for label in self.arcs:
+            if len(label) > 2:
+                self.reach[label[:3]] = max(len(label), self.reach.get(label[:3], 0))
         self._words: dict[str, tuple[int, ...]] = {}
         self._pattern = regex.compile(WORD_PATTERN)
         self._specials = regex.compile(
@@ -90,29 +95,32 @@ class Automaton:
                 return True
 
     def follows(self, state: int, arc: int) -> bool:
-        key = (state, arc)
+        key = state << 32 | arc
         known = self._open.get(key)
         if known is None:
-            if len(self._open) > 4 * CACHE_WORDS:
+            if len(self._open) >= CACHE:
                 self._open.clear()
             known = self._open[key] = self._walk(state, arc, len(self.time))
         return known
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Tokens of one word: the state after every prefix, then the path back."""
-        arcs, follows, longest = self.arcs, self.follows, self.longest
-        state = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                t = arcs.get(word[start:end])
-                if t is not None and (not start or follows(state[start], t)):
-                    state[end] = t
+        """Tokens of one word: its path, found along the longest open arcs.
+
+        The path to a prefix is unique, so a prefix from which no arc goes on is never tried again."""
+        arcs, follows, reach, n = self.arcs, self.follows, self.reach, len(word)
+        path: list[int] = []
+        dead, at = set(), 0
+        while at < n:
+            for size in range(min(n - at, reach.get(word[at:at + 3], 2)), 0, -1):
+                t = arcs.get(word[at:at + size])
+                if t is not None and at + size not in dead and (not path or follows(path[-1], t)):
+                    path.append(t)
+                    at += size
                     break
-        out, end = [], len(word)
-        while end:
-            out.append(state[end])
-            end -= len(self.labels[state[end]])
-        return tuple(reversed(out))
+            else:
+                dead.add(at)
+                at -= len(self.labels[path.pop()])
+        return tuple(path)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -124,7 +132,7 @@ class Automaton:
                 for w in self._pattern.findall(part):
                     known = words.get(w)
                     if known is None:
-                        if len(words) >= CACHE_WORDS:
+                        if len(words) >= CACHE:
                             words.clear()
                         known = self.encode_word(w.encode())
                         if len(w) <= 64:
@@ -165,7 +173,9 @@ def encode(text: Column | str, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         built = automaton(path)
         for texts in batches:
-            yield lists([built.encode(t) if t else [] for t in texts.to_pylist()])
+            parts = [lists([built.encode(t) if t else [] for t in texts.slice(i, ROWS).to_pylist()])
+                     for i in range(0, len(texts), ROWS)]
+            yield pa.concat_arrays(parts or [lists([])])
 
     return ids(text)
 
@@ -177,16 +187,35 @@ def decode(ids: Column | str, path: str) -> Column:
         built = automaton(path)
         for rows in batches:
             bounds = rows.offsets.to_numpy()
-            flat = rows.values.to_numpy(zero_copy_only=False).tolist()
-            yield pa.array([built.decode(flat[a:b]) if ok else "" for a, b, ok in zip(
+            flat = rows.values.to_numpy(zero_copy_only=False)
+            yield pa.array([built.decode(flat[a:b].tolist()) if ok else "" for a, b, ok in zip(
                 bounds[:-1], bounds[1:], rows.is_valid().to_pylist(), strict=True)], pa.string())
 
     return text(ids)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """The documents with their token ids."""
-    return docs.withColumn(into, encode(F.col(text), path))
+def encode_documents(docs: DataFrame, path: str, text: str = "text", into: str = "ids",
+                     decoded: str | None = None) -> DataFrame:
+    """The documents with their token ids and, if a name is given for it, the text that these decode to.
+
+    One Python worker does both; it holds the ids of few rows at a time."""
+    added = [into, *([decoded] if decoded else [])]
+    rest = docs.drop(*added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = automaton(path)
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(first, ROWS)
+                ids = [built.encode(t) if t else [] for t in rows.column(text).to_pylist()]
+                columns = [lists(ids)]
+                if decoded:
+                    columns.append(pa.array([built.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*rows.schema.names, *added])
+
+    schema = StructType([*rest.schema.fields, StructField(into, ArrayType(IntegerType()), False),
+                         *([StructField(decoded, StringType(), False)] if decoded else [])])
+    return rest.mapInArrow(run, schema)
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -94,9 +94,10 @@ def op9_minimum_cut_text(spark, sf_dir):
 
 @query
 def op10_bpe_automaton(spark, sf_dir):
-    docs = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    docs = bpe.encode_documents(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return bpe.decode_documents(docs, VOCABULARY).select(
+    return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

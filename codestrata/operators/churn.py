@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata import fixed_values as fv
 from codestrata.sources.changes import newest_commits
 
 
@@ -45,11 +44,11 @@ def churn(change_log: DataFrame) -> DataFrame:
     )
 
 
-def author_ranks(change_log: DataFrame, max_commits: int = fv.MAX_COMMITS) -> DataFrame:
-    """``(path, author_no, author)``: the authors of a path in the newest commits, newest first.
+def author_ranks(change_log: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """``(path, author_no, author)``: the authors of a path, newest first, of all or the newest commits.
 
-    At most ``max_commits`` rows per path; of a whole history ``authors`` holds the
-    same order as ``newest_at`` and ``newest_commit``, without ranking hot paths.
+    Ranked are distinct authors, so hot paths weigh no more than others of as many authors;
+    ``authors`` holds the same order as ``newest_at`` and ``newest_commit`` without ranks.
     """
     newest_first = Window.partitionBy("path").orderBy(
         F.desc("newest_at"), F.desc("newest_commit"))
@@ -57,11 +56,11 @@ def author_ranks(change_log: DataFrame, max_commits: int = fv.MAX_COMMITS) -> Da
         "path", F.row_number().over(newest_first).alias("author_no"), "author")
 
 
-def git_info(change_log: DataFrame, max_commits: int = fv.MAX_COMMITS) -> DataFrame:
-    """``(path, git_info)`` of the newest commits, with the authors as one list.
+def git_info(change_log: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """``(path, git_info)`` of all or the newest commits, with the authors as one list.
 
-    A list is no longer than ``max_commits``; for a whole history use ``churn`` and
-    ``authors``.
+    A list holds each person once who ever touched the path; ``churn`` and ``authors`` have
+    the same as rows.
     """
     newest_first = F.reverse(
         F.array_sort(F.collect_list(F.struct("newest_at", "newest_commit", "author"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
+from codestrata.functions.linear import FUNCTION_FORMS
 from codestrata.functions.regex import to_java
 from codestrata.functions.text import sql_string
 from codestrata.sources.lines import LineStats, per_file, so_far
@@ -44,8 +45,9 @@ def function_name(trimmed: str = "trimmed", language: str = "language") -> Colum
         by_pattern.setdefault(spec, []).append(name)
     cases = []
     for (pattern, groups), names in by_pattern.items():
-        java = sql_string(to_java(pattern))
-        found = ", ".join(f"nullif(regexp_extract({trimmed}, {java}, {g}), '')" for g in groups)
+        forms = FUNCTION_FORMS.get(pattern, [(pattern, g) for g in groups])
+        found = ", ".join(
+            f"nullif(regexp_extract({trimmed}, {sql_string(to_java(form))}, {g}), '')" for form, g in forms)
         hit = f"{language} IN ({', '.join(sql_string(n) for n in names)})"
         if pattern.endswith(r"\("):
             hit += f" AND contains({trimmed}, '(')"  # spares long lines the backtracking

@@ -53,6 +53,15 @@ def summary(file_report: DataFrame) -> DataFrame:
     )
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """What the gate needs of files with counts of findings."""
+    return files.agg(
+        F.count(F.lit(1)).alias("files_analyzed"),
+        F.coalesce(F.sum("issue_count"), F.lit(0)).alias("total_issues"),
+        F.coalesce(F.sum("security_issues"), F.lit(0)).alias("security_issues"),
+    )
+
+
 def gate(summary: DataFrame) -> DataFrame:
     """The verdict on a project: FAIL/2 on security findings, WARN/1 on any, else PASS/0."""
     unsafe, flagged = F.col("security_issues") > 0, F.col("total_issues") > 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
+from codestrata.functions.linear import LINEAR
 from codestrata.functions.regex import to_java
 from codestrata.functions.text import sql_string
 from codestrata.operators.findings import ISSUE_COLUMNS, SECURITY_PASS
@@ -45,7 +46,7 @@ def secret_values(lines: DataFrame) -> DataFrame:
     """``(file_id, path, line_no, rule_no, value, entropy)`` of all rules that test entropy."""
     found = ", ".join(
         f"CASE WHEN {text.holds_any_sql('low', r.needs)}"
-        f" AND line RLIKE {sql_string(to_java(r.pattern))} THEN named_struct('rule_no', {n},"
+        f" AND line RLIKE {sql_string(to_java(LINEAR.get(r.pattern, r.pattern)))} THEN named_struct('rule_no', {n},"
         f" 'value', {text.secret_value_sql('line', r.pattern, r.entropy_groups)}) END"
         for n, r in enumerate(fv.SECURITY_RULES, start=1)
         if r.entropy_groups
@@ -61,7 +62,7 @@ def secret_values(lines: DataFrame) -> DataFrame:
 
 def rule_hit(rule: fv.Rule, gated: bool = True) -> str:
     """Does ``rule`` fire on a line?  A cheap literal test stands before the pattern."""
-    tests = [f"line RLIKE {sql_string(to_java(rule.pattern))}"]
+    tests = [f"line RLIKE {sql_string(to_java(LINEAR.get(rule.pattern, rule.pattern)))}"]
     if gated:
         tests.insert(0, text.holds_any_sql("low", rule.needs))
     if rule.entropy_groups:

@@ -8,7 +8,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata import fixed_values as fv
 from codestrata.operators import ai, churn, complexity, quality, rollup, security
 from codestrata.operators.findings import union_all
 from codestrata.sources import corpus
@@ -34,9 +33,9 @@ class Analysis:
         co_located: bool = False,
         keep: bool = True,
         path_aware: bool = False,
-        max_bytes: int = fv.MAX_FILE_BYTES,
+        max_bytes: int | None = None,
         max_files: int | None = None,
-        max_commits: int = fv.MAX_COMMITS,
+        max_commits: int | None = None,
     ):
         selected = corpus.analysable(files, max_bytes, max_files)
         if not co_located or max_files is not None:
@@ -123,9 +122,23 @@ class Analysis:
     def summary(self) -> DataFrame:
         return rollup.summary(self.file_report)
 
+    @cached_property
+    def file_counts(self) -> DataFrame:
+        """A row per file with its lines, complexity and counts of findings; no signals."""
+        counts = rollup.issues_per_file(self.issues)
+        return (
+            self.file_stats.select("file_id", "path", F.col("n_lines").alias("line_count"), "complexity")
+            .join(counts, "file_id", "left")
+            .fillna(0, ["issue_count", "security_issues", "quality_issues", "ai_issues"])
+        )
+
     @cached_property
     def gate(self) -> DataFrame:
-        return rollup.gate(self.summary)
+        return rollup.gate(rollup.totals(self.file_counts))
+
+    @cached_property
+    def directories(self) -> DataFrame:
+        return rollup.directory_rollup(self.file_counts)
 
     @cached_property
     def quality_metrics(self) -> DataFrame:

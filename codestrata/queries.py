@@ -117,6 +117,11 @@ def _(i: Inputs):
         "file_id", "path", "language", F.octet_length("content").alias("n_bytes"))
 
 
+@single("skipped_files")
+def _(i: Inputs):
+    return corpus.skipped(i.raw_files, SMALL_FILE_BYTES)
+
+
 @single("walk_prune")
 def _(i: Inputs):
     return i.raw_files.select("file_id", "path", corpus.is_pruned().alias("pruned"))
@@ -186,7 +191,7 @@ def _(a: Analysis):
 
 @single("newest_commits")
 def _(i: Inputs):
-    return changes.newest_commits(i.change_log).select("commit_id", "author", "path")
+    return changes.newest_commits(i.change_log, fv.MAX_COMMITS).select("commit_id", "author", "path")
 
 
 # -- predicates ------------------------------------------------------------
@@ -566,7 +571,7 @@ def _(a: Analysis):
 
 @whole("directory_rollup")
 def _(a: Analysis):
-    return rollup.directory_rollup(a.file_report)
+    return a.directories
 
 
 @single("file_churn")

@@ -9,18 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata import fixed_values as fv
 
-#: Ids of at most this many commits are sent to every task.
-BROADCAST_COMMITS = 100_000
-
-
-def newest_commits(change_log: DataFrame, max_commits: int = fv.MAX_COMMITS) -> DataFrame:
-    """The rows of the newest commits: a top-k of commits, then a semi join.
+def newest_commits(change_log: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """The rows of the newest commits (all without a limit): a top-k of commits, then a semi join.
 
     Commits are made distinct before the top-k; both steps work on partial
     results, so a commit with very many rows is no burden to one task.
     """
+    if max_commits is None:
+        return change_log
     commits = (
         change_log.select("commit_id", "authored_at")
         .distinct()
@@ -28,6 +25,4 @@ def newest_commits(change_log: DataFrame, max_commits: int = fv.MAX_COMMITS) ->
         .limit(max_commits)
         .select("commit_id")
     )
-    if max_commits <= BROADCAST_COMMITS:
-        commits = F.broadcast(commits)
     return change_log.join(commits, "commit_id", "left_semi").select(change_log.columns)

@@ -6,6 +6,7 @@ and ``/`` separated.  A directory tree is read with :func:`scan_directory`; at s
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 
-#: A path list up to this length is small enough to send to every task.
-BROADCAST_PATHS = 100_000
 WALK_SLICES = 200
 
 
@@ -57,15 +56,17 @@ def relative_path(path: Column | str, root: str) -> Column:
 
 
 def scan_directory(
-    spark: SparkSession, root: str, max_bytes: int = fv.MAX_FILE_BYTES
+    spark: SparkSession, root: str, max_bytes: int | None = None
 ) -> DataFrame:
-    """Read a directory tree as ``files``.  Larger files are listed but never opened."""
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .filter(F.col("length") <= max_bytes)
-    )
+    """Read a directory tree as ``files``.  With a limit larger files are listed but never opened.
+
+    A root without a scheme may be relative.  Names that begin with ``_`` are hidden from
+    Spark's listing and so are not read; pass a table for trees that have them."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
+        root = os.path.abspath(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if max_bytes is not None:
+        raw = raw.filter(F.col("length") <= max_bytes)
     path = relative_path("path", root)
     return raw.select(
         path.alias("file_id"),
@@ -76,26 +77,38 @@ def scan_directory(
 
 def analysable(
     files: DataFrame,
-    max_bytes: int = fv.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
     """The files that are analysed, with their ``language``.
 
-    A table may bring its sizes as ``n_bytes``; the limit then reaches the scan, and
-    contents of larger files are not read at all.
+    Without a limit files of any size are.  A table may bring its sizes as ``n_bytes``; a limit
+    then reaches the scan, and contents of larger files are not read at all; ``skipped`` names them.
     """
-    if "n_bytes" in files.columns:
+    if max_bytes is not None and "n_bytes" in files.columns:
         files = files.filter(F.col("n_bytes") <= max_bytes)
     kept = (
         files.withColumn("language", language_of())
         .filter(F.col("language").isNotNull())
         .filter(~is_pruned())
-        .filter(F.octet_length("content") <= max_bytes)
+        .filter(F.lit(True) if max_bytes is None else F.octet_length("content") <= max_bytes)
         .select("file_id", "path", "language", "content")
     )
     return kept if max_files is None else first_in_walk_order(kept, max_files)
 
 
+def skipped(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``(file_id, path, n_bytes, reason)`` of the files that ``analysable`` leaves out."""
+    n_bytes = F.col("n_bytes") if "n_bytes" in files.columns else F.octet_length("content")
+    too_large = F.lit(False) if max_bytes is None else F.col("n_bytes") > max_bytes
+    reason = F.when(is_pruned(), "pruned").when(language_of().isNull(), "unsupported").when(too_large, "too large")
+    return (
+        files.withColumn("n_bytes", n_bytes)
+        .select("file_id", "path", "n_bytes", reason.alias("reason"))
+        .filter(F.col("reason").isNotNull())
+    )
+
+
 def unpruned(files: DataFrame) -> DataFrame:
     """All files a walk lists, supported or not."""
     return files.filter(~is_pruned())
@@ -119,8 +132,6 @@ def first_in_walk_order(files: DataFrame, max_files: int = fv.MAX_FILES) -> Data
         .limit(max_files)
         .select("path")
     )
-    if max_files <= BROADCAST_PATHS:
-        chosen = F.broadcast(chosen)
     return files.join(chosen, "path", "left_semi").select(files.columns)
 
 

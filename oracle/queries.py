@@ -27,6 +27,10 @@ def case_of(column: str, values) -> str:
 
 # -- corpus
 add("corpus_scan", "SELECT file_id, path, language, strlen(content)::INT AS n_bytes FROM files", "files")
+add("skipped_files",
+    f"""SELECT * FROM (SELECT file_id, path, strlen(content)::INT AS n_bytes, CASE WHEN {PRUNED} THEN 'pruned'
+      WHEN language IS NULL THEN 'unsupported' WHEN strlen(content) > {SMALL_FILE_BYTES} THEN 'too large' END AS reason
+      FROM tagged) WHERE reason IS NOT NULL""", "tagged")
 add("walk_prune", f"SELECT file_id, path, {PRUNED} AS pruned FROM raw_files", "raw_files")
 add("language_tagging", "SELECT file_id, path, language FROM tagged", "tagged")
 add("size_filter",
@@ -245,7 +249,7 @@ add("file_churn",
     FROM change_log GROUP BY path""", "change_log")
 add("file_authors",
     """SELECT path, row_number() OVER (PARTITION BY path ORDER BY first_seq)::INT AS author_no, author
-    FROM (SELECT path, author, min(seq) AS first_seq FROM newest GROUP BY ALL)""", "newest")
+    FROM (SELECT path, author, min(seq) AS first_seq FROM history GROUP BY ALL)""", "history")
 add("author_activity",
     """SELECT path, author, count(*) AS commits, arg_max(commit_id, (authored_at, commit_id)) AS newest_commit
     FROM change_log GROUP BY ALL""", "change_log")

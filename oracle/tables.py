@@ -74,7 +74,7 @@ PRUNED = (
 define(
     "files",
     f"""SELECT file_id, path, language, content FROM tagged
-    WHERE language IS NOT NULL AND NOT {PRUNED} AND strlen(content) <= {fv.MAX_FILE_BYTES}""",
+    WHERE language IS NOT NULL AND NOT {PRUNED}""",
     "tagged",
 )
 define(
@@ -767,19 +767,19 @@ define(
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 define(
-    "newest",
+    "history",
     """SELECT c.*, seq FROM change_log c JOIN (SELECT commit_id, row_number() OVER (
         ORDER BY authored_at DESC, commit_id DESC) AS seq
-      FROM (SELECT DISTINCT commit_id, authored_at FROM change_log)) USING (commit_id)
-    WHERE seq <= 100""",
+      FROM (SELECT DISTINCT commit_id, authored_at FROM change_log)) USING (commit_id)""",
     "change_log",
 )
+define("newest", "SELECT * FROM history WHERE seq <= 100", "history")
 define(
     "git_info",
     """SELECT path, count(*)::INT AS commit_count, arg_min(author, seq) AS last_author,
         strftime(max(authored_at), '%Y-%m-%d') AS last_modified,
         (SELECT string_agg(author, ',' ORDER BY s) FROM (SELECT author, min(seq) AS s
-          FROM newest n WHERE n.path = o.path GROUP BY author)) AS authors
-    FROM newest o GROUP BY path""",
-    "newest",
+          FROM history n WHERE n.path = o.path GROUP BY author)) AS authors
+    FROM history o GROUP BY path""",
+    "history",
 )

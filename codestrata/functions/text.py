@@ -182,7 +182,8 @@ def bar(ratio: Column, width: int) -> Column:
 
 
 def cut(c: Column, over_bytes: int, keep: int) -> Column:
-    """Shorten to ``keep`` characters and '...' if longer than ``over_bytes`` bytes."""
-    return F.when(
-        F.octet_length(c) > over_bytes, F.concat(F.substring(c, 1, keep), F.lit("..."))
-    ).otherwise(c)
+    """Shorten to ``keep`` bytes (whole characters of them) and '...' if longer than ``over_bytes``."""
+    head = F.substring(c.cast("binary"), 1, keep).cast("string")
+    whole = F.when(F.is_valid_utf8(head), head).otherwise(
+        F.regexp_replace(F.make_valid_utf8(head), "\ufffd+$", ""))
+    return F.when(F.octet_length(c) > over_bytes, F.concat(whole, F.lit("..."))).otherwise(c)

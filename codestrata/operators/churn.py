@@ -5,41 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.sources.changes import newest_commits
+from codestrata.sources.changes import newest_commits, recency
 
 
 def authors(change_log: DataFrame) -> DataFrame:
-    """``(path, author, commits, newest_at, newest_commit)``, a row per author of a path.
+    """``(path, author, commits, newest_at, newest_commit, latest_at, head)``, a row per author of a path.
+
+    ``newest`` is by the log, ``latest_at`` by time; ``head`` orders authors by the log.
 
     The partial aggregation takes the load of paths that very many commits touch.
     """
-    newest = F.max(F.struct("authored_at", "commit_id"))
+    newest = F.max(recency(change_log))
     return (
         change_log.groupBy("path", "author")
-        .agg(F.count(F.lit(1)).alias("commits"), newest.alias("newest"))
+        .agg(F.count(F.lit(1)).alias("commits"), newest.alias("newest"),
+             F.max("authored_at").alias("latest_at"))
         .select(
             "path", "author", "commits",
             F.col("newest.authored_at").alias("newest_at"),
             F.col("newest.commit_id").alias("newest_commit"),
+            "latest_at", F.col("newest.head").alias("head"),
         )
     )
 
 
 def churn(change_log: DataFrame) -> DataFrame:
     """``(path, commit_count, author_count, last_author, last_modified)`` of any history."""
-    last = F.max(F.struct("newest_at", "newest_commit", "author"))
+    last = F.max(F.struct("head", "newest_at", "newest_commit", "author"))
     return (
         authors(change_log)
         .groupBy("path")
         .agg(
             F.sum("commits").cast("int").alias("commit_count"),
             F.count(F.lit(1)).cast("int").alias("author_count"),
-            last.alias("last"),
+            last.alias("last"), F.max("latest_at").alias("latest_at"),
         )
         .select(
             "path", "commit_count", "author_count",
             F.col("last.author").alias("last_author"),
-            F.date_format("last.newest_at", "yyyy-MM-dd").alias("last_modified"),
+            F.date_format("latest_at", "yyyy-MM-dd").alias("last_modified"),
         )
     )
 
@@ -51,7 +55,7 @@ def author_ranks(change_log: DataFrame, max_commits: int | None = None) -> DataF
     ``authors`` holds the same order as ``newest_at`` and ``newest_commit`` without ranks.
     """
     newest_first = Window.partitionBy("path").orderBy(
-        F.desc("newest_at"), F.desc("newest_commit"))
+        F.desc("head"), F.desc("newest_at"), F.desc("newest_commit"))
     return authors(newest_commits(change_log, max_commits)).select(
         "path", F.row_number().over(newest_first).alias("author_no"), "author")
 
@@ -63,7 +67,7 @@ def git_info(change_log: DataFrame, max_commits: int | None = None) -> DataFrame
     the same as rows.
     """
     newest_first = F.reverse(
-        F.array_sort(F.collect_list(F.struct("newest_at", "newest_commit", "author"))))
+        F.array_sort(F.collect_list(F.struct("head", "newest_at", "newest_commit", "author", "latest_at"))))
     return (
         authors(newest_commits(change_log, max_commits))
         .groupBy("path")
@@ -73,7 +77,7 @@ def git_info(change_log: DataFrame, max_commits: int | None = None) -> DataFrame
             F.struct(
                 "commit_count",
                 F.col("a")[0]["author"].alias("last_author"),
-                F.date_format(F.array_max("a.newest_at"), "yyyy-MM-dd").alias("last_modified"),
+                F.date_format(F.array_max("a.latest_at"), "yyyy-MM-dd").alias("last_modified"),
                 F.col("a.author").alias("authors"),
             ).alias("git_info"),
         )

@@ -18,7 +18,7 @@ def of_category(issues: DataFrame, category: int) -> DataFrame:
 def with_snippets(issues: DataFrame, lines: DataFrame) -> DataFrame:
     """Findings with the text of their line, shortened.
 
-    Limits are in bytes; the cut itself is made between characters.
+    Limits are in bytes; a character that a limit falls into goes.
     """
     source = lines.select("file_id", "line_no", "line")
     shown = text.strip(text.cut(F.col("line"), 80, 77))

@@ -1,15 +1,22 @@
-"""Change history: a table ``change_log(commit_id, author, authored_at, path)``.
+"""Change history: a table ``change_log(commit_id, author, authored_at, path[, seq])``.
 
-The log order of commits is newest first: ``authored_at`` and then ``commit_id``,
-both descending.
+The log order of commits is newest first: ``seq`` ascending where the table has it (times
+may lie out of order after a rebase), else ``authored_at`` and then ``commit_id``, both
+descending.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def recency(change_log: DataFrame) -> Column:
+    """Greater for commits nearer to the head of the log."""
+    own = (-F.col("seq") if "seq" in change_log.columns else F.lit(0)).cast("long")
+    return F.struct(own.alias("head"), "authored_at", "commit_id")
+
+
 def newest_commits(change_log: DataFrame, max_commits: int | None = None) -> DataFrame:
     """The rows of the newest commits (all without a limit): a top-k of commits, then a semi join.
 
@@ -19,9 +26,9 @@ def newest_commits(change_log: DataFrame, max_commits: int | None = None) -> Dat
     if max_commits is None:
         return change_log
     commits = (
-        change_log.select("commit_id", "authored_at")
+        change_log.select("commit_id", recency(change_log).alias("recency"))
         .distinct()
-        .orderBy(F.desc("authored_at"), F.desc("commit_id"))
+        .orderBy(F.desc("recency"))
         .limit(max_commits)
         .select("commit_id")
     )

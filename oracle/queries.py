@@ -177,7 +177,8 @@ add("file_churn_join",
 
 
 def cut(x: str, over: int, keep: int) -> str:
-    return f"CASE WHEN strlen({x}) > {over} THEN substr({x}, 1, {keep}) || '...' ELSE {x} END"
+    n = f"list_max([n for n in range(0, {keep} + 1) if strlen(substr({x}, 1, n)) <= {keep}])"
+    return f"CASE WHEN strlen({x}) > {over} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
 
 
 SNIPPETS = f"""(SELECT *, {cut('shown', 70, 67)} AS snippet FROM (

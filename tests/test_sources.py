@@ -195,3 +195,40 @@ def test_streams(spark, files, tmp_path):
     memory = found.writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
     assert memory.awaitTermination(120)
     assert spark.table("found").count() == 1
+
+
+def test_log_order_and_time_order_are_kept_apart(spark):
+    """After a rebase the head of the log may be older than what is below it."""
+    def at(day):
+        return datetime.datetime(2024, 1, day)
+    table = spark.createDataFrame(
+        [(1, 2, "ann", at(9), "a"), (2, 1, "bob", at(3), "a"), (3, 3, "cy", at(5), "a")], "commit_id long, seq long, author string, authored_at timestamp, path string")
+    row = churn.churn(table).first()
+    assert (row.last_author, row.last_modified) == ("bob", "2024-01-09")
+    info = churn.git_info(table).first().git_info
+    assert (info.last_author, info.last_modified, info.authors) == ("bob", "2024-01-09", ["bob", "ann", "cy"])
+    assert [r.commit_id for r in changes.newest_commits(table, 1).collect()] == [2]
+    assert changes.newest_commits(table).count() == 3
+
+
+def test_large_files_are_analysed_unless_a_limit_is_given(spark, files):
+    big = files([("big.go", "x := 1\n" * 100_000), ("vendor/a.go", "x"), ("b.txt", "x"), ("c.go", "y")])
+    assert {r.path for r in corpus.analysable(big).collect()} == {"big.go", "c.go"}
+    assert {r.path for r in corpus.analysable(big, 512 * 1024).collect()} == {"c.go"}
+    assert {(r.path, r.reason) for r in corpus.skipped(big, 512 * 1024).collect()} == {
+        ("big.go", "too large"), ("vendor/a.go", "pruned"), ("b.txt", "unsupported")}
+
+
+def test_the_gate_needs_no_identifiers(files):
+    plan = Analysis(files(["x"]), keep=False).gate._jdf.queryExecution().optimizedPlan().toString()
+    identifiers = plan.count("regexp_extract_all")
+    report = Analysis(files(["x"]), keep=False).file_report._jdf.queryExecution().optimizedPlan().toString()
+    assert identifiers < report.count("regexp_extract_all")
+
+
+def test_snippets_are_cut_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from codestrata.functions import text
+    rows = spark.createDataFrame([("é" * 60,), ("a" * 81,), ("é" * 40,)], "line string")
+    assert [r[0] for r in rows.select(text.cut(F.col("line"), 80, 77)).collect()] == ["é" * 38 + "...", "a" * 77 + "...", "é" * 40]

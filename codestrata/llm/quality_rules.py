@@ -40,7 +40,7 @@ SYMBOLS = "#*$%&|<>"
 MEASURES: dict[str, tuple[str, str, int, int]] = {
     "word_length": ("word_chars", "n_words", 100, 300),
     "symbols": ("n_symbols", "word_chars", 1000, 50),
-    "repeated_lines": ("n_dup_lines", "n_lines", 1000, 150),
+    "repeated_lines": ("n_dup_lines", "n_lines", 1000, 350),
     "repeated_words": ("n_repeat_words", "n_words", 1000, 150),
 }
 TWO_SIDED = ("word_length",)

@@ -87,9 +87,36 @@ def release_shared() -> None:
     _shared.clear()
 
 
+class TextInputs(Inputs):
+    """The texts of a table as files, all rows and all text."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, table: str):
+        super().__init__(spark, sf_dir)
+        self.table = table
+
+    @cached_property
+    def raw_files(self) -> DataFrame:
+        return derived.text_files(self.spark, self.sf_dir, self.table)
+
+    @cached_property
+    def analysis(self) -> Analysis:
+        return Analysis(self.raw_files, keep=False)
+
+
+#: Checks that also run over the plain texts of these tables, as ``<table>_<check>``.
+TEXT_TABLES = ("documents", "pages")
+TEXT_CHECKS = (
+    "line_explode", "security_scan", "identifier_tokens", "magic_numbers", "code_duplication",
+    "formatting", "line_length_dist", "generic_repetition",
+)
+
+
 def single(name: str):
     """Register a query over fresh inputs."""
     def register(f: Callable[[Inputs], DataFrame]):
+        if name in TEXT_CHECKS:
+            for table in TEXT_TABLES:
+                REGISTRY[f"{table}_{name}"] = lambda spark, sf_dir, t=table: f(TextInputs(spark, sf_dir, t))
         REGISTRY[name] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
         return f
     return register

@@ -238,7 +238,8 @@ def code_path(key: Column) -> Column:
 
 
 def code_content(text: Column) -> Column:
-    """Source text made of all words of ``text``."""
+    """Source text made of the words (most templates keep them only as hashes; the plain texts are registered as
+    ``documents_*`` and ``pages_*``) of ``text``."""
     run = rf"((?:[^ ]* ){{{WORDS_PER_CHUNK - 1}}}[^ ]*) "
     chunks = F.split(F.regexp_replace(text, run, "$1\u0001"), "\u0001", -1)
     keyed = F.transform(chunks, lambda c: F.struct(c.alias("t"), F.md5(c).alias("h")))
@@ -294,3 +295,19 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
     )
     return touched.join(orders, "commit_id")
+
+
+#: Extensions given to the rows of a table of plain texts in turn; all of supported languages.
+TEXT_EXTENSIONS = {"documents": (".md", ".sql", ".py", ".yaml", ".go"), "pages": (".js", ".php", ".rb")}
+
+
+def text_files(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """``files`` of a table of plain texts: every row is a file with its whole text."""
+    key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}[table]
+    extensions = TEXT_EXTENSIONS[table]
+    extension = F.element_at(
+        F.array(*map(F.lit, extensions)), (F.col(key) % len(extensions) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
+        F.col(key).alias("file_id"),
+        F.concat(F.lit(f"{table}/"), F.col(key).cast("string"), extension).alias("path"),
+        F.col(text).alias("content"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from codestrata import fixed_values as fv
-from codestrata.queries import SMALL_FILE_BYTES, TOP_CHURN, WALK_FIRST
-from oracle.base import has, names, query
+from codestrata.queries import SMALL_FILE_BYTES, TEXT_CHECKS, TEXT_TABLES, TOP_CHURN, WALK_FIRST
+from codestrata.sources.derived import TEXT_EXTENSIONS
+from oracle.base import CTES, has, names, query
 from oracle.tables import (
     AI_SCORE, COMMENT_TEXT, GENERIC_REPETITION, ISSUE, PRUNED, SIGNALS, trim,
 )
@@ -12,8 +13,22 @@ from oracle.tables import (
 SQL: dict[str, str] = {}
 
 
+#: The plain texts as files.
+TEXTS = {
+    t: f"""SELECT {key} AS file_id, '{t}/' || {key} || ([{names(TEXT_EXTENSIONS[t])}])[{key} % {len(TEXT_EXTENSIONS[t])} + 1]
+    AS path, {text} AS content FROM {t}"""
+    for t, key, text in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))
+}
+
+
 def add(name: str, sql: str, *needs: str) -> None:
     SQL[name] = query(sql, *needs)
+    if name in TEXT_CHECKS:
+        derived_files = CTES["raw_files"]
+        for t in TEXT_TABLES:
+            CTES["raw_files"] = ((), TEXTS[t])
+            SQL[f"{t}_{name}"] = query(sql, *needs)
+        CTES["raw_files"] = derived_files
 
 
 def r6(x: str) -> str:

@@ -58,8 +58,8 @@ def test_characters_stay_whole(docs):
     passage = "é" * 40
     texts = [f"a{passage}b", f"cc{passage}d", passage[:10]]
     rows = s.remove_repeats(docs(texts), length=31, rest=("lang", "text")).orderBy("doc_id").collect()
-    assert [bytes(x.kept).decode() for x in rows] == ["aé" + "b"[:0] + "b", "ccd", passage[:10]] or all(
-        bytes(x.kept).decode("utf-8") is not None for x in rows)
+    kept = [bytes(x.kept).decode() for x in rows]  # no half character is left
+    assert kept[2] == passage[:10] and kept[1][:2] == "cc" and kept[1][-1] == "d"
     assert rows[1].n_removed > 60 and rows[0].lang == "en"
 
 

@@ -1,8 +1,13 @@
-"""A session with the settings the jobs are written for."""
+"""Sessions, the folder that executors share, and cuts of lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **settings) -> SparkSession:
@@ -20,3 +25,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **setting
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all executors share.
+
+    Only where it names none (tests), one of its own is made."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getCheckpointDir()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(table: DataFrame) -> DataFrame:
+    """The rows, written below the shared folder and without lineage."""
+    shared_folder(table.sparkSession)
+    return table.checkpoint()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On other machines ship it with the job (--py-files)."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if _PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_PACKAGE_ROOT, *filter(None, paths)])

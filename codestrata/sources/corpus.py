@@ -6,15 +6,14 @@ and ``/`` separated.  A directory tree is read with :func:`scan_directory`; at s
 
 from __future__ import annotations
 
-import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
-
-WALK_SLICES = 200
+from codestrata.operators.ranking import numbered
+from codestrata.sources import tree
 
 
 def language_of(path: Column | str = "path") -> Column:
@@ -55,22 +54,25 @@ def relative_path(path: Column | str, root: str) -> Column:
     ).otherwise(path)
 
 
+def list_directory(spark: SparkSession, root: str) -> DataFrame:
+    """``(file_id, path, n_bytes)`` of the files of a tree; nothing is opened.
+
+    Ignored and hidden directories are not entered. What a name above the root is does not matter."""
+    return tree.list_files(spark, root, is_pruned).select(F.col("path").alias("file_id"), "path", "n_bytes")
+
+
 def scan_directory(
     spark: SparkSession, root: str, max_bytes: int | None = None
 ) -> DataFrame:
-    """Read a directory tree as ``files``.  With a limit larger files are listed but never opened.
+    """Read a directory tree as ``files``, with the sizes as ``n_bytes``.
 
-    A root without a scheme may be relative.  Names that begin with ``_`` are hidden from
-    Spark's listing and so are not read; pass a table for trees that have them."""
-    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
-        root = os.path.abspath(root)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    The files are chosen by their paths and sizes first; no other is opened. A file that may not
+    be read is left out. ``skipped(list_directory(...))`` names what is not chosen."""
+    chosen = list_directory(spark, root).filter(language_of().isNotNull() & ~is_pruned())
     if max_bytes is not None:
-        raw = raw.filter(F.col("length") <= max_bytes)
-    path = relative_path("path", root)
-    return raw.select(
-        path.alias("file_id"),
-        path.alias("path"),
+        chosen = chosen.filter(F.col("n_bytes") <= max_bytes)
+    return tree.read_files(chosen, root).select(
+        F.col("path").alias("file_id"), "path", "n_bytes",
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
@@ -85,13 +87,12 @@ def analysable(
     Without a limit files of any size are.  A table may bring its sizes as ``n_bytes``; a limit
     then reaches the scan, and contents of larger files are not read at all; ``skipped`` names them.
     """
-    if max_bytes is not None and "n_bytes" in files.columns:
-        files = files.filter(F.col("n_bytes") <= max_bytes)
+    n_bytes = F.col("n_bytes") if "n_bytes" in files.columns else F.octet_length("content")
     kept = (
         files.withColumn("language", language_of())
         .filter(F.col("language").isNotNull())
         .filter(~is_pruned())
-        .filter(F.lit(True) if max_bytes is None else F.octet_length("content") <= max_bytes)
+        .filter(F.lit(True) if max_bytes is None else n_bytes <= max_bytes)
         .select("file_id", "path", "language", "content")
     )
     return kept if max_files is None else first_in_walk_order(kept, max_files)
@@ -117,21 +118,10 @@ def unpruned(files: DataFrame) -> DataFrame:
 def first_in_walk_order(files: DataFrame, max_files: int = fv.MAX_FILES) -> DataFrame:
     """The first ``max_files`` files of a recursive walk.
 
-    Only the paths are ranked; contents meet the chosen paths in a semi join.  The
-    first paths of each of ``WALK_SLICES`` random slices come before the last top-k,
-    so that its one task sees no more than ``WALK_SLICES * max_files`` of them.
+    Only the paths are ranked, range by range; contents meet the chosen paths in a semi join.
     """
-    in_slice = Window.partitionBy("slice").orderBy("walk_key")
-    chosen = (
-        files.select(
-            "path", walk_key().alias("walk_key"),
-            F.pmod(F.xxhash64("path"), F.lit(WALK_SLICES)).alias("slice"))
-        .withColumn("rank", F.row_number().over(in_slice))
-        .filter(F.col("rank") <= max_files)
-        .orderBy("walk_key")
-        .limit(max_files)
-        .select("path")
-    )
+    keys = files.select("path", walk_key().alias("walk_key"))
+    chosen = numbered(keys, ["walk_key"], "rank", max_files).select("path")
     return files.join(chosen, "path", "left_semi").select(files.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text
 from codestrata.operators import churn, rollup, views
+from codestrata.operators.ranking import numbered
 from codestrata.plans.analysis import Analysis
 from codestrata.sources import changes, corpus, reports
 from codestrata.sources.lines import explode_lines, line_count, with_line_columns
@@ -32,6 +33,53 @@ def test_scan_directory(spark, tmp_path):
     assert Analysis(corpus.scan_directory(spark, str(tmp_path))).signals.count() == 5
 
 
+def planted(root, names):
+    for name in names:
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x := 1\n")
+
+
+def test_names_with_underscores_are_read(spark, tmp_path):
+    names = ["src/__init__.py", "src/_helpers.py", "src/_private/b.py", "__tests__/c.js", "pkg/_x_test.go", "a.go"]
+    planted(tmp_path, [*names, "__snapshots__/s.js", "_a/.git/config.go"])
+    rows = corpus.scan_directory(spark, str(tmp_path)).collect()
+    assert sorted(r.path for r in rows) == sorted(names)
+    assert {(r.file_id == r.path, r.n_bytes, r.content) for r in rows} == {(True, 7, "x := 1\n")}
+
+
+def test_the_root_may_be_relative_and_lie_below_pruned_names(spark, tmp_path, monkeypatch):
+    planted(tmp_path / ".cache" / "vendor", ["a.go", "sub/b.py", "vendor/c.go"])
+    monkeypatch.chdir(tmp_path / ".cache")
+    for root in ("vendor", "./vendor/", f"file://{tmp_path}/.cache/vendor"):
+        assert sorted(r.path for r in corpus.scan_directory(spark, root).collect()) == ["a.go", "sub/b.py"]
+    with pytest.raises(NotADirectoryError):
+        corpus.scan_directory(spark, "missing")
+
+
+def test_unreadable_files_and_links_to_directories_are_left_out(spark, tmp_path):
+    planted(tmp_path, ["a.go", "d/b.go", "gone.go"])
+    os.symlink(tmp_path, tmp_path / "d" / "loop")
+    os.symlink(tmp_path / "nothing", tmp_path / "dangling.go")
+    files = corpus.scan_directory(spark, str(tmp_path))
+    os.remove(tmp_path / "gone.go")
+    assert sorted(r.path for r in files.collect()) == ["a.go", "d/b.go"]
+
+
+def test_only_chosen_files_are_opened(spark, tmp_path):
+    planted(tmp_path, ["a.go", "b.txt", "node_modules/m/x.js", ".git/o.go", "sub/.h.go"])
+    (tmp_path / "big.go").write_text("x" * 99)
+    listed = corpus.list_directory(spark, str(tmp_path))
+    assert sorted(r.path for r in listed.collect()) == ["a.go", "b.txt", "big.go", "sub/.h.go"]
+    assert {(r.path, r.reason) for r in corpus.skipped(listed, 50).collect()} == {
+        ("b.txt", "unsupported"), ("big.go", "too large"), ("sub/.h.go", "pruned")}
+    plan = corpus.scan_directory(spark, str(tmp_path), 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("RLIKE") < plan.index("LogicalRDD")  # chosen below the read
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert corpus.scan_directory(spark, str(empty)).count() == 0
+
+
 def test_invalid_utf8_is_read(spark, tmp_path):
     (tmp_path / "a.go").write_bytes(b"x \xff\xfe y\nz")
     files = corpus.scan_directory(spark, str(tmp_path))
@@ -70,6 +118,15 @@ def test_walk_order(files):
     assert sorted(r.path for r in got.collect()) == ["B.go", "a-b/x.go", "a/b/c.go", "a/z.go"]
 
 
+def test_numbers_run_on_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)] + [(3, "y")], "n int, s string")
+    got = numbered(rows, ["n", F.desc("s")], "place").orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 1002))
+    assert [(r.n, r.s) for r in got[2:6]] == [(2, "x"), (3, "y"), (3, "x"), (4, "x")]
+    assert sorted(r.n for r in numbered(rows, ["n"], "place", 300).collect()) == [0, 1, 2, 3, *range(3, 299)]
+    assert numbered(rows.limit(0), ["n"], "place").count() == 0
+
+
 def test_lines(files):
     rows = with_line_columns(explode_lines(corpus.analysable(files(
         ["", "a\r\n\n \tb\u00a0\n", "\t  # x", "\u00e9"])))).orderBy("file_id", "line_no").collect()

@@ -518,3 +518,27 @@ AI_REPORT_ABOVE = 50
 JSON_KEEP_FROM = 30
 AI_HIGH_ABOVE = 35
 AI_MODERATE_ABOVE = 20
+
+REPORT_TITLE = "Analysis Report"
+REPORT_SUMMARY_HEAD = ("## Summary", "", "| Metric | Value |", "|--------|-------|")
+#: label, format, column of the summary
+REPORT_FIGURES = (
+    ("Files Analyzed", "%d", "files_analyzed"),
+    ("Files Flagged", "%d", "files_flagged"),
+    ("Average Complexity", "%.1f", "avg_complexity"),
+    ("Total Issues", "%d", "total_issues"),
+    ("AI-Suspected Files", "%d", "ai_suspected"),
+    ("Security Issues", "%d", "security_issues"),
+)
+REPORT_SECTIONS = {
+    CRITICAL: "## 🔴 Critical Issues",
+    ERROR: "## 🟠 Errors",
+    WARNING: "## 🟡 Warnings",
+    INFO: "## 🔵 Info",
+}
+REPORT_ISSUE_HEAD = ("| File | Line | Type | Message |", "|------|------|------|---------|")
+REPORT_SUSPECT_HEAD = (
+    "## 🤖 AI-Suspected Files", "",
+    "| File | AI Probability | Complexity |", "|------|---------------|------------|",
+)
+REPORT_FOOT = ("", "---", "")

@@ -11,20 +11,43 @@ _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 _ONE_WORD = re.compile(r"\\b((?:\[[A-Za-z0-9_-]+\]|\\d|[A-Za-z0-9_(){},*+])+)\\b")
 
 
+_PLAIN_ENDS = re.compile(r"(?i)[a-jl-rt-z](?:.*[a-jl-rt-z])?")
+#: What folding adds to a letter beyond its other case (the long s, the Kelvin sign).
+_FOLDS = {"s": "\u017f", "k": "\u212a"}
+_ALL_FOLDS = "".join(_FOLDS.values())
+
+
+def _folded(ch: str) -> str:
+    return _FOLDS.get(ch.lower(), "")
+
+
+def _folds_of_class(body: str) -> str:
+    """What folding adds to a class with the letters and ranges of ``body`` (no escapes)."""
+    ranges = re.findall(r"(.)-(.)", body)
+    single = re.sub(r".-.", "", body)
+    return "".join(
+        extra for letter, extra in _FOLDS.items()
+        if any(c in single or any(a <= c <= b for a, b in ranges) for c in (letter, letter.upper())))
+
+
 def to_java(pattern: str) -> str:
     """Return ``pattern`` (RE2 syntax) with the same meaning under ``java.util.regex``.
 
     Java's ``\\b`` looks at Unicode letters, its ``\\s`` holds the vertical tab and its
-    ``.`` stops at a carriage return; RE2 does none of that.
+    ``.`` stops at a carriage return; RE2 does none of that.  RE2 folds the long s and the
+    Kelvin sign, Java only ASCII letters, or with its Unicode option also dotted and
+    dotless i; so the two signs are written out.
     """
-    flags = "(?d)"
+    flags, fold = "(?d)", False
     if pattern.startswith("(?i)"):
-        flags, pattern = "(?id)", pattern[4:]
-    if word := _ONE_WORD.fullmatch(pattern):
-        # the neighbours inside are known, so one look around is enough at either end
-        return f"{flags}(?<!{_WORD}){word[1]}(?!{_WORD})"
+        flags, pattern, fold = "(?id)", pattern[4:], True
+    word = _ONE_WORD.fullmatch(pattern)
+    if word and fold and not _PLAIN_ENDS.fullmatch(word[1]):
+        word = None  # the two signs are no word characters, so the ends tell nothing
+    if word:  # the neighbours inside are known, so one look around is enough at either end
+        pattern = word[1]
     out: list[str] = []
-    in_class = False
+    in_class, body, first = False, "", 0
     chars = iter(pattern)
     for ch in chars:
         if ch == "\\":
@@ -33,12 +56,23 @@ def to_java(pattern: str) -> str:
                 out.append(_SPACE if in_class else f"[{_SPACE}]")
             elif escaped == "b" and not in_class:
                 out.append(_BOUNDARY)
+            elif escaped == "w" and fold:
+                out.append(rf"\w{_ALL_FOLDS}" if in_class else rf"[\w{_ALL_FOLDS}]")
+            elif escaped == "W" and fold:
+                raise ValueError("a folded \\W is not translated")
             else:
                 out.append(ch + escaped)
             continue
-        if ch == "[":
-            in_class = True
-        elif ch == "]":
+        if ch == "[" and not in_class:
+            in_class, body, first = True, "", len(out) + 1
+        elif ch == "]" and in_class:
             in_class = False
+            if fold:
+                out.insert(first + body.startswith("^"), _folds_of_class(body))
+        elif in_class:
+            body += ch
+        elif fold and _folded(ch):
+            ch = f"[{ch}{_folded(ch)}]"
         out.append(ch)
-    return flags + "".join(out)
+    java = "".join(out)
+    return f"{flags}(?<!{_WORD}){java}(?!{_WORD})" if word else flags + java

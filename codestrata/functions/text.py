@@ -103,10 +103,19 @@ def is_test_path(path: Column | str = "path") -> Column:
 
 
 def is_definition_line(lowered: Column) -> Column:
-    """The lower-cased line speaks of patterns or texts shown to users."""
+    """The folded line speaks of patterns or texts shown to users."""
     return holds_any(lowered, fv.DEFINITION_LINE_WORDS)
 
 
+def folded_sql(value: str) -> str:
+    """In lower case, as patterns without case see it: the long s counts as an s."""
+    return f"replace(lower({value}), '\u017f', 's')"
+
+
+def folded(c: Column | str) -> Column:
+    return F.replace(F.lower(_col(c)), F.lit("\u017f"), F.lit("s"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once.
 

@@ -226,7 +226,7 @@ def todo_marker() -> Column:
     java = text.sql_string(text.to_java(fv.TODO_PATTERN))
     rest = f"btrim(regexp_extract(line, {java}, 2), {text.sql_string(text.WHITE_SPACE)})"
     return F.when(
-        text.let(F.lower("line"), lambda low: text.holds_any(low, words))
+        text.let(text.folded("line"), lambda low: text.holds_any(low, words))
         & text.matches("line", fv.TODO_PATTERN),
         _quality(
             "todo_marker", fv.INFO, "", "Resolve this TODO before merging to main branch.", TODO,

@@ -18,7 +18,7 @@ from codestrata.functions.text import sql_string
 from codestrata.operators.findings import ISSUE_COLUMNS, SECURITY_PASS
 
 #: Lines the rules look at: not blank, no comment, no definition of a pattern or text.
-#: ``low`` stands for the lower-cased line.
+#: ``low`` stands for the line in lower case, folded.
 ELIGIBLE = (
     "trimmed <> ''"
     f" AND NOT line RLIKE {sql_string(to_java(fv.SECURITY_COMMENT_PATTERN))}"
@@ -27,8 +27,8 @@ ELIGIBLE = (
 
 
 def per_lowered_line(body: str) -> str:
-    """``body`` with ``low`` bound once to the lower-cased line."""
-    return f"get(transform(array(lower(line)), low -> {body}), 0)"
+    """``body`` with ``low`` bound once to the folded line."""
+    return f"get(transform(array({text.folded_sql('line')}), low -> {body}), 0)"
 
 
 def eligible_lines(lines: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def scan(
     count as information only.
     """
     looked_at = lines.select(
-        "file_id", "path", "line_no", "line", "trimmed", text.bound(F.lower("line")).alias("low")
+        "file_id", "path", "line_no", "line", "trimmed", text.bound(text.folded("line")).alias("low")
     ).filter(ELIGIBLE)
     # the array is a column of its own, so that it is compiled; the outer form of explode
     # keeps Spark from testing the array in a filter first

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,6 +14,7 @@ from codestrata.functions import text
 from codestrata.operators import ai, churn, complexity, quality, rollup, security, views
 from codestrata.operators.findings import ISSUE_COLUMNS
 from codestrata.plans.analysis import Analysis
+from codestrata.session import shared_folder
 from codestrata.sources import changes, corpus, derived, reports
 from codestrata.sources.lines import (
     line_count, per_file, with_line_columns,
@@ -25,6 +27,7 @@ REGISTRY: dict[str, Query] = {}
 SMALL_FILE_BYTES = 1500
 WALK_FIRST = 300
 TOP_CHURN = 25
+REPORT_ROOT = "corpus"
 
 
 class Inputs:
@@ -201,13 +204,18 @@ def _(a: Analysis):
         "part", "severity", "path", "text")
 
 
+@whole("markdown_document")
+def _(a: Analysis):
+    return reports.markdown_report(a.summary, a.file_report, a.issues, REPORT_ROOT)
+
+
 @whole("report_source")
 def _(a: Analysis):
-    """A full dump written as JSON lines and parsed again with the reader's schema."""
-    dump = reports.full_dump(a.file_report, a.functions, a.issues)
-    stored = dump.select(F.to_json(F.struct("*")).alias("value"))
-    parsed = stored.select(F.from_json("value", reports.DUMP_SCHEMA).alias("d")).select("d.*")
-    return parsed.select(
+    """A full dump, stored as JSON lines in the shared folder and read again from there."""
+    spark = a.files.sparkSession
+    folder = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
+    reports.write_dump(reports.full_dump(a.file_report, a.functions, a.issues), folder)
+    return reports.read_dump(spark, folder).select(
         "path", "language", "line_count", r6("ai_probability").alias("ai_probability"),
         "complexity",
         F.coalesce(F.size("functions"), F.lit(0)).alias("n_functions"),
@@ -247,7 +255,7 @@ def _(i: Inputs):
 
 @single("definition_lines")
 def _(i: Inputs):
-    return i.lines.filter(text.is_definition_line(F.lower("line"))).select("file_id", "line_no")
+    return i.lines.filter(text.is_definition_line(text.folded("line"))).select("file_id", "line_no")
 
 
 @single("security_eligible_lines")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
 from codestrata.operators.findings import ORDER
-
-SECTION_TITLES = {
-    fv.CRITICAL: "## 🔴 Critical Issues",
-    fv.ERROR: "## 🟠 Errors",
-    fv.WARNING: "## 🟡 Warnings",
-    fv.INFO: "## 🔵 Info",
-}
+from codestrata.operators.ranking import numbered
+from codestrata.sources.corpus import walk_key
 
 FUNCTION_SCHEMA = "struct<name:string,start_line:int,end_line:int,complexity:int,line_count:int>"
 ISSUE_SCHEMA = (
@@ -103,14 +100,9 @@ def markdown_rows(summary: DataFrame, file_report: DataFrame, issues: DataFrame)
             *[o.cast("long").alias(n) for n, o in zip(ORDER, order)], line.alias("text"))
 
     none = [F.lit(0)] * len(ORDER)
-    figures = [
-        ("Files Analyzed", "%d", "files_analyzed"), ("Files Flagged", "%d", "files_flagged"),
-        ("Average Complexity", "%.1f", "avg_complexity"), ("Total Issues", "%d", "total_issues"),
-        ("AI-Suspected Files", "%d", "ai_suspected"), ("Security Issues", "%d", "security_issues"),
-    ]
     lines = F.array(
         *[F.format_string(f"| {label} | {fmt} |", F.bround(c, 1) if fmt == "%.1f" else F.col(c))
-          for label, fmt, c in figures])
+          for label, fmt, c in fv.REPORT_FIGURES])
     head = summary.select(F.posexplode(lines).alias("n", "line"))
     finding_line = F.format_string("| `%s` | %d | %s | %s |", "path", "line_no", "type", "message")
     # a half goes to the even number, as the report prints it
@@ -130,43 +122,36 @@ def markdown_rows(summary: DataFrame, file_report: DataFrame, issues: DataFrame)
 
 def markdown_report(
     summary: DataFrame, file_report: DataFrame, issues: DataFrame, root_dir: str,
-    title: str = "Analysis Report",
+    title: str = fv.REPORT_TITLE,
 ) -> DataFrame:
-    """All lines of the Markdown report, in order, as one column ``value``."""
-    body = markdown_rows(summary, file_report, issues)
-    sections = issues.select("severity").distinct()
-    issue_head = ["| File | Line | Type | Message |", "|------|------|------|---------|"]
+    """All lines of the Markdown report as ``(line_no, value)``.
+
+    Files come as a walk meets them, findings of a file in the order of the passes."""
     spark = summary.sparkSession
 
-    def fixed(part: int, severity: int, block: int, texts: list[str]) -> DataFrame:
+    def fixed(part: int, severity: int, block: int, texts) -> DataFrame:
         return spark.createDataFrame(
             [(part, severity, block, n, t) for n, t in enumerate(texts)],
             "part int, severity int, block int, n int, text string")
 
-    head = fixed(1, 0, 0, [f"# {title}", "", f"**Directory:** `{root_dir}`", "", "## Summary", "",
-                           "| Metric | Value |", "|--------|-------|"])
-    section_heads = spark.createDataFrame(
-        [(2, s, 0, n, t) for s, heading in SECTION_TITLES.items()
-         for n, t in enumerate(["", heading, "", *issue_head])],
-        "part int, severity int, block int, n int, text string",
-    ).join(F.broadcast(sections), "severity", "left_semi")  # at most four severities
-    any_suspect = file_report.filter(F.col("ai_score") > fv.AI_REPORT_ABOVE).select(
-        F.lit(3).alias("part")).limit(1)
-    suspect_head = fixed(3, 0, 0, ["", "## 🤖 AI-Suspected Files", "",
-                                   "| File | AI Probability | Complexity |",
-                                   "|------|---------------|------------|"]
-                         ).join(F.broadcast(any_suspect), "part", "left_semi")
-    foot = fixed(4, 0, 0, ["", "---", ""])
-    frame = [head, section_heads, suspect_head, foot]
-    order = ("path", *ORDER)
-    out = body.withColumns({"block": F.lit(1), "n": F.lit(0)})
-    for part in frame:
-        out = out.unionByName(
-            part.withColumns({"path": F.lit(""), **{c: F.lit(0).cast("long") for c in ORDER}}))
-    return out.orderBy("part", F.desc("severity"), "block", "n", *order).select(
-        F.col("text").alias("value"))
+    body = markdown_rows(summary, file_report, issues).withColumns({"block": F.lit(1), "n": F.lit(0)})
+    heading = [f"# {title}", "", f"**Directory:** `{root_dir}`", "", *fv.REPORT_SUMMARY_HEAD]
+    sections = reduce(DataFrame.unionAll, [
+        fixed(2, s, 0, ["", name, "", *fv.REPORT_ISSUE_HEAD]) for s, name in fv.REPORT_SECTIONS.items()])
+    suspects = fixed(3, 0, 0, ["", *fv.REPORT_SUSPECT_HEAD])
+    # a section without rows has no heading; there are four severities at most
+    used = body.filter("part > 1").select("part", "severity").distinct()
+    frame = (
+        fixed(1, 0, 0, heading)
+        .unionAll(sections.unionAll(suspects).join(F.broadcast(used), ["part", "severity"], "left_semi")
+                  .select("part", "severity", "block", "n", "text"))
+        .unionAll(fixed(4, 0, 0, fv.REPORT_FOOT))
+        .withColumns({"path": F.lit(""), **{c: F.lit(0).cast("long") for c in ORDER}})
+    )
+    order = ["part", F.desc("severity"), "block", "n", walk_key(), *ORDER, "text"]
+    return numbered(body.unionByName(frame), order, "line_no").select("line_no", F.col("text").alias("value"))
 
 
 def write_markdown(report: DataFrame, out: str) -> None:
-    """Write the ordered lines; part files in name order make up the report."""
-    report.write.mode("overwrite").text(out)
+    """Write the lines in order; part files in name order make up the report."""
+    report.orderBy("line_no").select("value").write.mode("overwrite").text(out)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codestrata import fixed_values as fv
-from codestrata.queries import SMALL_FILE_BYTES, TEXT_CHECKS, TEXT_TABLES, TOP_CHURN, WALK_FIRST
+from codestrata.queries import REPORT_ROOT, SMALL_FILE_BYTES, TEXT_CHECKS, TEXT_TABLES, TOP_CHURN, WALK_FIRST
 from codestrata.sources.derived import TEXT_EXTENSIONS
 from oracle.base import CTES, has, names, query
 from oracle.tables import (
@@ -78,6 +78,34 @@ add("markdown_report",
     UNION ALL SELECT 3, 0, path, '| `' || path || '` | ' || {BAR} || ' ' || printf('%.0f', ai_score)
       || '% | ' || complexity || ' |' FROM file_report WHERE ai_score > 50""",
     "summary", "issues", "file_report")
+NO_ORDER = "0 AS pass_no, 0 AS check_no, 0 AS ord, 0 AS rule_no"
+
+
+def report_lines(part: int, severity: int, texts, condition: str = "true") -> str:
+    """Fixed lines of the report as a SELECT."""
+    return (f"SELECT {part} AS part, {severity} AS severity, 0 AS block, unnest(range({len(texts)})) AS n, '' AS path,"
+            f" {NO_ORDER}, unnest([{names(texts)}]) AS text WHERE {condition}")
+
+
+add("markdown_document",
+    f"""SELECT row_number() OVER (ORDER BY part, severity DESC, block, n, string_split(path, '/'),
+      pass_no, check_no, ord, rule_no, text) AS line_no, text AS value FROM (
+    {report_lines(1, 0, ["# " + fv.REPORT_TITLE, "", f"**Directory:** `{REPORT_ROOT}`", "", *fv.REPORT_SUMMARY_HEAD])}
+    UNION ALL SELECT 1, 0, 1, unnest(range(6)), '', 0, 0, 0, 0, unnest([
+      printf('| Files Analyzed | %d |', files_analyzed), printf('| Files Flagged | %d |', files_flagged),
+      printf('| Average Complexity | %.1f |', avg_complexity), printf('| Total Issues | %d |', total_issues),
+      printf('| AI-Suspected Files | %d |', ai_suspected), printf('| Security Issues | %d |', security_issues)
+    ]) FROM summary
+    {" ".join("UNION ALL " + report_lines(2, s, ["", name, "", *fv.REPORT_ISSUE_HEAD],
+                                          f"EXISTS (FROM issues WHERE severity = {s})")
+              for s, name in fv.REPORT_SECTIONS.items())}
+    UNION ALL SELECT 2, severity, 1, 0, path, pass_no, check_no, ord, rule_no,
+      '| `' || path || '` | ' || line_no || ' | ' || type || ' | ' || message || ' |' FROM issues
+    UNION ALL {report_lines(3, 0, ["", *fv.REPORT_SUSPECT_HEAD], "EXISTS (FROM file_report WHERE ai_score > 50)")}
+    UNION ALL SELECT 3, 0, 1, 0, path, {NO_ORDER}, '| `' || path || '` | ' || {BAR} || ' '
+      || printf('%.0f', ai_score) || '% | ' || complexity || ' |' FROM file_report WHERE ai_score > 50
+    UNION ALL {report_lines(4, 0, fv.REPORT_FOOT)})""",
+    "summary", "issues", "file_report")
 add("report_source",
     """SELECT f.path, language, line_count, round((ai_score)::DOUBLE + 1e-9, 6) AS ai_probability, complexity,
     n_functions, issue_count::INT AS n_issues, commit_count, round((comment_ratio)::DOUBLE + 1e-9, 6) AS comment_ratio

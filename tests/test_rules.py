@@ -1,5 +1,7 @@
 """One line that each rule must find and one near miss that it must not."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,7 +103,8 @@ def test_rule(found, rule):
 
 def test_gates_lose_nothing(spark):
     lines = [line for case in CASES.values() for line in case]
-    rows = [(n, f"f{n}.py", x) for n, x in enumerate(lines + [x.upper() for x in lines])]
+    rows = [(n, f"f{n}.py", x) for n, x in enumerate(lines + [x.upper() for x in lines] + [strange_case(x) for x in lines]
+                                                       + [x.replace("s", "\u017f") for x in lines] + [x.replace("k", "\u212a") for x in lines])]
     a = Analysis(spark.createDataFrame(rows, "file_id long, path string, content string"))
     columns = ("file_id", "line_no", "rule_no")
     gated = security.scan(a.lines).select(*columns).collect()
@@ -109,6 +112,33 @@ def test_gates_lose_nothing(spark):
     assert sorted(gated) == sorted(plain) and len(gated) > 62
 
 
+def strange_case(line):
+    """Signs that fold to s and k, and those that look as if they folded to i."""
+    return line.translate(str.maketrans("sSkKiI", "\u017f\u017f\u212a\u212a\u0131\u0130"))
+
+
+def test_case_folds_as_in_re2(spark):
+    import duckdb
+
+    from codestrata.functions.linear import LINEAR
+    from codestrata.functions.regex import to_java
+    from codestrata.functions.text import sql_string
+
+    r = random.Random(5)
+    golden = [line for case in CASES.values() for line in case] + ["TODO: x", "hack: fix", "skip hints", "message", "Usage", "bug x"]
+    texts = [strange_case(line) for line in golden]
+    for line in golden * 12:
+        texts.append("".join(strange_case(c) if r.random() < 0.3 else c for c in line))
+    patterns = [x.pattern for x in fv.SECURITY_RULES] + [fv.DEFINITION_LINE_PATTERN, fv.TODO_PATTERN]
+    table = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, line string")
+    got = table.select("n", *(
+        F.expr(f"line RLIKE {sql_string(to_java(LINEAR.get(p, p)))}").alias(f"p{i}") for i, p in enumerate(patterns))).orderBy("n").collect()
+    wanted = [duckdb.execute("SELECT regexp_matches(unnest($1), $2)", [texts, p]).fetchall() for p in patterns]
+    wrong = [(p, texts[n], row[f"p{i}"]) for i, p in enumerate(patterns) for n, row in enumerate(got)
+             if row[f"p{i}"] != wanted[i][n][0]]
+    assert wrong == []
+
+
 def test_skipped_lines(files):
     secret = f"password = '{RANDOM}'"
     content = "\n".join(

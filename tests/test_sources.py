@@ -211,7 +211,7 @@ def test_reports(spark, files, tmp_path):
     assert dump.filter("path = 'f0.go'").first().git_info.authors == ["ann", "bob"]
 
     lines = [r.value for r in reports.markdown_report(
-        a.summary, a.file_report, a.issues, "/root/x").collect()]
+        a.summary, a.file_report, a.issues, "/root/x").orderBy("line_no").collect()]
     assert lines[0] == "# Analysis Report" and "| Total Issues | 2 |" in lines
     assert "| `f0.go` | 1 | insecure_crypto | MD5 is cryptographically broken |" in lines
     assert lines.index("## \U0001f7e0 Errors") < lines.index("## \U0001f535 Info")

@@ -1,11 +1,11 @@
-"""Change history per file."""
+"""Change history per file; where a log has ``root``, every table has it too, as part of the key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.sources.changes import newest_commits, recency
+from codestrata.sources.changes import newest_commits, recency, roots
 
 
 def authors(change_log: DataFrame) -> DataFrame:
@@ -17,11 +17,11 @@ def authors(change_log: DataFrame) -> DataFrame:
     """
     newest = F.max(recency(change_log))
     return (
-        change_log.groupBy("path", "author")
+        change_log.groupBy(*roots(change_log), "path", "author")
         .agg(F.count(F.lit(1)).alias("commits"), newest.alias("newest"),
              F.max("authored_at").alias("latest_at"))
         .select(
-            "path", "author", "commits",
+            *roots(change_log), "path", "author", "commits",
             F.col("newest.authored_at").alias("newest_at"),
             F.col("newest.commit_id").alias("newest_commit"),
             "latest_at", F.col("newest.head").alias("head"),
@@ -34,14 +34,14 @@ def churn(change_log: DataFrame) -> DataFrame:
     last = F.max(F.struct("head", "newest_at", "newest_commit", "author"))
     return (
         authors(change_log)
-        .groupBy("path")
+        .groupBy(*roots(change_log), "path")
         .agg(
             F.sum("commits").cast("int").alias("commit_count"),
             F.count(F.lit(1)).cast("int").alias("author_count"),
             last.alias("last"), F.max("latest_at").alias("latest_at"),
         )
         .select(
-            "path", "commit_count", "author_count",
+            *roots(change_log), "path", "commit_count", "author_count",
             F.col("last.author").alias("last_author"),
             F.date_format("latest_at", "yyyy-MM-dd").alias("last_modified"),
         )
@@ -54,10 +54,10 @@ def author_ranks(change_log: DataFrame, max_commits: int | None = None) -> DataF
     Ranked are distinct authors, so hot paths weigh no more than others of as many authors;
     ``authors`` holds the same order as ``newest_at`` and ``newest_commit`` without ranks.
     """
-    newest_first = Window.partitionBy("path").orderBy(
+    newest_first = Window.partitionBy(*roots(change_log), "path").orderBy(
         F.desc("head"), F.desc("newest_at"), F.desc("newest_commit"))
     return authors(newest_commits(change_log, max_commits)).select(
-        "path", F.row_number().over(newest_first).alias("author_no"), "author")
+        *roots(change_log), "path", F.row_number().over(newest_first).alias("author_no"), "author")
 
 
 def git_info(change_log: DataFrame, max_commits: int | None = None) -> DataFrame:
@@ -70,10 +70,10 @@ def git_info(change_log: DataFrame, max_commits: int | None = None) -> DataFrame
         F.array_sort(F.collect_list(F.struct("head", "newest_at", "newest_commit", "author", "latest_at"))))
     return (
         authors(newest_commits(change_log, max_commits))
-        .groupBy("path")
+        .groupBy(*roots(change_log), "path")
         .agg(F.sum("commits").cast("int").alias("commit_count"), newest_first.alias("a"))
         .select(
-            "path",
+            *roots(change_log), "path",
             F.struct(
                 "commit_count",
                 F.col("a")[0]["author"].alias("last_author"),
@@ -86,14 +86,14 @@ def git_info(change_log: DataFrame, max_commits: int | None = None) -> DataFrame
 
 def apply_git_info(files: DataFrame, info: DataFrame) -> DataFrame:
     """Files with their ``git_info``; NULL for files without history."""
-    return files.join(info, "path", "left")
+    return files.join(info, [*roots(info), "path"], "left")
 
 
 def high_churn(change_log: DataFrame, limit: int) -> DataFrame:
     """The paths touched by most commits; equal counts in the order of the paths."""
     return (
-        change_log.groupBy("path")
+        change_log.groupBy(*roots(change_log), "path")
         .agg(F.count(F.lit(1)).alias("commit_count"))
-        .orderBy(F.desc("commit_count"), "path")
+        .orderBy(F.desc("commit_count"), *roots(change_log), "path")
         .limit(limit)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
+from codestrata.sources.changes import roots
 
 #: label -> the types of findings it counts
 BREAKDOWN_GROUPS = {
@@ -178,7 +179,7 @@ def issue_breakdown(issues: DataFrame) -> DataFrame:
 
 
 def directory_rollup(file_report: DataFrame) -> DataFrame:
-    """Files, lines, findings and complexity below every directory; the root is ''."""
+    """Files, lines, findings and complexity below every directory; the top is '' (of each ``root``)."""
     parts = F.split("path", "/", -1)
     ancestors = F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1),
@@ -186,9 +187,9 @@ def directory_rollup(file_report: DataFrame) -> DataFrame:
     )
     return (
         file_report.select(
-            F.explode_outer(ancestors).alias("directory"), "line_count", "complexity",
+            *roots(file_report), F.explode_outer(ancestors).alias("directory"), "line_count", "complexity",
             "issue_count", "security_issues")
-        .groupBy("directory")
+        .groupBy(*roots(file_report), "directory")
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.sum("line_count").alias("line_count"),

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import ai, churn, complexity, quality, rollup, security
 from codestrata.operators.findings import union_all
-from codestrata.sources import corpus
+from codestrata.sources import changes, corpus
 from codestrata.sources.lines import explode_lines, per_file
 
 
 class Analysis:
     """All tables of one analysis, declared lazily.
 
-    ``files`` holds ``(file_id, path, content)``.  Every pass reads the same selected
+    ``files`` holds ``(file_id, path, content)`` and, for several repositories, ``root``.  Every pass reads the same selected
     files, each at the partition of its ``file_id``.  With ``keep`` (the default) they
     are persisted there, so they are read and moved once, and so are the functions, the
     per-file aggregates and the findings, which several results use.  Lost blocks are
@@ -53,6 +53,12 @@ class Analysis:
             self._kept.append(table)
         return table
 
+    def _with_root(self, table: DataFrame) -> DataFrame:
+        """``table`` with the repository of each file, where files have one."""
+        if not changes.roots(self.files):
+            return table
+        return table.join(self.files.select("file_id", "root"), "file_id")
+
     def release(self) -> None:
         for table in self._kept:
             table.unpersist()
@@ -105,10 +111,10 @@ class Analysis:
     @cached_property
     def file_report(self) -> DataFrame:
         """A row per file with its score, complexity and counts of findings."""
-        scored = self.signals.select(
+        scored = self._with_root(self.signals.select(
             "file_id", "path", "language", F.col("n_lines").alias("line_count"),
             ai.ai_score().alias("ai_score"), "comment_ratio", "n_functions", "complexity",
-        )
+        ))
         counts = rollup.issues_per_file(self.issues)
         report = (
             scored.join(counts, "file_id", "left")
@@ -127,7 +133,8 @@ class Analysis:
         """A row per file with its lines, complexity and counts of findings; no signals."""
         counts = rollup.issues_per_file(self.issues)
         return (
-            self.file_stats.select("file_id", "path", F.col("n_lines").alias("line_count"), "complexity")
+            self._with_root(
+                self.file_stats.select("file_id", "path", F.col("n_lines").alias("line_count"), "complexity"))
             .join(counts, "file_id", "left")
             .fillna(0, ["issue_count", "security_issues", "quality_issues", "ai_issues"])
         )

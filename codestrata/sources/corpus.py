@@ -1,6 +1,6 @@
 """Corpora of source files: a table ``files(file_id, path, content)``.
 
-``file_id`` is a unique key of any type.  ``path`` is relative to the corpus root
+``file_id`` is a unique key of any type.  A table of several repositories names them as ``root``.  ``path`` is relative to the corpus root
 and ``/`` separated.  A directory tree is read with :func:`scan_directory`; at scale the input is normally a Parquet table.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codestrata import fixed_values as fv
 from codestrata.operators.ranking import numbered
 from codestrata.sources import tree
+from codestrata.sources.changes import roots
 
 
 def language_of(path: Column | str = "path") -> Column:
@@ -93,7 +94,7 @@ def analysable(
         .filter(F.col("language").isNotNull())
         .filter(~is_pruned())
         .filter(F.lit(True) if max_bytes is None else n_bytes <= max_bytes)
-        .select("file_id", "path", "language", "content")
+        .select("file_id", *roots(files), "path", "language", "content")
     )
     return kept if max_files is None else first_in_walk_order(kept, max_files)
 
@@ -116,13 +117,14 @@ def unpruned(files: DataFrame) -> DataFrame:
 
 
 def first_in_walk_order(files: DataFrame, max_files: int = fv.MAX_FILES) -> DataFrame:
-    """The first ``max_files`` files of a recursive walk.
+    """The first ``max_files`` files of a recursive walk (of one root after the other).
 
     Only the paths are ranked, range by range; contents meet the chosen paths in a semi join.
     """
-    keys = files.select("path", walk_key().alias("walk_key"))
-    chosen = numbered(keys, ["walk_key"], "rank", max_files).select("path")
-    return files.join(chosen, "path", "left_semi").select(files.columns)
+    key = [*roots(files), "path"]
+    keys = files.select(*key, walk_key().alias("walk_key"))
+    chosen = numbered(keys, [*roots(files), "walk_key"], "rank", max_files).select(*key)
+    return files.join(chosen, key, "left_semi").select(files.columns)
 
 
 def co_locate(files: DataFrame, partitions: int | None = None) -> DataFrame:

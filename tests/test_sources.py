@@ -268,6 +268,32 @@ def test_log_order_and_time_order_are_kept_apart(spark):
     assert changes.newest_commits(table).count() == 3
 
 
+def test_repositories_have_their_own_history(spark):
+    def at(day):
+        return datetime.datetime(2024, 1, day)
+    table = spark.createDataFrame(
+        [("r", 1, "ann", at(1), "a/f.go"), ("r", 2, "bob", at(2), "a/f.go"), ("r", 3, "bob", at(3), "a/f.go"),
+         ("s", 1, "cy", at(1), "a/f.go"), ("s", 2, "di", at(4), "a/g.go")],
+        "root string, commit_id long, author string, authored_at timestamp, path string")
+    newest = changes.newest_commits(table, 1).collect()
+    assert sorted((r.root, r.commit_id) for r in newest) == [("r", 3), ("s", 2)]
+    assert {(r.root, r.path): (r.commit_count, r.last_author) for r in churn.churn(table).collect()} == {
+        ("r", "a/f.go"): (3, "bob"), ("s", "a/f.go"): (1, "cy"), ("s", "a/g.go"): (1, "di")}
+    assert [tuple(r) for r in churn.high_churn(table, 2).collect()] == [("r", "a/f.go", 3), ("s", "a/f.go", 1)]
+    assert sorted((r.root, r.author_no, r.author) for r in churn.author_ranks(table).filter("path = 'a/f.go'").collect()) == [
+        ("r", 1, "bob"), ("r", 2, "ann"), ("s", 1, "cy")]
+    files = spark.createDataFrame([(0, "r", "a/f.go", "x"), (1, "s", "a/f.go", "y\nz"), (2, "t", "a/f.go", "")],
+                                  "file_id long, root string, path string, content string")
+    a = Analysis(files, table)
+    assert {r.root: r.git_info and r.git_info.authors for r in a.file_report.collect()} == {
+        "r": ["bob", "ann"], "s": ["cy"], "t": None}
+    assert {(r.root, r.directory): r.line_count for r in a.directories.collect()} == {
+        (root, d): n for root, n in (("r", 1), ("s", 2), ("t", 1)) for d in ("", "a")}
+    first = corpus.analysable(files, max_files=2)
+    assert sorted(r.root for r in first.collect()) == ["r", "s"]
+    a.release()
+
+
 def test_large_files_are_analysed_unless_a_limit_is_given(spark, files):
     big = files([("big.go", "x := 1\n" * 100_000), ("vendor/a.go", "x"), ("b.txt", "x"), ("c.go", "y")])
     assert {r.path for r in corpus.analysable(big).collect()} == {"big.go", "c.go"}

@@ -33,6 +33,10 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?。！？…][\"')\]]*(?:\s|$)")
 
+#: Elements of plain characters, up to their own end tag: nothing in them is a tag or a comment.
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])", re.I)
+            for x in "script style textarea title iframe noscript".split()}
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas textarea select button "
@@ -120,7 +124,7 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     linked = number = 0
     skip = ""  # inside a silent element
-    at = 0
+    at = look = 0  # where text begins, where the next token is looked for
 
     def close_block() -> None:
         nonlocal linked
@@ -138,7 +142,7 @@ def blocks(html: str) -> list[Block]:
             close_block()
         del stack[place:]
 
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, look):
         if m.start() > at and not skip:
             text = html[at:m.start()]
             if "&" in text:
@@ -146,11 +150,14 @@ def blocks(html: str) -> list[Block]:
             parts.append(text)
             if stack[-1].link:
                 linked += len(text)
-        at = m.end()
+        at = look = m.end()
         tag = m[2] or m[5]
         if tag is None:
             continue
         tag, end, raw = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
+        if tag in _RAW_END and not end and not raw.rstrip().endswith("/"):
+            close = _RAW_END[tag].search(html, at)
+            look = close.start() if close else len(html)
         if skip:
             if end and tag == skip:
                 skip = ""

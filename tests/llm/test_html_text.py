@@ -68,6 +68,18 @@ def test_broken_and_long_pages_end(page):
     assert isinstance(h.main_text(page), str)
 
 
+ARTICLE = "<article><p>The text of the article stands here, and it is whole.</p></article>"
+
+
+@pytest.mark.parametrize("page", (
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b)c()</SCRIPT >", "<script>x='<!--'</script>",
+    "<head><script>i<n</script><style>a<b{}<!--</style><title>a<b <!-- c</title></head>", "<textarea>a<b <!-- <p></textarea>",
+    "<noscript><style>a<b</noscript>", "<iframe><!--</iframe>", "<script>a='</scripts>';i<n</script>"))
+def test_raw_text_ends_at_its_own_end_tag(page):
+    assert h.main_text(page + ARTICLE) == "The text of the article stands here, and it is whole."
+    assert h.main_text(ARTICLE.replace("</p>", f"</p>{page}")) == h.main_text(ARTICLE)
+
+
 def test_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, None, "<nav>x</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

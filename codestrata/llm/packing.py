@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.bpe import WORD_PATTERN, byte_names
+from codestrata.llm.bpe import WORD_PATTERN, automaton, byte_names
 
 #: Tokens of one step of training, over which windows are balanced.
 STEP_TOKENS = 16 * 1024
@@ -49,6 +49,15 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encoded(path: str, text: str) -> np.ndarray:
+    """The ids of a text. The fast encoder's patterns fail on runs of about a million blanks; the
+    automaton gives the same ids for texts of that kind."""
+    try:
+        return tokenizer(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(automaton(path).encode(text), np.uint32)
+
+
 class Lane:
     """Packs the pieces of one task. A piece is (row, start, ids); a window is a list of pieces."""
 
@@ -141,7 +150,6 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
         raise ValueError("tiers must be powers of two, the longest of them the window")
 
     def lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(path)
         end = np.array([end_id], np.uint32)
         base = TaskContext.get().partitionId() << 40
         lane, done, groups_done = Lane(window, tiers), 0, 0
@@ -172,7 +180,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
         for batch in batches:
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py()
-                ids = encoder.encode_to_numpy(t, allowed_special="all") if t else end[:0]
+                ids = encoded(path, t) if t else end[:0]
                 ids = np.concatenate((ids.astype("<u4", copy=False), end))
                 rows[seen] = (doc, len(ids))
                 lane.add(seen, ids)

@@ -62,6 +62,23 @@ def test_step_groups_are_balanced():
     assert max(sums.values()) - min(sums.values()) <= 1024
 
 
+def test_runs_of_millions_of_blanks(docs):
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b c"]
+    with pytest.raises(ValueError):
+        packing.tokenizer(VOCABULARY).encode_to_numpy(runs[0] + "b", allowed_special="all")
+    texts = [*(r + end for r in runs for end in ("", "b", " <|endoftext|> b")), "plain words"]
+    check(packing.pack(docs(texts).coalesce(1).sortWithinPartitions("doc_id"), VOCABULARY).collect(), dict(enumerate(texts)))
+
+
+def test_both_encoders_give_the_same_ids(odd_texts):
+    r = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "é", "中", "'s", "<|endoftext|>", "99", "-", "\x00"]
+    for text in [x for x in odd_texts if x] + ["".join(r.choice(parts) for _ in range(40)) for _ in range(2000)]:
+        assert packing.encoded(VOCABULARY, text).tolist() == bpe.automaton(VOCABULARY).encode(text)
+    blanks = "x" + " \n" * 60_000  # short enough for both
+    assert packing.encoded(VOCABULARY, blanks + "y").tolist() == bpe.automaton(VOCABULARY).encode(blanks + "y")
+
+
 def test_empty_table_and_bad_tiers(docs):
     assert packing.pack(docs([]), VOCABULARY).count() == 0
     with pytest.raises(ValueError):

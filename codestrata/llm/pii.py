@@ -25,11 +25,25 @@ ROUNDS = 10
 CHUNK = 24
 FIRST_DAY, DAYS = "1900-01-01", (319, 229)  # 319 * 229 days end on 2099-12-31
 
+#: Length of an account number -> countries that use it; numbers of other countries may have any length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+_SPACED = "|".join(
+    f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, names in IBAN_LENGTHS.items())
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: What may stand between two digits of a telephone number.
+_BETWEEN = (r"(?:[ .-](?=[0-9]{2})|(?<=\+[0-9]{1,3})[ .-](?=[0-9])|(?<=\+[0-9]{1,3})[ .-]?\((?=[0-9]{1,5}\))"
+            r"|(?<=\([0-9]{1,5})\)[ .-]?)")
 #: One pattern for each kind, tried in this order at every place. All repeats are bounded.
 PATTERNS = {
     "mail": r"(?<![\p{L}0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_SPACED})(?![A-Za-z0-9])"
+            r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
             r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}"
@@ -37,9 +51,10 @@ PATTERNS = {
             r"|[0-9]{1,2}-[0-9]{1,2}-(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
-             r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?![0-9A-Za-z])"
              r"|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])"
-             r"|(?<![0-9A-Za-z.+-])[2-9][0-9]{2}[.-][2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
+             # groups of any length, as many as make 8 to 15 digits; brackets and single digits after the country code
+             rf"|(?<![0-9A-Za-z+])\+[0-9](?:{_BETWEEN}?[0-9]){{7,14}}(?![0-9A-Za-z])"
+             r"|(?<![0-9A-Za-z.+-])(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){3}"
             r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
@@ -168,7 +183,7 @@ def _rules(key: str) -> dict[str, tuple[str, str]]:
         "(CAST(split(m, '-')[1] AS INT) - 1) * 9999 + CAST(split(m, '-')[2] AS INT) - 1", "898L", "989901L"),
         "concat(lpad(CAST(z.l + IF(z.l >= 665, 2, 1) AS STRING), 3, '0'), '-', lpad(CAST(z.r DIV 9999 + 1 AS STRING), 2, '0'), "
         "'-', lpad(CAST(z.r % 9999 + 1 AS STRING), 4, '0'))")
-    code = r"'^(?:\\+[0-9]{1,3}(?=[ .(-])|\\+[0-9])'"
+    code = r"'^(?:\\+[0-9]{1,3}(?=[ .(-])|\\+[0-9]|1(?=[ .-]))'"
     phone = f"concat(regexp_extract(m, {code}, 0), " + _let("v", f"regexp_replace(m, {code}, '')", _permuted_text(network, "phone", "v")) + ")"
     card = _let("w", _let("v", "substring(m, 1, length(m) - 1)", _permuted_text(network, "card", "v")), f"concat(w, {_check_digit('w')})")
     return {

@@ -116,6 +116,41 @@ def test_what_fails_its_test_stays(rewritten):
     assert [t for t, _ in rewritten(texts)] == texts
 
 
+def spaced_iban(country, n, r):
+    body = "".join(r.choice("0123456789") for _ in range(n - 4))
+    check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    whole = f"{country}{check:02}{body}"
+    return " ".join(whole[i:i + 4] for i in range(0, n, 4))
+
+
+def test_spaced_ibans_before_words_and_numbers(rewritten):
+    r = random.Random(13)
+    ibans = ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"] + [
+        spaced_iban(c, n, r) for n, names in pii.IBAN_LENGTHS.items() for c in names.split()]
+    after = [" BIC ABCD", " EUR", " 1234", " A", " KONTO", " BIC EUR 12", "", ".", " DE89 3704 0044 0532 0130 00"]
+    texts = [f"to {x}{after[i % len(after)]}" for i, x in enumerate(ibans)] + [f"to {x}{a}" for x in ibans[:2] for a in after]
+    for text, (new, kinds) in zip(texts, rewritten(texts), strict=True):
+        n = next(len(x) for x in ibans if text[3:].startswith(x))
+        assert kinds[0] == "iban" and new[:5] == text[:5] and new[7:3 + n] != text[7:3 + n], text
+        moved = new[7:3 + n].replace(" ", "") + new[3:7]
+        assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+        rest = text[3 + n:]
+        assert kinds[1:] == ["iban"] if rest.startswith(" DE") else new[3 + n:] == rest
+
+
+@pytest.mark.parametrize("phone", (
+    "+49 170 1234567", "+49 30 123456", "+91 98765 43210", "555 123 4567", "1-800-555-1234", "+49 15112345678", "+33 6 12 34 56 78",
+    "+44 (0)20 7946 0958", "+7 495 123-45-67", "1 (800) 555-1234", "1.212.555.0123", "212-555-0123", "+1 (743) 555-3824", "+4915112345678"))
+def test_forms_of_telephone_numbers(rewritten, phone):
+    texts = [f"call {phone}{x}" for x in ("", ".", " now", ", or write")] + [f"call {phone} 2024-01-01 12345678901234"]
+    for text, (new, kinds) in zip(texts, rewritten(texts), strict=True):
+        assert kinds[0] == "phone" and phone not in new and len(new) == len(text)
+        shape = lambda s: "".join("0" if c.isdigit() else c for c in s)
+        assert shape(new) == shape(text)
+        code = phone.split()[0] if " " in phone and phone[0] == "+" else phone[:2] if phone[:2] in ("1-", "1.") else ""
+        assert new.startswith(f"call {code}")
+
+
 def test_odd_texts_and_empty_table(docs, odd_texts, rewritten):
     assert [t for t, _ in rewritten(odd_texts)] == odd_texts
     long = "x" * 200_000 + " a@b.org " + "1" * 100_000 + "@" * 1000 + "+" * 1000

@@ -13,7 +13,8 @@ the same least hash among their half-length grams, so
 4. A gram with more than `most` classes (a string that very many texts share, each in other
    surroundings) is not sorted in one task: its starts are grouped by the hash of their string over
    all tasks, with partial counts; the least position of a group is the earliest. Only starts whose
-   band of neighbours shares its bytes with another band get that far.
+   band of neighbours shares its bytes with another band get that far; strings that hold the gram
+   twice are bands of their own.
 With keep_first, bytes covered by strings that stand earlier too are removed and the first copy
 stays; without, every copy goes (a source of a factor is marked as well). Earlier means: smaller
 (doc_id, text hash, position).
@@ -204,16 +205,23 @@ def _run_table(keyed: DataFrame, length: int) -> DataFrame:
 
 def bands(hashes: Hashes, lo: int, hi: int, gram: int, length: int) -> list[tuple[int, int, int, list[int]]]:
     """(first start, gram, hash of what the band's strings share, hash of each string) of a run, in
-    bands counted from the gram, so that equal strings lie in bands of equal hash."""
+    bands counted from the gram, so that equal strings lie in bands of equal hash. A string that holds
+    the gram twice has no one place to count from and is a band of its own; the string alone decides."""
     starts, width = np.arange(lo, hi + 1), max(1, length // 2)
     strings = hashes.of(starts, length)
     near = np.arange(lo, hi + length - width + 1)
     held = near[hashes.of(near, width).view(np.int64) == gram]
-    if len(held) != 1 or length <= BAND:  # no one place to count from
-        return [(int(s), gram, x, [x]) for s, x in zip(starts, strings.view(np.int64).tolist(), strict=True)]
-    number = (held[0] - starts) // BAND
-    shared = hashes.of(held[0] - BAND * number, length - BAND + 1) + number.astype(np.uint64)
-    cuts = np.append(np.flatnonzero(np.diff(number, prepend=number[0] + 1)), len(starts))
+    first = np.searchsorted(held, starts)
+    once = np.searchsorted(held, starts + length - width, "right") - first == 1
+    if length <= BAND:
+        once[:] = False
+    place = held[np.minimum(first, len(held) - 1)]
+    number = (place - starts) // BAND
+    shared = strings.copy()
+    shared[once] = hashes.of((place - BAND * number)[once], length - BAND + 1) + number[once].astype(np.uint64)
+    new = np.ones(len(starts), bool)
+    new[1:] = ~(once[1:] & once[:-1] & (place[1:] == place[:-1]) & (number[1:] == number[:-1]))
+    cuts = np.append(np.flatnonzero(new), len(starts))
     return [(int(starts[a]), gram, int(shared[a:a + 1].view(np.int64)[0]), strings[a:b].view(np.int64).tolist())
             for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 

@@ -41,6 +41,24 @@ def test_removes_what_brute_force_removes(docs, odd_texts, keep_first, length, m
     assert [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in rows] == plain(texts, length, keep_first)
 
 
+@pytest.mark.parametrize("keep_first", (False, True))
+def test_strings_in_runs_with_the_gram_once_and_often(docs, keep_first, monkeypatch):
+    """A = X + a long rule, B = X + a shorter rule + other text: what they share goes, wherever it stands."""
+    r = random.Random(14)
+    own = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    # of all rules the one whose gram has the least hash, so that it is the gram of the strings around it
+    rule = min(map(chr, range(0x21, 0x61)), key=lambda c: s.Hashes(np.frombuffer(c.encode() * 35, np.uint8)).of(np.array([0]), 35)[0])
+    texts = [own(30) + rule * 60 + own(30) for _ in range(5)]
+    for _ in range(60):
+        x, y = own(60), own(60)
+        texts += [own(9) + x + rule * 60, own(9) + x + rule * r.randint(35, 37) + own(40)]
+        texts += [rule * 60 + y + own(9), own(40) + rule * r.randint(35, 37) + y + own(9)]
+    repeats = s.repeats
+    monkeypatch.setattr(s, "repeats", lambda *a: repeats(*a, most=0))
+    rows = s.remove_repeats(docs(texts), length=70, keep_first=keep_first, whole_characters=False).orderBy("doc_id").collect()
+    assert [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in rows] == plain(texts, 70, keep_first)
+
+
 def test_longest_previous_factors():
     r = random.Random(8)
     for _ in range(150):

@@ -23,8 +23,12 @@ PASSAGE = 200
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the thresholds of their language and source."""
     importable(spark)
-    rejected = quality_rules.judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    # a verdict follows from text, language and source, so these name the rows that go; ids need not be unique
+    docs_ = docs.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rejected = quality_rules.judge(docs_, key="__text").filter(~F.col("kept")).select(
+        F.col("doc_id").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
+    same = (F.col("__text") == F.col("_text")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    return docs_.join(rejected, same, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,18 @@ def test_stages_find_what_was_planted(spark, planted):
     assert {p.doc_id for p in pieces} == set(final)
 
 
+def test_rejected_rows_take_no_others_with_them(spark, docs):
+    r = random.Random(15)
+    good = [words(r, 80) for _ in range(300)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(good[:250])] + [
+        (None, good[250], "en", "s"), (None, "too short", "en", "s"), (None, None, None, None), (None, good[251], None, None),
+        (7, "too short", "en", "s"), (300, good[252], "en", "s"), (300, "the very same five words " * 30, "en", "s"), (300, good[253], "de", "t")]
+    out = corpus_pipeline.quality(spark, docs(rows), "")
+    assert out.columns == docs(rows).columns
+    assert sorted(map(repr, ((x.doc_id, x.text) for x in out.collect()))) == sorted(
+        map(repr, [*enumerate(good[:250]), (None, good[250]), (None, good[251]), (300, good[252]), (300, good[253])]))
+
+
 def test_registered(spark):
     found = __spark_entry__.queries()
     assert set(queries.REGISTRY) < set(found) and "pipeline" in found and len(queries.REGISTRY) == 10

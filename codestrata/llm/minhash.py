@@ -94,13 +94,18 @@ def signatures(docs: DataFrame, key: str, text: str, width: int = SHINGLE) -> Da
 def shingle_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(id, shingles): the sorted full shingle sets of these documents, 8 bytes a shingle."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for first, end, data, bounds in slices(batch.column(1)):
                 h, at = shingles(data, bounds, width)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, end - first),
-                    pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                    names=["id", "shingles"])
+                ids, sets = [], []
+                for i, a, b in zip(batch.column(0).slice(first, end - first).to_pylist(), at[:-1], at[1:], strict=True):
+                    one = np.unique(h[a:b]).tobytes()
+                    if (i, hash(one)) not in seen:  # repeated rows bring a set once
+                        seen.add((i, hash(one)))
+                        ids.append(i)
+                        sets.append(one)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text)).join(ids, "id", "left_semi")
     return wanted.mapInArrow(gather, "id long, shingles binary")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import minhash, packing, pii, quality_rules, suffix_dedup
-from codestrata.llm.common import importable, shared_folder, table
+from codestrata.llm.common import cut, importable, shared_folder, table
 from codestrata.llm.queries import PSEUDONYM_KEY, VOCABULARY
 
 #: Near duplicates of the pipeline share 80 in 100 of their five-word shingles.
@@ -32,10 +32,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates."""
+    """One row of each group of near duplicates: of the least doc_id (null last), then the least row key.
+
+    The key is a hash of id and text, so rows that share it are equal but for other columns; one of
+    them stays. Texts without shingles are in no group and stay."""
     importable(spark)
-    copies = minhash.near_duplicates(docs, percent=SIMILAR).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = minhash.near_duplicates(keyed, key="__key", percent=SIMILAR).filter("n_shingles > 0").select(
+        F.col("doc_id").alias("__key"), "component_id").distinct()
+    rows = cut(keyed.groupBy("__key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).join(groups, "__key"))
+    order = F.struct(F.col("id").isNull(), "id", "__key")
+    least = rows.groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.__key").alias("__key"), F.lit(True).alias("stays"))
+    named = cut(rows.join(least, "__key", "left").filter("stays IS NULL OR n > 1").select("__key", "stays"))
+    single = keyed.join(named, "__key", "left_anti")
+    # equal rows meet after a first choice in each task, not by the key of the join
+    again = (keyed.join(named.filter("stays"), "__key", "left_semi").withColumn("__one", F.col("__key").cast("string"))
+             .dropDuplicates(["__one"]))
+    return single.select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,33 @@ def test_rejected_rows_take_no_others_with_them(spark, docs):
         map(repr, [*enumerate(good[:250]), (None, good[250]), (None, good[251]), (300, good[252]), (300, good[253])]))
 
 
+def test_one_row_of_each_group_whatever_its_id(spark, docs):
+    r = random.Random(16)
+    rows = [(i, words(r, 80), "en", "s") for i in range(250)]
+    null, both, twice, near, two = (words(r, 80) for _ in range(5))
+    changed = near.split()
+    changed[40] = "changed"
+    rows += [(None, null, "en", "s")] * 5  # copies without an id
+    rows += [(None, both, "en", "s"), (400, both, "en", "s"), (None, both, None, None)]  # with one, too
+    rows += [(401, twice, "en", "s")] * 4  # repeated rows
+    rows += [(None, near, "en", "s"), (None, " ".join(changed), "en", "s")]
+    rows += [(402, two, "en", "s"), (402, words(r, 80), "en", "s"), (402, two, "de", "t")]  # rows of one id
+    table = docs(rows)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, table, "")
+        path = f"{shared_folder(spark)}/stage-{random.random()}"
+        out.write.parquet(path)
+        table = spark.read.parquet(path)
+    got = [(x.doc_id, x.text) for x in table.collect()]
+    assert sorted(x for x in got if x[0] is not None and x[0] < 400) == [x[:2] for x in rows[:250]]
+    rest = [x for x in got if x[0] is None or x[0] >= 400]
+    assert rest.count((None, null)) == rest.count((400, both)) == rest.count((401, twice)) == rest.count((402, two)) == 1
+    assert sum(t in (near, " ".join(changed)) for _, t in rest) == 1
+    assert len(rest) == 6 and len([x for x in rest if x[0] == 402]) == 2
+    pieces = corpus_pipeline.pack(spark, corpus_pipeline.pseudonyms(spark, table, ""), "").collect()
+    assert sum(p.start == 0 for p in pieces) == 256
+
+
 def test_registered(spark):
     found = __spark_entry__.queries()
     assert set(queries.REGISTRY) < set(found) and "pipeline" in found and len(queries.REGISTRY) == 10

@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Where a comment, a declaration or a tag begins.
+_BEGIN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+#: What stands in a tag up to its end or its next value. A quote is one only where a value begins.
+_PLAIN, _UNQUOTED = re.compile(r"[^>=]*+"), re.compile(r"[^\s>]*+")
+_BLANKS = re.compile(r"\s*+")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?。！？…][\"')\]]*(?:\s|$)")
 
@@ -71,6 +72,55 @@ PARAGRAPH, HEADING, SENTENCE, LETTERS, MOST_LETTERS, LINKED, FRAGMENT = 150, 100
 NEAR, ACROSS, SIBLINGS = 100, 20, 150
 
 
+class _Tokens:
+    """Comments, declarations and tags of a page, each character looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+        self.open: set[int] = set()  # places of '=' from which no tag ends
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends that is read up to here. Values have any length; a quote that is never
+        closed is a character like others, and a tag that never ends so ends at the first '>'."""
+        html, passed, place = self.html, [], at
+        while place <= self.last[">"]:
+            place = _PLAIN.match(html, place).end()
+            if place >= len(html) or place in self.open:
+                break
+            if html[place] == ">":
+                return place
+            passed.append(place)
+            place = _BLANKS.match(html, place + 1).end()
+            quote = html[place:place + 1]
+            if quote in ("\"", "'"):
+                if self.last[quote] > place:
+                    place = html.index(quote, place + 1) + 1
+            else:
+                place = _UNQUOTED.match(html, place).end()
+        self.open.update(passed)
+        return html.index(">", at)
+
+    def next(self, look: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next one; the name is empty but for tags."""
+        html = self.html
+        if look > self.last[">"]:  # no tag ends any more
+            start = html.find("<!--", look)
+            return (start, len(html), "", "", "") if start >= 0 else None
+        m = _BEGIN.search(html, look)
+        if not m:
+            return None
+        if m[1]:
+            end = html.find("-->", m.end())
+            return m.start(), end + 3 if end >= 0 else len(html), "", "", ""
+        if m.end() > self.last[">"]:
+            return self.next(m.end())
+        if not m[3]:
+            return m.start(), html.index(">", m.end()) + 1, "", "", ""
+        end = self._tag_end(m.end())
+        return m.start(), end + 1, m[2], m[3].lower(), html[m.end():end]
+
+
 class Block:
     __slots__ = ("text", "tag", "inside", "named", "boilerplate", "parent", "linked")
 
@@ -112,7 +162,8 @@ def _entered(above: _Open, tag: str, raw: str, number: int) -> _Open:
             elif (name == "aria-hidden" and value.lower() == "true") or (
                     name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 boilerplate = True
-    if raw and re.search(r"(?:^|\s)hidden(?:\s|$)", raw):
+    # the word within a value, but for classes, says nothing
+    if "hidden" in raw and re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "class" else " ", raw)):
         boilerplate = True
     return _Open(tag, inside, named, boilerplate, number, above.link or tag == "a")
 
@@ -142,19 +193,19 @@ def blocks(html: str) -> list[Block]:
             close_block()
         del stack[place:]
 
-    while m := _TOKEN.search(html, look):
-        if m.start() > at and not skip:
-            text = html[at:m.start()]
+    tokens = _Tokens(html)
+    while token := tokens.next(look):
+        start, after, end, tag, raw = token
+        if start > at and not skip:
+            text = html[at:start]
             if "&" in text:
                 text = unescape(text)
             parts.append(text)
             if stack[-1].link:
                 linked += len(text)
-        at = look = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        at = look = after
+        if not tag:
             continue
-        tag, end, raw = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if tag in _RAW_END and not end and not raw.rstrip().endswith("/"):
             close = _RAW_END[tag].search(html, at)
             look = close.start() if close else len(html)

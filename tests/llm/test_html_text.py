@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 from itertools import product
 
@@ -80,6 +81,33 @@ def test_raw_text_ends_at_its_own_end_tag(page):
     assert h.main_text(ARTICLE.replace("</p>", f"</p>{page}")) == h.main_text(ARTICLE)
 
 
+@pytest.mark.parametrize("value", ("x" * 5000 + "> <p>Markup. Of a value.</p> " * 300, "{'a': '>', 'b': ' hidden '}" * 2000, "a>b" * 2_000_000))
+def test_values_of_any_length_are_no_text(value):
+    for quote in "\"'":
+        value = value.replace(quote, "’")
+        page = f"<article><p data-json={quote}{value}{quote} id=x>The text of it stands here, whole.<img src = {quote}{value}{quote}> And so on.</p></article>"
+        assert h.main_text(page) == "The text of it stands here, whole. And so on."
+
+
+@pytest.mark.parametrize(("tag", "text"), (
+    ("<p title=\"no end>", "The text."), ("<p it's>", "The text."), ("<p title=it's>", "The text."), ("<p a=\"\"b=''>", "The text."),
+    ("<p a='\">'>", "The text."), ("<p a==\"x>", "The text."), ("<p a= >", "The text."), ("<p =>", "The text.")))
+def test_quotes_in_tags(tag, text):
+    assert h.main_text(f"<article>{tag}{text}</p></article>") == text
+
+
+def test_odd_tags_take_linear_time():
+    for one in ("<a x=\">\"", "<a x='", "<a x=\"", "<a x", "<a", "<!", "<a x='>", "<a x=y=", "<p x=\"'>", "<a b=\"'\" c='\">"):
+        for end in ("", ">", "\">", "'\""):
+            page = one * 100_000 + end
+            before = time.process_time()
+            tokens, at = h._Tokens(page), 0
+            while token := tokens.next(at):
+                assert token[1] > at
+                at = token[1]
+            assert time.process_time() - before < 5
+
+
 def test_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, None, "<nav>x</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -44,11 +44,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("id").isNull(), "id", "__key")
     least = rows.groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.__key").alias("__key"), F.lit(True).alias("stays"))
     named = cut(rows.join(least, "__key", "left").filter("stays IS NULL OR n > 1").select("__key", "stays"))
-    single = keyed.join(named, "__key", "left_anti")
+    single = keyed.join(named.select("__key"), "__key", "left_anti").select(docs.columns)
+    repeated = named.filter("stays").select("__key")
+    if repeated.isEmpty():
+        return single
     # equal rows meet after a first choice in each task, not by the key of the join
-    again = (keyed.join(named.filter("stays"), "__key", "left_semi").withColumn("__one", F.col("__key").cast("string"))
+    again = (keyed.join(repeated, "__key", "left_semi").withColumn("__one", F.col("__key").cast("string"))
              .dropDuplicates(["__one"]))
-    return single.select(docs.columns).unionByName(again.select(docs.columns))
+    return single.unionByName(again.select(docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,47 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 
 
 SQL["op4_adaptive_quality"] = _quality()
+
+# CRC-32 of a short text: its bytes one by one, eight halvings (-1) after each
+_CRC = """xor(4294967295, list_reduce(flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(x, '')]),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, 4294967295))"""
+
+
+def _merkle() -> str:
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    return f"""
+WITH RECURSIVE
+x AS (SELECT *, doc_id::VARCHAR AS x FROM documents),
+f AS (SELECT doc_id, source, {leaf('text')} AS leaf,
+  CASE WHEN {_CRC} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM x),
+r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+  count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM f),
+nodes(tree, level, rank, n, digest) AS (SELECT tree, 0, rank, n, leaf FROM r
+  UNION ALL SELECT tree, max(level) + 1, rank // 16, max((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY rank))
+  FROM nodes WHERE n > 1 GROUP BY tree, rank // 16),
+upper(level, rank, n, digest) AS (SELECT 0, tree, (SELECT count(*) FROM nodes WHERE n = 1), digest FROM nodes WHERE n = 1
+  UNION ALL SELECT max(level) + 1, rank // 16, max((n + 15) // 16), sha256(string_agg(digest, '' ORDER BY rank))
+  FROM upper WHERE n > 1 GROUP BY rank // 16),
+every AS (SELECT tree, level, rank, n, digest FROM nodes UNION ALL SELECT -1, level, rank, n, digest FROM upper),
+step AS (SELECT a.tree, a.level, a.rank, coalesce(string_agg(b.digest, '' ORDER BY b.rank) FILTER (b.rank < a.rank), '') AS before,
+  coalesce(string_agg(b.digest, '' ORDER BY b.rank) FILTER (b.rank > a.rank), '') AS after
+  FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.rank // 16 = b.rank // 16 WHERE a.n > 1 GROUP BY ALL),
+low(id, tree, level, rank, acc, proof) AS (SELECT id, tree, 0, rank, coalesce(changed, leaf), '' FROM r
+  UNION ALL SELECT id, tree, level + 1, rank // 16, sha256(before || acc || after), proof || before || after
+  FROM low JOIN step USING (tree, level, rank)),
+high(id, level, rank, acc, proof) AS (SELECT id, 0, tree, acc, proof FROM (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
+  UNION ALL SELECT id, level + 1, rank // 16, sha256(before || acc || after), proof || before || after
+  FROM high JOIN (SELECT level, rank, before, after FROM step WHERE tree = -1) USING (level, rank)),
+ends AS (SELECT * FROM high QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1),
+roots AS (SELECT digest AS root FROM upper WHERE n = 1)
+SELECT doc_id, leaf, nodes.digest AS subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM r JOIN ends USING (id) JOIN nodes ON nodes.tree = r.tree AND nodes.n = 1, roots
+"""
+
+
+SQL["op11_merkle_manifest"] = _merkle()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import (
-    bpe, html_text, knn, language_id, minhash, packing, pii, quality_rules, sharding, suffix_dedup,
+    bpe, html_text, knn, language_id, merkle, minhash, packing, pii, quality_rules, sharding, suffix_dedup,
 )
 from codestrata.llm.common import importable, table
 
@@ -101,3 +102,16 @@ def op10_bpe_automaton(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    folded = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    rows = merkle.manifest(
+        table(spark, sf_dir, "documents"), "doc_id", "source", [*fields, F.col("text")],
+        changed=[*fields, folded], when=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"),
+        merkle.folded(F.col("claimed"), F.col("siblings")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

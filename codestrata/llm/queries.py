@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import (
-    bpe, html_text, knn, language_id, merkle, minhash, packing, pii, quality_rules, sharding, suffix_dedup,
+    bpe, html_text, knn, language_id, lexical, merkle, minhash, packing, pii, quality_rules, sharding,
+    sketch, suffix_dedup,
 )
 from codestrata.llm.common import importable, table
 
@@ -115,3 +116,13 @@ def op11_merkle_manifest(spark, sf_dir):
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"),
         merkle.folded(F.col("claimed"), F.col("siblings")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_scaled_sketch(spark, sf_dir):
+    return sketch.against_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hybrid_ranked_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

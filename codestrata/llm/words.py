@@ -49,12 +49,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of the texts bytes[bounds[i]:bounds[i + 1]]: starts, ends, hashes, and the text of each."""
+    """Words of the texts bytes[bounds[i]:bounds[i + 1]]: starts, ends, hashes, and the text of each.
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool):
+    `outside` tells of each byte whether it parts words."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, fold: bool, outside: np.ndarray = SPACE):
         n = len(data)
         inside = np.zeros(n + 1, bool)
-        inside[:n] = ~SPACE[data]
+        inside[:n] = ~outside[data]
         first = np.zeros(n + 1, bool)
         first[bounds[:-1]] = True
         before = np.zeros(n + 1, bool)

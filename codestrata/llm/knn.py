@@ -10,12 +10,15 @@ when that is below the worst kth score of the queries under its node. Pairs of l
 point by point. Every query first meets one block; its kth score there is a floor for the others.
 
 Vectors that are null or hold a null or non-finite component take no part. Shorter vectors count as
-if filled with zeros. Components must stay below 2**22 in size (scores then are exact); a larger one
-raises an error. A query does not meet rows of its own id. Repeated rows are rows of their own, so an
+if filled with zeros. Scores are exact: where a sum of products may pass 2**53, the largest that
+doubles hold exactly, pairs are scored in Python's whole numbers. A score beyond the range of a long
+is the end of that range. A query does not meet rows of its own id. Repeated rows are rows of their own, so an
 id may come twice in a result. Queries without candidates have no rows. Ties go to the smaller id."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,16 +33,21 @@ LEAF, CHILDREN = 48, 24
 #: A node of up to so many points stays a leaf if its children would hold fewer than FEW on average:
 #: where points lie about equally far apart, smaller balls tell no more.
 WIDE, FEW = 512, 4
-LIMIT = 1 << 22
+#: Sums of products below this are exact in doubles.
+EXACT = float(1 << 53)
 
-_NONE = -(1 << 62)
+_NONE = -(1 << 63)
+_DOUBLE = 1.7976931348623157e308
+_LEAST, _MOST = -(1 << 63) + 1, (1 << 63) - 1
 
 
 def integers(vector: str, scale: int = SCALE) -> Column:
     """The components as numbers; null where the vector takes no part."""
     x = f"transform(`{vector}`, x -> CAST(x AS DOUBLE))"
     fine = f"forall({x}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
-    return F.expr(f"CASE WHEN {fine} THEN transform({x}, x -> CAST(floor({scale} * x) AS DOUBLE)) END")
+    # a double of that size is whole, and floor() would give a long; what overflows is the greatest double
+    whole = f"CASE WHEN abs({scale} * x) < {EXACT} THEN CAST(floor({scale} * x) AS DOUBLE) ELSE greatest(least({scale} * x, {_DOUBLE}D), -{_DOUBLE}D) END"
+    return F.expr(f"CASE WHEN {fine} THEN transform({x}, x -> {whole}) END")
 
 
 class CoverTree:
@@ -108,25 +116,36 @@ class Best:
 
     def __init__(self, ids: np.ndarray, floors: np.ndarray, k: int):
         self.ids, self.k, self.floors = ids, k, floors
-        self.score = np.full((len(ids), k), float(_NONE))
+        self.score = np.full((len(ids), k), _NONE)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.worst = floors.astype(float)
+        self.worst = floors.copy()
 
     def add(self, first: int, end: int, score: np.ndarray, ids: np.ndarray) -> None:
-        score = np.where(ids[None, :] == self.ids[first:end, None], float(_NONE), score)
+        score = np.where(ids[None, :] == self.ids[first:end, None], _NONE, score)
         better = np.flatnonzero((score >= self.worst[first:end, None]).any(0))
         if not len(better):
             return
         score = np.concatenate((self.score[first:end], score[:, better]), 1)
         found = np.concatenate((self.found[first:end], np.broadcast_to(ids[better], (end - first, len(better)))), 1)
-        order = np.lexsort((found, -score), axis=1)[:, :self.k]
+        order = np.lexsort((found, ~score), axis=1)[:, :self.k]
         self.score[first:end] = np.take_along_axis(score, order, 1)
         self.found[first:end] = np.take_along_axis(found, order, 1)
         self.worst[first:end] = np.maximum(self.floors[first:end], self.score[first:end, -1])
 
 
-def search(queries: CoverTree, candidates: CoverTree, ids: np.ndarray, best: Best) -> int:
-    """Fills `best` (in the order of the query tree); returns how many pairs of points were compared."""
+def whole_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Inner products of any whole numbers, within the range of a long."""
+    exact = np.vectorize(int, otypes=[object])
+    products = exact(queries).dot(exact(candidates).T)
+    return np.vectorize(lambda s: min(max(s, _LEAST), _MOST), otypes=[np.int64])(products)
+
+
+def search(queries: CoverTree, candidates: CoverTree, ids: np.ndarray, best: Best, unit_q: float = 1.0,
+           unit_r: float = 1.0, exact: bool = True) -> int:
+    """Fills `best` (in the order of the query tree); returns how many pairs of points were compared.
+
+    The trees' points are the components divided by the units, powers of two; not `exact` if doubles do not hold
+    all scores."""
     compared = 0
     root = (0.0, 0, 0)
     todo = [root]
@@ -136,7 +155,11 @@ def search(queries: CoverTree, candidates: CoverTree, ids: np.ndarray, best: Bes
             continue
         if not queries.children[q] and not candidates.children[r]:
             a, b, c, d = queries.first[q], queries.end[q], candidates.first[r], candidates.end[r]
-            best.add(a, b, queries.points[a:b] @ candidates.points[c:d].T, ids[c:d])
+            own, other = queries.points[a:b], candidates.points[c:d]
+            if exact:
+                best.add(a, b, (own @ other.T).astype(np.int64), ids[c:d])
+            else:
+                best.add(a, b, whole_scores(own * unit_q, other * unit_r), ids[c:d])
             compared += (b - a) * (d - c)
             continue
         # the larger of both nodes is divided
@@ -146,7 +169,11 @@ def search(queries: CoverTree, candidates: CoverTree, ids: np.ndarray, best: Bes
         at_most = (queries.centre[qs] @ candidates.centre[rs].T
                    + queries.radius[qs, None] * candidates.norm[rs] + queries.norm[qs, None] * candidates.radius[rs]
                    + queries.radius[qs, None] * candidates.radius[rs])
-        at_most = np.floor(at_most * (1 + 1e-12) + 1e-3)  # scores are whole; rounding never cuts one off
+        slack = 1e-9 * ((queries.norm[qs, None] + queries.radius[qs, None]) * (candidates.norm[rs] + candidates.radius[rs]))
+        with np.errstate(over="ignore"):  # an infinite bound prunes nothing
+            at_most = (at_most + slack) * unit_q * unit_r
+        # scores are whole, and rounding never cuts one off; those beyond a long count as its end
+        at_most = np.minimum(np.floor(at_most + 1e-3), float(_MOST))
         pairs = sorted((float(at_most[i, j]), int(x), int(y)) for i, x in enumerate(qs) for j, y in enumerate(rs))
         todo += pairs  # the most promising is taken first
     return compared
@@ -158,11 +185,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     out = np.zeros((len(sizes), width))
     at = np.arange(width) < sizes[:, None]
     out[at] = rows.flatten().to_numpy()
-    if len(out) and np.abs(out).max(initial=0) >= LIMIT:
-        raise ValueError("a component is too large for exact scores")
     return out
 
 
+def _unit(points: np.ndarray) -> float:
+    """A power of two near the largest component."""
+    return 2.0 ** (math.frexp(float(np.abs(points).max()))[1] - 1) if points.any() else 1.0
+
+
 def _block_results(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, query, vec_id, score) of every (block, group), at most k of a query."""
     def best_of(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -171,15 +201,19 @@ def _block_results(queries: DataFrame, candidates: DataFrame, k: int) -> DataFra
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         width = max(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max() for t in (left, right))
-        qt, ct = (CoverTree(_matrix(t.column("v"), max(1, int(width)))) for t in (left, right))
+        q, c = (_matrix(t.column("v"), max(1, int(width))) for t in (left, right))
+        # whatever the order of the additions, no sum of products passes this
+        exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, int(width)) < EXACT
+        units = (1.0, 1.0) if exact else (_unit(q), _unit(c))
+        qt, ct = CoverTree(q / units[0]), CoverTree(c / units[1])
         ids = right.column("id").to_numpy()[ct.order]
         best = Best(left.column("id").to_numpy()[qt.order], left.column("floor").to_numpy()[qt.order], k)
-        search(qt, ct, ids, best)
+        search(qt, ct, ids, best, *units, exact=exact)
         there = (best.score > _NONE) & (best.score >= best.floors[:, None])
         per = there.sum(1)
         number = left.column("query").to_numpy()[qt.order]
         return pa.table([pa.array(np.repeat(number, per)), pa.array(np.repeat(best.ids, per)),
-                         pa.array(best.found[there]), pa.array(best.score[there].astype(np.int64))], names=names)
+                         pa.array(best.found[there]), pa.array(best.score[there])], names=names)
 
     return (queries.groupBy("block", "grp").cogroup(candidates.groupBy("block", "grp"))
             .applyInArrow(best_of, "query long, query_id long, vec_id long, score long"))

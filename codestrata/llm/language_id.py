@@ -7,7 +7,10 @@ greatest distance where the language's profile lacks one. The nearest language i
 to the first in order; the score is 1 - distance / greatest possible distance.
 
 Profiles are counted over all training rows, in partial sums per task; the first `top` of each
-language reach the driver, for `MOST_LANGUAGES` languages at most (more raise an error).
+language pass through the driver, 8 bytes an n-gram (2.4 KB a language), and are sent to the tasks
+LANGUAGES_SENT languages at a time, one pass over the texts' rows after the other. A task compares a
+text with LANGUAGES_COMPARED of them at a time, so its tables stay small however many values the
+language column holds.
 
 Null texts, texts without a letter, and any text when nothing was learned, are `und` with score 0.
 Texts are lower-cased and taken whole. Training rows without a language or a letter teach nothing;
@@ -26,8 +29,11 @@ from pyspark.sql import functions as F
 
 TOP = 300
 LONGEST = 3
-MOST_LANGUAGES = 1000
+#: Languages whose profiles one pass takes along, and that a task compares with at a time.
+LANGUAGES_SENT, LANGUAGES_COMPARED = 20_000, 64
 UNKNOWN = "und"
+#: What a text is called before it has met a profile; no value of a language column holds this alone.
+UNKNOWN_YET = "\0"
 #: Characters that a task turns into n-grams at a time (one longer text is taken whole).
 SLICE_CHARS = 1 << 20
 #: Cells of a table of n-gram counts; alphabets that need more are counted by sorting.
@@ -152,16 +158,19 @@ def gram_counts(rows: DataFrame, text: str, language: str) -> DataFrame:
     return counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(rows: DataFrame, text: str = "text", language: str = "lang", top: int = TOP) -> dict[str, list[int]]:
+def learn(rows: DataFrame, text: str = "text", language: str = "lang", top: int = TOP) -> dict[str, np.ndarray]:
     """The profile of each language: its most frequent n-grams in order."""
     by = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
     ranked = gram_counts(rows, text, language).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
-    found = ranked.limit(MOST_LANGUAGES * top + 1).collect()
-    profiles: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["language"], r["rank"])):
-        profiles.setdefault(r["language"], []).append(r["gram"])
-    if len(profiles) > MOST_LANGUAGES or len(found) > MOST_LANGUAGES * top:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = ranked.select("language", "rank", "gram").toArrow().sort_by([("language", "ascending"), ("rank", "ascending")])
+    profiles: dict[str, np.ndarray] = {}
+    if not found.num_rows:
+        return profiles
+    names, grams = found.column("language").combine_chunks().dictionary_encode(), found.column("gram").to_numpy()
+    code = names.indices.to_numpy()
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    for a, b in zip(first, [*first[1:], len(code)], strict=True):
+        profiles[names.dictionary[int(code[a])].as_py()] = grams[a:b]
     return profiles
 
 
@@ -178,43 +187,63 @@ def _distances(code: np.ndarray, n: np.ndarray, names: np.ndarray, ranks: np.nda
     return np.where(there < top, np.abs(there - place), top).sum(1), top * len(first)
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], keys: tuple[str, ...] = ("doc_id",),
-            text: str = "text", top: int = TOP) -> DataFrame:
-    """The key columns, lang_pred and score."""
+class Profiles:
+    """A block of profiles, ready to be compared with texts."""
+
+    def __init__(self, profiles: list[np.ndarray], top: int):
+        self.every = np.unique(np.concatenate(profiles))
+        self.ranks = np.full((len(profiles), len(self.every)), top, np.int32)
+        for row, own in zip(self.ranks, profiles, strict=True):
+            row[np.searchsorted(self.every, own)] = np.arange(len(own))
+
+    def local(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams as codes of these texts, sorted, and their ranks in each profile."""
+        codes = grams.local(self.every)
+        order = np.argsort(codes)
+        return codes[order], self.ranks[:, order]
+
+
+def _nearest_of(docs: DataFrame, profiles: dict[str, np.ndarray], keys: tuple[str, ...], top: int) -> DataFrame:
+    """The key columns, lang_pred, score and text: the nearer of what they say and these profiles."""
     languages = sorted(profiles)
+    kept = len(keys)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = np.unique(np.concatenate([np.array(p, np.int64) for p in profiles.values()])) if profiles else None
+        blocks = [(first, Profiles([profiles[x] for x in languages[first:first + LANGUAGES_COMPARED]], top))
+                  for first in range(0, len(languages), LANGUAGES_COMPARED)]
         for batch in batches:
-            names, scores = [], []
-            for _, texts in _slices(batch.column(batch.num_columns - 1)):
+            names, scores = batch.column(kept).to_pylist(), batch.column(kept + 1).to_pylist()
+            for at, texts in _slices(batch.column(kept + 2)):
                 grams = Grams(texts)
-                if languages:
-                    local = grams.local(every)
-                    order = np.argsort(local)
-                    ranked = local[order]
-                    ranks = np.full((len(languages), len(every)), top)
-                    for row, name in zip(ranks, languages, strict=True):
-                        row[np.searchsorted(every, profiles[name])] = np.arange(len(profiles[name]))
-                    ranks = ranks[:, order]
-                for i in range(len(texts)):
-                    codes = grams.of(i, i + 1)
-                    if not languages or not len(codes):
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    code, n = grams.counts(codes)
-                    distance, most = _distances(code, n, grams.portable(code), ranks, ranked, top)
-                    best = int(distance.argmin())
-                    names.append(languages[best])
-                    scores.append(1 - float(distance[best]) / most)
+                counted = [grams.counts(c) if len(c) else None for c in (grams.of(i, i + 1) for i in range(len(texts)))]
+                portable = [grams.portable(c[0]) if c else None for c in counted]
+                for first, block in blocks:
+                    ranked, ranks = block.local(grams)
+                    for i, own in enumerate(counted):
+                        if own is None:
+                            continue
+                        distance, most = _distances(*own, portable[i], ranks, ranked, top)
+                        best = int(distance.argmin())
+                        score = 1 - float(distance[best]) / most
+                        if names[at + i] == UNKNOWN_YET or score > scores[at + i]:
+                            names[at + i], scores[at + i] = languages[first + best], score
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*keys, "lang_pred", "score"])
+                [*batch.columns[:kept], pa.array(names, pa.string()), pa.array(scores, pa.float64()), batch.column(kept + 2)],
+                names=[*keys, "lang_pred", "score", "__text"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "lang_pred string", "score double"])
-    return docs.select(*keys, text).mapInArrow(nearest, schema)
+    return docs.mapInArrow(nearest, docs.schema)
+
+
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keys: tuple[str, ...] = ("doc_id",),
+            text: str = "text", top: int = TOP) -> DataFrame:
+    """The key columns, lang_pred and score."""
+    languages = sorted(profiles)
+    found = docs.select(*keys, F.lit(UNKNOWN_YET).alias("lang_pred"), F.lit(0.0).alias("score"), F.col(text).alias("__text"))
+    for first in range(0, len(languages), LANGUAGES_SENT):
+        block = {x: profiles[x] for x in languages[first:first + LANGUAGES_SENT]}
+        found = _nearest_of(found, block, keys, top)
+    pred = F.when(F.col("lang_pred") == UNKNOWN_YET, UNKNOWN).otherwise(F.col("lang_pred"))
+    return found.select(*keys, pred.alias("lang_pred"), "score")
 
 
 def held_out(key: str = "doc_id") -> Column:

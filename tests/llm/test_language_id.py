@@ -81,3 +81,23 @@ def test_nothing_learned_null_keys_and_empty_table(docs):
     got = l.identify(docs([(None, "abc", None, None), (1, None, "en", "s"), (2, "123", "en", "s")])).collect()
     assert {x.lang_pred for x in got} == {"und"} and not [x for x in got if x.doc_id is None and x.held_out]
     assert l.identify(docs([])).count() == 0
+
+
+def test_five_thousand_languages(docs, monkeypatch):
+    """As many values as rows; compared in blocks and sent in several passes."""
+    monkeypatch.setattr(l, "LANGUAGES_SENT", 2000)
+    r = random.Random(5)
+    table = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(4)), f"l{i:05d}", "s") for i in range(7500)]
+    got = l.identify(docs(table)).collect()
+    learned = {lang for i, _, lang, _ in table if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(learned) > 4900 and {x.lang_pred for x in got} <= learned
+    # a text that was learned alone is nearest to itself, up to the first of equal profiles
+    own = [x for x in got if not x.held_out]
+    assert all(x.score == 1.0 for x in own)
+    some = r.sample(got, 25)
+    profiles = {lang: grams(text)[:l.TOP] for i, text, lang, _ in table if lang in learned}
+    for x in some:
+        mine = grams(table[x.doc_id][1])[:l.TOP]
+        place = {k: {g: n for n, g in enumerate(p)} for k, p in profiles.items()}
+        distance = {k: sum(abs(place[k][g] - n) if g in place[k] else l.TOP for n, g in enumerate(mine)) for k in sorted(profiles)}
+        assert x.lang_pred == min(distance, key=distance.get)

@@ -5,8 +5,9 @@ largest -weight / ln(u) wins. The key, the weights and the seed alone decide, wh
 table holds, and a new shard takes only the records in which it outdraws all others. The draws are
 one expression over the row; no shuffle is needed.
 
-`with_slots` numbers a shard's rows from 0 without a gap: rows are numbered in hash buckets of
-bounded size, whose counts are summed up in a small table, so no shard is sorted in one task.
+`with_slots` numbers a shard's rows from 0 without a gap: rows are dealt into buckets of about equal
+size by a row number, not by their key, and stored; the buckets' counts are summed up in a small
+table. So no shard, and no group of rows with a null or equal key, is sorted in one task.
 
 A null key is a key like others (its hash is the seed's). Repeated rows go to the same shard and to
 slots of their own, in any order. Added columns replace columns of the same name."""
@@ -18,7 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard that are numbered together in one sort.
+from codestrata.llm.common import cut
+
+#: Rows of a bucket, over all shards, that are numbered together.
 BUCKET_ROWS = 20_000
 SEED = 20_240_601
 
@@ -46,10 +49,11 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], into: str = "slo
                bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows with their number in the shard, from 0 without a gap.
 
-    One count of the table sets the number of buckets. Ties of `order` are numbered in any order."""
-    buckets = df.count() // bucket_rows + 1
+    One count of the table sets the number of buckets; within a bucket rows follow `order`."""
     bucket, first = "__bucket", "__first"
-    put = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit(SEED), *map(F.col, order)), F.lit(buckets)))
+    # stored, for a second evaluation might give the rows other numbers
+    rows = cut(df.withColumn(bucket, F.monotonically_increasing_id()))
+    put = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(SEED), F.col(bucket)), F.lit(rows.count() // bucket_rows + 1)))
     counts = put.groupBy(shard, bucket).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(

@@ -43,3 +43,37 @@ def test_slots_have_no_gap(spark):
             assert slots == list(range(len(slots)))
     empty = sharding.assign(spark.range(0), ["id"], [1.0] * 4)
     assert sharding.with_slots(empty, "shard", ["id"]).count() == 0
+
+
+def test_null_and_equal_keys_are_dealt_over_the_buckets(spark):
+    """A third of the rows has no key, a third one key: no bucket holds much more than its share."""
+    keys = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id"))
+    rows = sharding.assign(spark.range(6000).select(keys.alias("key"), F.col("id").alias("other")), ["key"], [1.0] * 3)
+    out = sharding.with_slots(rows, "shard", ["key"], bucket_rows=500)
+    for s, group in out.toPandas().groupby("shard"):
+        assert sorted(group.slot) == list(range(len(group)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan
+    numbered = [c for c in plan.split("\n") if "row_number" in c]
+    assert numbered and all("__bucket" in c for c in numbered)
+    stored = out.select("key", "shard").count()
+    assert stored == 6000
+
+
+def test_query_follows_its_law(spark, docs, tmp_path):
+    """The registered query against crc32, sizes and the draws of a plain loop."""
+    import zlib
+    texts = [(i, t, "en", "s") for i, t in enumerate(["a", None, "", "é" * 30, "x" * 5000] * 20)] + [(None, "n", "en", "s")] * 40 + [(5, "n", "en", "s")] * 40
+    docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    from codestrata.llm.queries import REGISTRY
+    out = REGISTRY["op2_rendezvous_shards"](spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in texts)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == want and {r.law for r in out} == {"key"}
+    by_key = {}
+    for r in out:
+        by_key.setdefault(r.doc_id, set()).add((r.shard, r.grown_shard))
+        assert 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
+    assert all(len(v) == 1 for v in by_key.values())
+    for shard in {r.shard for r in out}:
+        slots = sorted(r.slot for r in out if r.shard == shard)
+        assert slots == list(range(len(slots)))

@@ -67,7 +67,8 @@ def op4_adaptive_quality(spark, sf_dir):
 def op5_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(
         table(spark, sf_dir, "documents"), length=400, keep_first=False, whole_characters=False,
-    ).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    ).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+             F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 @query

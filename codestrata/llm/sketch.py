@@ -15,14 +15,21 @@ of a document's hashes that the other holds is null where none of its hashes lie
 `against_edits` compares each document with an edited text of its own and with the next document.
 Rows follow one another by id, null first, rows of one id by a hash of the text; equal rows follow
 themselves, the last of them the next text. The last row is followed by the first, a lone row by
-itself. An empty table gives none. Texts are shuffled once, halves of texts and fingerprints a second
-time, by a hash of id and text. Only the named columns are read."""
+itself. An empty table gives none. Texts are shuffled once: ids and hashes alone are numbered first,
+every so many-th of them bounds a block, and each text goes to its block (the first of a block to the
+one before as well), where neighbours meet in order. Rows repeated beyond HOT times are counted
+before they are sent. Tasks get the bounds and the often repeated names, MOST_BLOCKS of either at
+most, 25 bytes each. Only the named columns are read."""
 
 from __future__ import annotations
 
+import base64
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import cut, slices
@@ -32,6 +39,10 @@ from codestrata.operators.ranking import numbered
 SHINGLE = 5
 #: One hash in so many is retained.
 FRACTION = 8
+#: Rows of a block, unless there would be more than MOST_BLOCKS.
+BLOCK_ROWS, MOST_BLOCKS = 1000, 1 << 20
+#: Rows of one id and text that are sent one by one.
+HOT = 1000
 
 
 def limit(fraction: int = FRACTION) -> int:
@@ -75,68 +86,106 @@ def contained(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> float |
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
-def fingerprint(text: Column, fraction: int = FRACTION) -> Column:
-    """The fingerprint as big-endian bytes, ascending."""
-    @F.arrow_udf("binary")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([packed(f) for f in fingerprints(texts, fraction)], pa.binary())
-
-    return of(text)
-
-
-def _comparison(fraction: int):
-    names = ["fingerprint", "edited_fingerprint", "near_edited", "near_next", "held_by_edited", "held_by_next"]
-
-    @F.arrow_udf("fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, "
-                 "held_by_edited double, held_by_next double")
-    def compare(texts: pa.Array, edited: pa.Array, following: pa.Array) -> pa.Array:
-        own, other = fingerprints(texts, fraction), fingerprints(edited, fraction)
-        after = [a if f is None else unpacked(f) for a, f in zip(own, following.to_pylist(), strict=True)]
+def _names(null: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """25 bytes that sort as (null first, id, a, b)."""
+    out = np.empty((len(ids), 25), np.uint8)
+    out[:, 0] = ~null
+    for n, x in enumerate((np.where(null, 0, ids), a, b)):
+        out[:, 1 + 8 * n:9 + 8 * n] = (x.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S25").ravel()
+
+
+def _names_of(columns: list[pa.Array]) -> np.ndarray:
+    ids, a, b = columns
+    return _names(ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(),
+                  a.to_numpy(), b.to_numpy())
+
+
+def _dealer(bounds: np.ndarray, often: np.ndarray):
+    """block of a row, whether it is its first name, whether it is often repeated."""
+    @F.arrow_udf("block int, first boolean, often boolean")
+    def deal(ids: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        names = _names_of([ids, a, b])
+        block = np.searchsorted(bounds, names, "right") - 1
+        return pa.StructArray.from_arrays(
+            [pa.array(block.astype(np.int32)), pa.array(bounds[block] == names), pa.array(np.isin(names, often))],
+            names=["block", "first", "often"])
+
+    return deal
+
+
+_OUT = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double, held_by_edited double, held_by_next double")
+
+
+def _follow(fraction: int):
+    """Rows of (block, border, id, times, text) in order -> what each shares with its next."""
+    def compared(rows: list[tuple], prints: list[np.ndarray]) -> pa.RecordBatch:
+        """All rows but the last, each against the one behind it (if of the same block)."""
+        chosen = []  # (row, next row)
+        for n, row in enumerate(rows[:-1]):
+            if row[1]:
+                continue  # a border is there for the row before it alone
+            chosen += [(n, n)] * (row[3] - 1)
+            if rows[n + 1][0] == row[0]:
+                chosen.append((n, n + 1))
+        edited = []
+        for n, following in chosen:
+            text, half = rows[n][4], len(rows[n][4]) // 2
+            edited.append(text[:len(text) - half] + rows[following][4][:half])
+        other = fingerprints(pa.array(edited, pa.large_string()), fraction)
+        text_of = lambda f: base64.b64encode(packed(f)).decode()
+        own, after = [prints[n] for n, _ in chosen], [prints[m] for _, m in chosen]
         columns = [
-            pa.array([packed(f) for f in own], pa.binary()), pa.array([packed(f) for f in other], pa.binary()),
-            pa.array([likeness(a, b) for a, b in zip(own, other, strict=True)], pa.float64()),
-            pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)], pa.float64()),
-            pa.array([contained(a, b, fraction) for a, b in zip(own, other, strict=True)], pa.float64()),
-            pa.array([contained(a, b, fraction) for a, b in zip(own, after, strict=True)], pa.float64())]
-        return pa.StructArray.from_arrays(columns, names=names)
-
-    return compare
-
-
-def against_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", fraction: int = FRACTION) -> DataFrame:
+            pa.array([rows[n][2] for n, _ in chosen], pa.int64()), pa.array([len(rows[n][4]) for n, _ in chosen], pa.int64()),
+            pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
+            pa.array(map(text_of, own), pa.string()), pa.array(map(text_of, other), pa.string()),
+            *(pa.array([share(x, y) for x, y in zip(own, z, strict=True)], pa.float64())
+              for share in (likeness, lambda x, y: contained(x, y, fraction)) for z in (other, after))]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _OUT.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        prints: list[np.ndarray] = []
+        for batch in batches:
+            for first, end, _, _ in slices(batch.column(4)):
+                part = batch.slice(first, end - first)
+                held += list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+                prints += fingerprints(part.column(4), fraction)
+                yield compared(held, prints)
+                held, prints = held[-1:], prints[-1:]
+
+    return run
+
+
+def against_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", fraction: int = FRACTION,
+                  block_rows: int = BLOCK_ROWS, hot: int = HOT) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and what they share.
 
     The edited text ends in the first code points of the next document instead of its own last half
     (in fewer, if that has fewer)."""
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     name = [F.col("id").isNull(), F.col("id"), F.col("text")]
     named = rows.select("id", "text", F.xxhash64(*name).alias("a"), F.xxhash64(F.lit(1), *name).alias("b"))
-    texts = named.groupBy("a", "b").agg(
-        F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
-
-    sizes = named.select("id", "a", "b", F.floor(F.length("text") / 2).cast("int").alias("half")).groupBy("a", "b").agg(
-        F.first("id").alias("id"), F.first("half").alias("half"))
-    places = cut(numbered(sizes, [F.col("id").asc_nulls_first(), "a", "b"], "place"))
-    wanted = places.select(F.col("a").alias("to_a"), F.col("b").alias("to_b"), "half",
-                           (F.col("place") % F.lit(max(1, places.count())) + 1).alias("place"))
-    wanted = wanted.join(places.select("a", "b", "place"), "place").drop("place")
-
-    start = F.substring(F.col("text"), F.lit(1), F.col("half"))
-    sent = texts.join(wanted, ["a", "b"]).select(
-        F.col("to_a").alias("a"), F.col("to_b").alias("b"), "half", start.alias("start"),
-        fingerprint(F.col("text"), fraction).alias("following"))
-    both = texts.join(sent, ["a", "b"])
-    # of equal rows all but the last are followed by themselves
-    itself = F.struct((F.col("times") - 1).alias("n"), start.alias("start"), F.lit(None).cast("binary").alias("following"))
-    other = F.struct(F.lit(1).cast("long").alias("n"), F.col("start"), F.col("following"))
-    followed = both.select("id", "text", "half", F.explode(F.filter(F.array(itself, other), lambda f: f["n"] > 0)).alias("f"))
-    head = F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("half"))
-    edited = followed.select("id", "text", "f", F.concat(head, F.col("f.start")).alias("edited"))
-    compared = edited.withColumn("c", _comparison(fraction)(F.col("text"), F.col("edited"), F.col("f.following")))
-    out = compared.select(
-        F.col("id").alias(key), F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.base64("c.fingerprint").alias("fingerprint"), F.base64("c.edited_fingerprint").alias("edited_fingerprint"),
-        "c.near_edited", "c.near_next", "c.held_by_edited", "c.held_by_next",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("f.n"))).alias("__n"))
-    return out.drop("__n")
+    once = named.groupBy("a", "b").agg(F.first("id").alias("id"), F.count("*").alias("times"))
+    places = cut(numbered(once, [F.col("id").asc_nulls_first(), "a", "b"], "place"))
+    n, total = places.agg(F.count("*"), F.sum("times")).first()
+    size = max(block_rows, n // MOST_BLOCKS + 1)
+    starts = places.filter((F.col("place") - 1) % size == 0).orderBy("place")
+    repeated = places.filter(F.col("times") > max(hot, (total or 0) // MOST_BLOCKS))
+    bounds, often = (_names_of([c.combine_chunks() for c in x.select("id", "a", "b").toArrow().columns]) for x in (starts, repeated))
+    if not len(bounds):
+        return docs.sparkSession.createDataFrame([], _OUT).withColumnRenamed("id", key)
+
+    dealt = named.withColumn("d", _dealer(bounds, often)("id", "a", "b"))
+    sent = dealt.filter("NOT d.often").select("id", "a", "b", "text", "d", F.lit(1).cast("long").alias("times"))
+    if len(often):
+        sent = sent.unionByName(dealt.filter("d.often").groupBy("a", "b").agg(
+            F.first("id").alias("id"), F.first("text").alias("text"), F.first("d").alias("d"), F.count("*").alias("times")))
+    here = F.struct(F.col("d.block").alias("block"), F.lit(False).alias("border"))
+    before = F.struct(F.pmod(F.col("d.block") - 1, F.lit(len(bounds))).alias("block"), F.lit(True).alias("border"))
+    goes = F.explode(F.when(F.col("d.first"), F.array(here, before)).otherwise(F.array(here)))
+    met = (sent.select("id", "a", "b", "text", "times", goes.alias("to")).select("to.*", "id", "a", "b", "times", "text")
+           .repartition("block").sortWithinPartitions("block", "border", F.col("id").asc_nulls_first(), "a", "b"))
+    return (met.select("block", "border", "id", "times", "text").mapInArrow(_follow(fraction), _OUT)
+            .withColumnRenamed("id", key))

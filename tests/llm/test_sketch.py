@@ -46,7 +46,15 @@ def texts(n, seed=3):
 def test_all_hashes_retained_give_exact_shares(docs):
     some = texts(80) + ["same words as the next one here", "same words as the next one here"]
     frame = docs(some).repartition(5)
-    assert collected(sketch.against_edits(frame, fraction=1)) == plain(list(enumerate(some)))
+    for block_rows in (1000, 7, 1):
+        assert collected(sketch.against_edits(frame, fraction=1, block_rows=block_rows)) == plain(list(enumerate(some)))
+
+
+def test_often_repeated_rows_are_counted_first(docs):
+    rows = [(7, "a b c d e f g", "en", "s")] * 40 + [(None, "x y", "en", "s")] * 30 + [(i, f"t{i} u v w x y", "en", "s") for i in range(9, 20)]
+    want = plain(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0)))
+    for hot, block_rows in ((5, 2), (1000, 2), (5, 1000)):
+        assert collected(sketch.against_edits(docs(rows).repartition(4), fraction=1, hot=hot, block_rows=block_rows)) == want
 
 
 def test_odd_rows(spark, docs, odd_texts):

@@ -76,3 +76,28 @@ def to_java(pattern: str) -> str:
         out.append(ch)
     java = "".join(out)
     return f"{flags}(?<!{_WORD}){java}(?!{_WORD})" if word else flags + java
+
+
+MOST_BRANCHES = 6
+
+
+def trie(literals: list[str]) -> str:
+    """A pattern for the longest of ``literals`` at a place, whose branches differ in their first character."""
+    escaped = {c: re.escape(c) for x in literals for c in x}
+
+    def node(rest: list[str]) -> str:
+        by_first: dict[str, list[str]] = {}
+        for x in rest:
+            if x:
+                by_first.setdefault(x[0], []).append(x[1:])
+        firsts = sorted(by_first)
+        branches = [escaped[c] + node(by_first[c]) for c in firsts]
+        if not branches:
+            return ""
+        if len(branches) > MOST_BRANCHES:  # one look at a class spares a place the branches of the others
+            parts = [slice(n, n + MOST_BRANCHES) for n in range(0, len(branches), MOST_BRANCHES)]
+            branches = [f"(?=[{''.join(escaped[c] for c in firsts[p])}])(?:{'|'.join(branches[p])})" for p in parts]
+        whole = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+        return f"(?:{whole})?" if "" in rest else whole
+
+    return node(sorted(set(literals)))

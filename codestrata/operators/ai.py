@@ -98,6 +98,17 @@ def generic_names(files: DataFrame) -> DataFrame:
     ``name`` is the first spelling met, ``line_no`` the first line that holds this
     spelling, be it inside a longer word.
     """
+    return (
+        with_identifiers(files.withColumn("n_lines", line_count()))
+        .select("file_id", "path", "n_lines",
+                F.posexplode_outer(F.expr(generic_places())).alias("pos", "found"))
+        .filter(F.col("found").isNotNull())
+        .select("file_id", "path", "n_lines", "pos", "found.name", "found.line_no")
+    )
+
+
+def generic_places() -> str:
+    """SQL for an array of (name, line_no), from ``identifiers`` and ``content``."""
     words = ", ".join(sql_string(n) for n in fv.GENERIC_NAMES)
     spellings = (
         "array_distinct(filter(identifiers, t -> array_contains(array(" + words + "), lower(t))))"
@@ -107,27 +118,21 @@ def generic_names(files: DataFrame) -> DataFrame:
         " array_position(transform(c, x -> lower(x)), lower(t)) = i + 1)), 0)"
     )
     before = "substring(content, 1, instr(content, t) - 1)"
-    placed = (
+    return (
         f"transform({firsts}, t -> named_struct('name', t, 'line_no',"
         f" 1 + octet_length({before}) - octet_length(replace({before}, '\\n', ''))))"
     )
-    return (
-        with_identifiers(files.withColumn("n_lines", line_count()))
-        .select("file_id", "path", "n_lines",
-                F.posexplode_outer(F.expr(placed)).alias("pos", "found"))
-        .filter(F.col("found").isNotNull())
-        .select("file_id", "path", "n_lines", "pos", "found.name", "found.line_no")
-    )
 
 
 def generic_naming(files: DataFrame) -> DataFrame:
-    return emit(
-        generic_names(files).filter(F.col("n_lines") >= fv.MIN_AI_LINES),
-        finding(
-            type="generic_naming", severity=fv.INFO, category=fv.AI_PATTERN, fix="",
-            message="Generic identifier '{name}' — common in AI-generated code",
-            pass_no=AI_PASS, check_no=GENERIC, ord="pos",
-        ),
+    return emit(generic_names(files).filter(F.col("n_lines") >= fv.MIN_AI_LINES), generic_name())
+
+
+def generic_name() -> Column:
+    return finding(
+        type="generic_naming", severity=fv.INFO, category=fv.AI_PATTERN, fix="",
+        message="Generic identifier '{name}' — common in AI-generated code",
+        pass_no=AI_PASS, check_no=GENERIC, ord="pos",
     )
 
 

@@ -84,40 +84,43 @@ def function_findings(functions: DataFrame) -> DataFrame:
 # -- files and lines -------------------------------------------------------
 
 
-def long_files(files: DataFrame) -> DataFrame:
-    counted = files.select(
-        "file_id", "path", F.lit(1).alias("line_no"), line_count().alias("n_lines"))
-    return emit(
-        counted,
-        F.when(
-            F.col("n_lines") > fv.MAX_FILE_LINES,
-            _quality(
-                "long_file", fv.INFO,
-                f"File is {{n_lines}} lines (recommended max: {fv.MAX_FILE_LINES})",
-                "Split into multiple files by responsibility. Group related functions together.",
-                LONG_FILE,
-            ),
+def long_file() -> Column:
+    return F.when(
+        F.col("n_lines") > fv.MAX_FILE_LINES,
+        _quality(
+            "long_file", fv.INFO,
+            f"File is {{n_lines}} lines (recommended max: {fv.MAX_FILE_LINES})",
+            "Split into multiple files by responsibility. Group related functions together.",
+            LONG_FILE, line_no="1",
         ),
     )
 
 
+def long_files(files: DataFrame) -> DataFrame:
+    return emit(files.select("file_id", "path", line_count().alias("n_lines")), long_file())
+
+
+def nesting_level() -> Column:
+    return F.floor(text.indent("line") / 4).cast("int")
+
+
 def deep_nesting(lines: DataFrame) -> DataFrame:
     """The first line of each level that is too deep."""
-    level = F.floor(text.indent("line") / 4).cast("int")
     first = (
-        lines.select("file_id", "path", "line_no", level.alias("level"))
+        lines.select("file_id", "path", "line_no", nesting_level().alias("level"))
         .filter(F.col("level") > fv.MAX_NESTING)
         .groupBy("file_id", "path", "level")
         .agg(F.min("line_no").alias("line_no"))
     )
-    return emit(
-        first,
-        _quality(
-            "deep_nesting", fv.WARNING,
-            f"Code nested {{level}} levels deep (max recommended: {fv.MAX_NESTING})",
-            "Use early returns (guard clauses) to reduce nesting. Extract nested logic into helper functions.",
-            NESTING,
-        ),
+    return emit(first, nested_too_deep())
+
+
+def nested_too_deep() -> Column:
+    return _quality(
+        "deep_nesting", fv.WARNING,
+        f"Code nested {{level}} levels deep (max recommended: {fv.MAX_NESTING})",
+        "Use early returns (guard clauses) to reduce nesting. Extract nested logic into helper functions.",
+        NESTING,
     )
 
 
@@ -137,6 +140,15 @@ def with_following_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def opens_closure() -> Column:
+    plain = (
+        F.col("trimmed").startswith("func ")
+        & ~F.col("trimmed").contains("= func(")
+        & ~F.col("trimmed").contains("(func(")
+    )
+    return F.col("line").contains("func") & text.matches("line", fv.CLOSURE_PATTERN) & ~plain
+
+
 def with_closure_flag(lines: DataFrame) -> DataFrame:
     """Add ``in_closure``: some ``func (`` at or above the line is not closed again.
 
@@ -144,14 +156,8 @@ def with_closure_flag(lines: DataFrame) -> DataFrame:
     S(i) - S(k-1) with S their running sum; so an open closure exists exactly if the
     largest S(k-1) of the candidates so far reaches S(i).
     """
-    plain = (
-        F.col("trimmed").startswith("func ")
-        & ~F.col("trimmed").contains("= func(")
-        & ~F.col("trimmed").contains("(func(")
-    )
-    opens = F.col("line").contains("func") & text.matches("line", fv.CLOSURE_PATTERN) & ~plain
     return (
-        lines.withColumns({"closing": -brace_change("line"), "opens_closure": opens})
+        lines.withColumns({"closing": -brace_change("line"), "opens_closure": opens_closure()})
         .withColumn("closed", F.sum("closing").over(so_far()))
         .withColumn(
             "in_closure",
@@ -170,82 +176,123 @@ def is_jump() -> Column:
 
 def dead_code() -> Column:
     """Needs the columns of ``with_following_lines`` and ``with_closure_flag``."""
-    fine = (
-        F.col("next_filled").isin(list(fv.LONE_CLOSERS))
-        | F.col("next_filled").startswith("case ")
-        | F.col("next_filled").startswith("default:")
-    )
     return F.when(
-        F.col("next_filled").isNotNull() & ~F.col("in_closure") & ~fine & is_jump(),
-        _quality(
-            "dead_code", fv.WARNING, "Unreachable code after {trimmed}",
-            "Remove this unreachable code or restructure the control flow.",
-            DEAD_CODE, line_no="next_filled_no", ord="line_no",
-        ),
+        F.col("next_filled").isNotNull() & ~F.col("in_closure") & ~may_follow_jump("next_filled") & is_jump(),
+        unreachable(),
+    )
+
+
+def may_follow_jump(trimmed: str) -> Column:
+    return (
+        F.col(trimmed).isin(list(fv.LONE_CLOSERS))
+        | F.col(trimmed).startswith("case ")
+        | F.col(trimmed).startswith("default:")
+    )
+
+
+def unreachable() -> Column:
+    return _quality(
+        "dead_code", fv.WARNING, "Unreachable code after {trimmed}",
+        "Remove this unreachable code or restructure the control flow.",
+        DEAD_CODE, line_no="next_filled_no", ord="line_no",
     )
 
 
+#: The kinds of error handlers and what a line that opens one looks like; the first that fits counts.
+HANDLERS = {
+    "catch block": "contains(trimmed, 'catch') AND endswith(trimmed, '{')",
+    "except block": "contains(trimmed, 'except') AND endswith(trimmed, ':')",
+    "error handler": "language = 'Go' AND contains(trimmed, 'if err != nil') AND endswith(trimmed, '{')",
+}
+
+
+def handler_kind() -> str:
+    """SQL for the number of the kind of handler that the line opens, NULL if none."""
+    return "CASE " + " ".join(f"WHEN {test} THEN {n}" for n, test in enumerate(HANDLERS.values(), start=1)) + " END"
+
+
 def empty_error_handler() -> Column:
     """Needs the columns of ``with_following_lines``; the last line is never one."""
-    kind = (
-        "CASE WHEN contains(trimmed, 'catch') AND endswith(trimmed, '{')"
-        " THEN CASE WHEN next_filled = '}' THEN 'catch block' END"
-        " WHEN contains(trimmed, 'except') AND endswith(trimmed, ':')"
-        " THEN CASE WHEN next_trimmed IN ('pass', '') THEN 'except block' END"
-        " WHEN language = 'Go' AND contains(trimmed, 'if err != nil') AND endswith(trimmed, '{')"
-        " THEN CASE WHEN next_filled = '}' THEN 'error handler' END END"
+    empty = (
+        f"get(transform(array({handler_kind()}), k -> CASE"
+        " WHEN k = 2 THEN IF(next_trimmed IN ('pass', ''), k, NULL)"
+        " WHEN k IN (1, 3) THEN IF(next_filled = '}', k, NULL) END), 0)"
     )
-    return F.when(
-        F.expr(f"next_trimmed IS NOT NULL AND ({kind}) IS NOT NULL"),
-        _quality(
-            "empty_error_handler", fv.ERROR, "",
-            "At minimum, log the error. Consider returning it or wrapping with context.",
-            EMPTY_HANDLER,
-            message_sql=f"concat('Empty ', {kind}, ' — errors silently swallowed')",
-        ),
+    return F.when(F.expr(f"next_trimmed IS NOT NULL AND ({empty}) IS NOT NULL"), swallows_silently(empty))
+
+
+def swallows_silently(kind: str) -> Column:
+    """The finding of an empty handler; ``kind`` is SQL for its number."""
+    names = ", ".join(text.sql_string(k) for k in HANDLERS)
+    return _quality(
+        "empty_error_handler", fv.ERROR, "",
+        "At minimum, log the error. Consider returning it or wrapping with context.",
+        EMPTY_HANDLER,
+        message_sql=f"concat('Empty ', get(array({names}), cast({kind} AS int) - 1), ' — errors silently swallowed')",
     )
 
 
 def error_swallowing() -> Column:
+    return F.when(discards(), discarded())
+
+
+def discards() -> Column:
     line = F.col("line")
-    return F.when(
+    return (
         (F.col("language") == "Go") & line.contains("_") & line.contains("=")
         & text.matches("line", fv.SWALLOW_PATTERN)
-        & ~text.matches("line", fv.SWALLOW_ALLOWED_PATTERN),
-        _quality(
-            "error_swallowing", fv.WARNING,
-            "Return value discarded with _ — possible error swallowing",
-            "Handle the error: check it, wrap it, or explicitly document why it's safe to ignore.",
-            SWALLOWING,
-        ),
+        & ~text.matches("line", fv.SWALLOW_ALLOWED_PATTERN)
     )
 
 
-def todo_marker() -> Column:
-    words = ("todo", "fixme", "hack", "xxx", "bug")
+def discarded() -> Column:
+    return _quality(
+        "error_swallowing", fv.WARNING,
+        "Return value discarded with _ — possible error swallowing",
+        "Handle the error: check it, wrap it, or explicitly document why it's safe to ignore.",
+        SWALLOWING,
+    )
+
+
+TODO_WORDS = ("todo", "fixme", "hack", "xxx", "bug")
+
+
+def todo_text() -> str:
+    """SQL for what a line with a marker says."""
     java = text.sql_string(text.to_java(fv.TODO_PATTERN))
     rest = f"btrim(regexp_extract(line, {java}, 2), {text.sql_string(text.WHITE_SPACE)})"
+    return f"concat(upper(regexp_extract(line, {java}, 1)), ': ', {rest})"
+
+
+def to_do(message_sql: str) -> Column:
+    return _quality(
+        "todo_marker", fv.INFO, "", "Resolve this TODO before merging to main branch.", TODO,
+        message_sql=message_sql)
+
+
+def todo_marker() -> Column:
     return F.when(
-        text.let(text.folded("line"), lambda low: text.holds_any(low, words))
+        text.let(text.folded("line"), lambda low: text.holds_any(low, TODO_WORDS))
         & text.matches("line", fv.TODO_PATTERN),
-        _quality(
-            "todo_marker", fv.INFO, "", "Resolve this TODO before merging to main branch.", TODO,
-            message_sql=f"concat(upper(regexp_extract(line, {java}, 1)), ': ', {rest})",
-        ),
+        to_do(todo_text()),
     )
 
 
-def magic_number_tokens(lines: DataFrame) -> DataFrame:
-    """``(file_id, path, line_no, pos, token)`` for every number that may be magic."""
+def holds_no_magic_number() -> Column:
+    """Lines whose numbers are never magic."""
     ticks = text.count_of("line", "`")
-    skipped = (
+    return (
         text.matches("trimmed", fv.CONSTANT_LINE_PATTERN)
         | text.starts_with_any("trimmed", ("//", "#", "import"))
         | (F.col("line").contains("#") & text.matches("line", fv.HEX_COLOUR_PATTERN))
         | ((ticks > 0) & (ticks % 2 == 0))
     )
+
+
+def magic_number_tokens(lines: DataFrame) -> DataFrame:
+    """``(file_id, path, line_no, pos, token)`` for every number that may be magic."""
     return (
-        lines.filter(~skipped)
+        lines.filter(~holds_no_magic_number())
         .select(
             "file_id", "path", "line_no",
             F.posexplode_outer(text.all_matches("line", fv.MAGIC_NUMBER_PATTERN, 1))
@@ -263,14 +310,15 @@ def magic_numbers(lines: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("line_no", "pos")).alias("at"))
         .select("file_id", "path", "token", "at.line_no", "at.pos")
     )
-    return emit(
-        first,
-        _quality(
-            "magic_number", fv.INFO,
-            "Magic number {token} — consider defining as a named constant",
-            "Extract to a named constant for readability: const someName = {token}",
-            MAGIC, rule_no="pos",
-        ),
+    return emit(first, magic_number())
+
+
+def magic_number() -> Column:
+    return _quality(
+        "magic_number", fv.INFO,
+        "Magic number {token} — consider defining as a named constant",
+        "Extract to a named constant for readability: const someName = {token}",
+        MAGIC, rule_no="pos",
     )
 
 
@@ -297,35 +345,34 @@ def naming_stats() -> LineStats:
     )
 
 
-def naming_inconsistency(stats: DataFrame) -> DataFrame:
-    """From a ``per_file`` table with the ``naming_stats``."""
+def naming_columns() -> dict[str, Column]:
+    """What a finding of mixed names needs, from the ``naming_stats``; ``naming_line`` is NULL without one."""
     camel, snake = F.col("n_camel_names"), F.col("n_snake_names")
     total, snake_minor = camel + snake, snake < camel
-    chosen = (
-        stats.filter(
-            (total >= fv.MIN_NAMES) & (F.least(camel, snake) / total > fv.MAX_MINORITY_SHARE))
-        .select(
-            "file_id", "path", snake_minor.alias("snake_minor"),
-            F.when(snake_minor, F.col("first_snake")).otherwise(F.col("first_camel"))
-            .alias("line_no"),
-        )
-    )
+    mixed = (total >= fv.MIN_NAMES) & (F.least(camel, snake) / total > fv.MAX_MINORITY_SHARE)
+    first = F.when(snake_minor, F.col("first_snake")).otherwise(F.col("first_camel"))
+    return {"snake_minor": snake_minor, "naming_line": F.when(mixed, first)}
+
+
+def mixed_names() -> Column:
     styles = "if(snake_minor, '{0}', '{1}')"
     message = (
         "concat('Mixed naming conventions — file uses mostly ',"
         f" {styles.format('camelCase', 'snake_case')}, ' but also contains ',"
         f" {styles.format('snake_case', 'camelCase')})")
-    return emit(
-        chosen,
-        F.when(
-            F.col("line_no").isNotNull(),
-            _quality("naming_inconsistency", fv.INFO, "",
-                     "Pick one convention and use it consistently throughout the file.", NAMING,
-                     message_sql=message),
-        ),
+    return F.when(
+        F.col("naming_line").isNotNull(),
+        _quality("naming_inconsistency", fv.INFO, "",
+                 "Pick one convention and use it consistently throughout the file.", NAMING,
+                 line_no="naming_line", message_sql=message),
     )
 
 
+def naming_inconsistency(stats: DataFrame) -> DataFrame:
+    """From a ``per_file`` table with the ``naming_stats``."""
+    return emit(stats.select("file_id", "path", *[c.alias(k) for k, c in naming_columns().items()]), mixed_names())
+
+
 def go_imports(lines: DataFrame) -> DataFrame:
     """Imports of Go files with the first line that counts as their body."""
     t = F.col("trimmed")
@@ -386,13 +433,48 @@ def unused_imports(lines: DataFrame, files: DataFrame) -> DataFrame:
         .select("file_id", "path", F.inline_outer(unused))
         .filter(F.col("pkg").isNotNull())
     )
-    return emit(
-        found,
-        _quality(
-            "unused_import", fv.WARNING,
-            "Import '{pkg}' may be unused",
-            "Remove unused imports to keep code clean.", IMPORTS,
-        ),
+    return emit(found, unused_import())
+
+
+def unused_imports_of() -> str:
+    """SQL for the unused imports of ``content`` as an array of (line_no, pkg), in one pass over its lines.
+
+    Only lines with a quote or at the edge of an import block are looked at; the state is the line of
+    the open block (0 after its end) and the imports so far.
+    """
+    q, java = text.sql_string, lambda pattern: text.sql_string(text.to_java(pattern))
+    lines = (
+        f"filter(transform(split(content, '\\n', -1), (x, i) -> named_struct('no', i + 1, 'line', x, 'trimmed', btrim(x, {q(text.WHITE_SPACE)}))),"
+        " e -> contains(e.line, '\"') OR e.trimmed IN ('import (', ')'))")
+    alias = f"regexp_extract(e.line, {java(fv.IMPORT_ALIAS_PATTERN)}, 1)"
+    single = "startswith(e.trimmed, 'import \"')"
+    pkg = (
+        f"CASE WHEN {single} THEN regexp_extract(e.trimmed, {java(fv.SINGLE_IMPORT_PATTERN)}, 1)"
+        f" WHEN {alias} <> '' THEN regexp_extract(e.line, {java(fv.IMPORT_ALIAS_PATTERN)}, 2)"
+        f" ELSE regexp_extract(e.line, {java(fv.IMPORT_PATTERN)}, 1) END")
+    name = f"CASE WHEN {single} OR {alias} = '' THEN substring_index(p, '/', -1) ELSE {alias} END"
+    body = f"IF({single}, e.no + 1, s.block + {fv.IMPORT_BODY_OFFSET})"
+    item = (
+        f"get(transform(array({pkg}), p -> IF(p <> '' AND IF({single}, NOT startswith({name}, '_'), ({name}) NOT IN ('_', '.')),"
+        f" named_struct('line_no', e.no, 'pkg', p, 'name', {name}, 'body_from', {body}), NULL)), 0)")
+    step = (
+        "CASE WHEN e.trimmed = 'import (' THEN named_struct('block', e.no, 'found', s.found)"
+        " WHEN e.trimmed = ')' THEN named_struct('block', 0, 'found', s.found)"
+        f" WHEN {single} OR s.block > 0 THEN get(transform(array({item}), c -> IF(c IS NULL, s,"
+        " named_struct('block', s.block, 'found', array_append(s.found, c)))), 0) ELSE s END")
+    none = "array()"
+    start = f"named_struct('block', 0, 'found', cast({none} AS array<struct<line_no:int,pkg:string,name:string,body_from:int>>))"
+    unused = (
+        f"filter(aggregate({lines}, {start}, (s, e) -> {step}, s -> s.found), i -> locate(concat(i.name, '.'), content,"
+        " length(substring_index(content, '\\n', i.body_from - 1)) + 2) = 0)")
+    return f"CASE WHEN language = 'Go' AND contains(content, 'import') THEN transform({unused}, i -> named_struct('line_no', i.line_no, 'pkg', i.pkg)) END"
+
+
+def unused_import() -> Column:
+    return _quality(
+        "unused_import", fv.WARNING,
+        "Import '{pkg}' may be unused",
+        "Remove unused imports to keep code clean.", IMPORTS,
     )
 
 
@@ -421,13 +503,14 @@ def duplicate_windows(lines: DataFrame) -> DataFrame:
 
 
 def code_duplication(lines: DataFrame) -> DataFrame:
-    return emit(
-        duplicate_windows(lines),
-        _quality(
-            "code_duplication", fv.INFO,
-            "Duplicate code block (also at line {first_line})",
-            "Extract duplicated code into a shared function.", DUPLICATION,
-        ),
+    return emit(duplicate_windows(lines), duplicate())
+
+
+def duplicate() -> Column:
+    return _quality(
+        "code_duplication", fv.INFO,
+        "Duplicate code block (also at line {first_line})",
+        "Extract duplicated code into a shared function.", DUPLICATION,
     )
 
 

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from codestrata import fixed_values as fv
 from codestrata.functions import text
 from codestrata.functions.linear import LINEAR
-from codestrata.functions.regex import to_java
+from codestrata.functions.regex import to_java, trie
 from codestrata.functions.text import sql_string
 from codestrata.operators.findings import ISSUE_COLUMNS, SECURITY_PASS
 
+#: Rules behind one comparison of the rule number.
+RULES_A_STEP = 8
+
 #: Lines the rules look at: not blank, no comment, no definition of a pattern or text.
 #: ``low`` stands for the line in lower case, folded.
 ELIGIBLE = (
@@ -70,22 +73,37 @@ def rule_hit(rule: fv.Rule, gated: bool = True) -> str:
     return " AND ".join(tests)
 
 
-def fired_rules(rules: Sequence[fv.Rule], gated: bool = True) -> str:
-    """The numbers of the rules that fire on a line, among zeros.
+def rules_by_literal(rules: Sequence[fv.Rule]) -> dict[str, list[int]]:
+    """The rules that a literal, found as the longest at its place, makes candidates."""
+    literals = sorted({x for r in rules for x in r.needs})
+    return {
+        found: [n for n, r in enumerate(rules, start=1) if any(found.startswith(x) for x in r.needs)]
+        for found in literals}
+
+
+def candidate_rules(rules: Sequence[fv.Rule]) -> str:
+    """The numbers of the rules of which the line holds a literal.
 
-    Rules with the same ``mark`` stand behind one test of that character.
+    One pattern, a trie of all literals, looks at each place of the folded line once and gives the
+    longest literal there; a shorter one that begins it counts as well.
     """
-    by_mark: dict[str, list[str]] = {}
-    for n, rule in enumerate(rules, start=1):
-        case = f"CASE WHEN {rule_hit(rule, gated)} THEN {n} ELSE 0 END"
-        by_mark.setdefault(rule.mark if gated else "", []).append(case)
-    parts = []
-    for mark, cases in by_mark.items():
-        part = f"array({', '.join(cases)})"
-        if mark:
-            part = f"CASE WHEN {text.holds_any_sql('line', tuple(mark))} THEN {part} ELSE array(0) END"
-        parts.append(part)
-    return f"concat({', '.join(parts)})"
+    by_literal = rules_by_literal(rules)
+    found = f"regexp_extract_all(low, {sql_string(f'(?=({trie(list(by_literal))}))')}, 1)"
+    pairs = ", ".join(f"{sql_string(x)}, array({', '.join(map(str, numbers))})" for x, numbers in by_literal.items())
+    return f"array_distinct(flatten(transform(array_distinct({found}), x -> element_at(map({pairs}), x))))"
+
+
+def fired_rules(rules: Sequence[fv.Rule], gated: bool = True) -> str:
+    """The numbers of the rules that fire on a line, in no order; only candidates are tried."""
+    def case(first: int, some: Sequence[fv.Rule]) -> str:
+        tests = " ".join(f"WHEN {n} THEN {rule_hit(r, False)}" for n, r in enumerate(some, start=first))
+        return f"CASE r {tests} END"
+
+    steps = [(n, rules[n:n + RULES_A_STEP]) for n in range(0, len(rules), RULES_A_STEP)]
+    chosen = " ".join(f"WHEN r <= {n + len(some)} THEN {case(n + 1, some)}" for n, some in steps)
+    candidates = candidate_rules(rules) if gated else f"sequence(1, {len(rules)})"
+    # a lambda is interpreted, rule by rule: patterns of rules that are no candidates are not even compiled
+    return f"filter({candidates}, r -> CASE {chosen} END)"
 
 
 def scan(
@@ -102,16 +120,15 @@ def scan(
     looked_at = lines.select(
         "file_id", "path", "line_no", "line", "trimmed", text.bound(text.folded("line")).alias("low")
     ).filter(ELIGIBLE)
-    # the array is a column of its own, so that it is compiled; the outer form of explode
-    # keeps Spark from testing the array in a filter first
-    found = (
-        looked_at.select(
-            "file_id", "path", "line_no", F.expr(fired_rules(rules, gated)).alias("fired"))
-        .select(
-            "file_id", "path", "line_no",
-            F.explode_outer(F.array_remove("fired", 0)).alias("rule_no"))
-        .filter(F.col("rule_no").isNotNull())
-    )
+    # the outer form of explode keeps Spark from testing the array in a filter first
+    found = looked_at.select(
+        "file_id", "path", "line_no", F.explode_outer(F.expr(fired_rules(rules, gated))).alias("rule_no")
+    ).filter(F.col("rule_no").isNotNull())
+    return described(found, path_aware, rules).select(*ISSUE_COLUMNS)
+
+
+def described(found: DataFrame, path_aware: bool = False, rules: Sequence[fv.Rule] = fv.SECURITY_RULES) -> DataFrame:
+    """``(file_id, path, line_no, rule_no, ...)`` with the columns of a finding."""
     detail = ", ".join(
         f"named_struct('type', {sql_string(r.type)}, 'severity', {r.severity},"
         f" 'message', {sql_string(r.message)}, 'fix', {sql_string(r.fix)})"
@@ -121,17 +138,8 @@ def scan(
     if path_aware:
         is_secret = F.col("d.type") == "hardcoded_secret"
         severity = F.when(is_secret & text.is_test_path(), fv.INFO).otherwise(severity)
-    return (
-        found.withColumn("d", F.expr(f"get(array({detail}), rule_no - 1)"))
-        .select(
-            "file_id", "path", "line_no",
-            "d.type", severity.cast("int").alias("severity"),
-            F.lit(fv.SECURITY).alias("category"),
-            "d.message", "d.fix",
-            F.lit(SECURITY_PASS).alias("pass_no"),
-            F.lit(1).alias("check_no"),
-            F.col("line_no").cast("long").alias("ord"),
-            F.col("rule_no").cast("int").alias("rule_no"),
-        )
-        .select(*ISSUE_COLUMNS)
-    )
+    return found.withColumn("d", F.expr(f"get(array({detail}), rule_no - 1)")).withColumns({
+        "type": F.col("d.type"), "severity": severity.cast("int"), "category": F.lit(fv.SECURITY),
+        "message": F.col("d.message"), "fix": F.col("d.fix"), "pass_no": F.lit(SECURITY_PASS),
+        "check_no": F.lit(1), "ord": F.col("line_no").cast("long"), "rule_no": F.col("rule_no").cast("int"),
+    }).drop("d")

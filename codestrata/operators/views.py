@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
@@ -15,20 +15,16 @@ def of_category(issues: DataFrame, category: int) -> DataFrame:
     return issues.filter(F.col("category") == category)
 
 
-def with_snippets(issues: DataFrame, lines: DataFrame) -> DataFrame:
-    """Findings with the text of their line, shortened.
+def snippet(line: Column) -> Column:
+    """The text of a line as shown beside a finding.
 
     Limits are in bytes; a character that a limit falls into goes.
     """
-    source = lines.select("file_id", "line_no", "line")
-    shown = text.strip(text.cut(F.col("line"), 80, 77))
-    return issues.join(source, ["file_id", "line_no"], "left").withColumn(
-        "snippet", F.coalesce(text.cut(shown, 70, 67), F.lit(""))
-    ).drop("line")
+    return text.cut(text.strip(text.cut(line, 80, 77)), 70, 67)
 
 
-def security_view(issues: DataFrame, lines: DataFrame) -> DataFrame:
-    found = with_snippets(of_category(issues, fv.SECURITY), lines)
+def security_view(found: DataFrame) -> DataFrame:
+    """From the findings of the rules with the ``snippet`` that the scan cut for them."""
     return found.select(
         "path", "line_no", text.severity_label().alias("label"), "type", "snippet",
         "message", "fix", *ORDER,

@@ -8,21 +8,21 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.operators import ai, churn, complexity, quality, rollup, security
+from codestrata.operators import ai, churn, one_pass, rollup
 from codestrata.operators.findings import union_all
-from codestrata.sources import changes, corpus
-from codestrata.sources.lines import explode_lines, per_file
+from codestrata.sources import corpus
+from codestrata.sources.changes import roots
+from codestrata.sources.lines import explode_lines
 
 
 class Analysis:
     """All tables of one analysis, declared lazily.
 
-    ``files`` holds ``(file_id, path, content)`` and, for several repositories, ``root``.  Every pass reads the same selected
-    files, each at the partition of its ``file_id``.  With ``keep`` (the default) they
-    are persisted there, so they are read and moved once, and so are the functions, the
-    per-file aggregates and the findings, which several results use.  Lost blocks are
-    computed again from the source.  Call ``release`` when done.  Without ``keep`` every
-    pass reads the source; that suits single tables.
+    ``files`` holds ``(file_id, path, content)`` and, for several repositories, ``root``.  One pass over
+    the selected files, each at the partition of its ``file_id``, gives the ``facts``, a few rows
+    a file, from which all tables follow.  With ``keep`` (the default) the facts are persisted;
+    contents and lines never are.  Lost blocks are computed again from the source.  Call
+    ``release`` when done.  Without ``keep`` every table makes the pass anew; that suits single tables.
     """
 
     def __init__(
@@ -42,7 +42,7 @@ class Analysis:
             selected = corpus.co_locate(selected)
         self._keep = keep
         self._kept: list[DataFrame] = []
-        self.files = self._kept_if_wanted(selected)
+        self.files = selected
         self._path_aware = path_aware
         self._change_log = change_log
         self._max_commits = max_commits
@@ -53,12 +53,6 @@ class Analysis:
             self._kept.append(table)
         return table
 
-    def _with_root(self, table: DataFrame) -> DataFrame:
-        """``table`` with the repository of each file, where files have one."""
-        if not changes.roots(self.files):
-            return table
-        return table.join(self.files.select("file_id", "root"), "file_id")
-
     def release(self) -> None:
         for table in self._kept:
             table.unpersist()
@@ -67,40 +61,44 @@ class Analysis:
     def lines(self) -> DataFrame:
         return explode_lines(self.files)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._kept_if_wanted(one_pass.facts(self.files))
+
     @cached_property
     def functions(self) -> DataFrame:
-        return self._kept_if_wanted(complexity.functions(self.lines))
+        return one_pass.functions(self.facts)
 
     @cached_property
     def file_stats(self) -> DataFrame:
-        """All aggregates over the lines of a file, a row per file."""
-        return self._kept_if_wanted(
-            per_file(
-                self.lines, ai.line_stats(), ai.comment_stats(), complexity.branch_stats(),
-                quality.naming_stats()))
+        """All figures of a file, a row per file."""
+        return one_pass.file_stats(self.facts)
+
+    @cached_property
+    def security_findings(self) -> DataFrame:
+        """The findings of the rules with their snippets."""
+        return one_pass.security_issues(self.facts, self._path_aware)
 
     @cached_property
     def security_issues(self) -> DataFrame:
-        return security.scan(self.lines, self._path_aware)
+        return self.security_findings.drop("snippet")
 
     @cached_property
     def ai_issues(self) -> DataFrame:
-        return ai.findings(self.lines, self.files)
+        return one_pass.ai_issues(self.facts)
 
     @cached_property
     def quality_issues(self) -> DataFrame:
-        return quality.scan(self.lines, self.files, self.functions, self.file_stats)
+        return one_pass.quality_issues(self.facts)
 
     @cached_property
     def issues(self) -> DataFrame:
         """The findings of all passes (a bag)."""
-        return self._kept_if_wanted(
-            union_all([self.ai_issues, self.security_issues, self.quality_issues]))
+        return union_all([self.ai_issues, self.security_issues, self.quality_issues])
 
     @cached_property
     def signals(self) -> DataFrame:
-        stats = ai.file_stats(self.files, self.lines, self.functions, self.file_stats)
-        return ai.signals(stats, "complexity")
+        return ai.signals(self.file_stats, "complexity", *roots(self.files))
 
     @cached_property
     def git_info(self) -> DataFrame | None:
@@ -111,10 +109,10 @@ class Analysis:
     @cached_property
     def file_report(self) -> DataFrame:
         """A row per file with its score, complexity and counts of findings."""
-        scored = self._with_root(self.signals.select(
-            "file_id", "path", "language", F.col("n_lines").alias("line_count"),
+        scored = self.signals.select(
+            "file_id", *roots(self.files), "path", "language", F.col("n_lines").alias("line_count"),
             ai.ai_score().alias("ai_score"), "comment_ratio", "n_functions", "complexity",
-        ))
+        )
         counts = rollup.issues_per_file(self.issues)
         report = (
             scored.join(counts, "file_id", "left")
@@ -133,8 +131,8 @@ class Analysis:
         """A row per file with its lines, complexity and counts of findings; no signals."""
         counts = rollup.issues_per_file(self.issues)
         return (
-            self._with_root(
-                self.file_stats.select("file_id", "path", F.col("n_lines").alias("line_count"), "complexity"))
+            self.file_stats.select(
+                "file_id", *roots(self.files), "path", F.col("n_lines").alias("line_count"), "complexity")
             .join(counts, "file_id", "left")
             .fillna(0, ["issue_count", "security_issues", "quality_issues", "ai_issues"])
         )

@@ -58,7 +58,7 @@ class Inputs:
 
     @cached_property
     def functions(self) -> DataFrame:
-        return self.analysis.functions
+        return complexity.functions(self.lines)
 
     @cached_property
     def starts(self) -> DataFrame:
@@ -529,8 +529,7 @@ def _(i: Inputs):
 
 @whole("issue_snippets")
 def _(a: Analysis):
-    return views.with_snippets(a.security_issues, a.lines).select(
-        "file_id", "line_no", "rule_no", "snippet")
+    return a.security_findings.select("file_id", "line_no", "rule_no", "snippet")
 
 
 @single("function_start_lines")
@@ -570,7 +569,7 @@ def _(a: Analysis):
 
 @single("severity_counts")
 def _(i: Inputs):
-    return rollup.severity_counts(i.analysis.security_issues)
+    return rollup.severity_counts(security.scan(i.lines))
 
 
 @whole("ai_tiers")
@@ -665,7 +664,7 @@ def _(a: Analysis):
 
 @whole("security_view")
 def _(a: Analysis):
-    return views.security_view(a.issues, a.lines)
+    return views.security_view(a.security_findings)
 
 
 @whole("ai_view")

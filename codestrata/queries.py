@@ -15,7 +15,7 @@ from codestrata.operators import ai, churn, complexity, quality, rollup, securit
 from codestrata.operators.findings import ISSUE_COLUMNS
 from codestrata.plans.analysis import Analysis
 from codestrata.session import shared_folder
-from codestrata.sources import changes, corpus, derived, reports
+from codestrata.sources import changes, corpus, derived, reports, tree
 from codestrata.sources.lines import (
     line_count, per_file, with_line_columns,
 )
@@ -25,6 +25,8 @@ REGISTRY: dict[str, Query] = {}
 
 #: Parameters of queries whose default limit the derived corpus does not reach.
 SMALL_FILE_BYTES = 1500
+CHUNK_BYTES = 700
+NEWEST_OF_ROOT = 20
 WALK_FIRST = 300
 TOP_CHURN = 25
 REPORT_ROOT = "corpus"
@@ -68,6 +70,10 @@ class Inputs:
     def change_log(self) -> DataFrame:
         return derived.change_log(self.spark, self.sf_dir)
 
+    @cached_property
+    def ordered_log(self) -> DataFrame:
+        return derived.ordered_change_log(self.spark, self.sf_dir)
+
 
 _shared: dict[tuple[str, str], Analysis] = {}
 
@@ -152,6 +158,31 @@ def _(i: Inputs):
     return corpus.skipped(i.raw_files, SMALL_FILE_BYTES)
 
 
+def stored_tree(i: Inputs) -> str:
+    """All files of the corpus, written as a directory tree below the shared folder."""
+    root = f"{shared_folder(i.spark)}/tree-{uuid.uuid4().hex}"
+    tree.write_files(i.raw_files, root)
+    return root
+
+
+@single("directory_scan")
+def _(i: Inputs):
+    return corpus.scan_directory(i.spark, stored_tree(i)).select(
+        "path", "n_bytes", corpus.language_of().alias("language"), F.md5("content").alias("content_md5"))
+
+
+@single("directory_lines")
+def _(i: Inputs):
+    """The same tree in chunks that are smaller than most files."""
+    lines = corpus.scan_directory_lines(i.spark, stored_tree(i), chunk_bytes=CHUNK_BYTES)
+    return lines.select("path", "n_lines", "line_no", F.md5("line").alias("line_md5"))
+
+
+@single("directory_skipped")
+def _(i: Inputs):
+    return corpus.skipped_in_directory(i.spark, stored_tree(i), SMALL_FILE_BYTES).select("path", "n_bytes", "reason")
+
+
 @single("walk_prune")
 def _(i: Inputs):
     return i.raw_files.select("file_id", "path", corpus.is_pruned().alias("pruned"))
@@ -229,6 +260,12 @@ def _(i: Inputs):
     return changes.newest_commits(i.change_log, fv.MAX_COMMITS).select("commit_id", "author", "path")
 
 
+@single("newest_commits_of_roots")
+def _(i: Inputs):
+    """By the order of the log, not by time, of each repository."""
+    return changes.newest_commits(i.ordered_log, NEWEST_OF_ROOT).select("root", "commit_id", "author", "path")
+
+
 # -- predicates ------------------------------------------------------------
 
 
@@ -623,6 +660,16 @@ def _(i: Inputs):
     return churn.authors(i.change_log).select("path", "author", "commits", "newest_commit")
 
 
+@single("file_churn_of_roots")
+def _(i: Inputs):
+    return churn.churn(i.ordered_log)
+
+
+@single("file_authors_of_roots")
+def _(i: Inputs):
+    return churn.author_ranks(i.ordered_log)
+
+
 @whole("issue_counts")
 def _(a: Analysis):
     return rollup.issue_counts(a.issues)

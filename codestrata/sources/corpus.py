@@ -15,6 +15,7 @@ from codestrata import fixed_values as fv
 from codestrata.operators.ranking import numbered
 from codestrata.sources import tree
 from codestrata.sources.changes import roots
+from codestrata.sources.lines import explode_chunks
 
 
 def language_of(path: Column | str = "path") -> Column:
@@ -62,17 +63,51 @@ def list_directory(spark: SparkSession, root: str) -> DataFrame:
     return tree.list_files(spark, root, is_pruned).select(F.col("path").alias("file_id"), "path", "n_bytes")
 
 
+def _chosen(spark: SparkSession, root: str, max_bytes: int | None) -> DataFrame:
+    chosen = list_directory(spark, root).filter(language_of().isNotNull() & ~is_pruned())
+    return chosen if max_bytes is None else chosen.filter(F.col("n_bytes") <= max_bytes)
+
+
+def scan_directory_lines(
+    spark: SparkSession, root: str, max_bytes: int | None = None, chunk_bytes: int = tree.CHUNK_BYTES
+) -> DataFrame:
+    """The lines of a directory tree, as ``lines.explode_lines`` gives them, of files of any size.
+
+    A file is read as chunks of whole lines, so one of many GiB is the work of many tasks, and no
+    task holds it. All operators of lines take these; those of whole contents take ``scan_directory``."""
+    chunks = tree.read_chunks(_chosen(spark, root, max_bytes), root, chunk_bytes)
+    content = F.make_valid_utf8(F.col("content").cast("string"))
+    return explode_chunks(chunks.select(
+        F.col("path").alias("file_id"), "path", language_of().alias("language"), F.col("n_lines").cast("int").alias("n_lines"),
+        F.col("first_line").cast("int").alias("first_line"), content.alias("content")))
+
+
+def skipped_in_directory(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """``(file_id, path, n_bytes, reason)`` of all below ``root`` that ``scan_directory`` does not give.
+
+    Beside what ``skipped`` names these are the files and directories that cannot be opened (``unreadable``;
+    the chosen files are opened to see), and files that no value can hold (``read as lines only``)."""
+    entries = tree.list_entries(spark, root, is_pruned).select(F.col("path").alias("file_id"), "path", "n_bytes")
+    files = entries.filter(F.col("n_bytes").isNotNull())
+    chosen = _chosen(spark, root, max_bytes)
+    shut = tree.unreadable(chosen, root)
+    no_value = chosen.filter(F.col("n_bytes") > tree.READABLE_BYTES)
+    named = lambda t, reason: t.select(F.col("path").alias("file_id"), "path", "n_bytes", F.lit(reason).alias("reason"))
+    return (
+        skipped(files, max_bytes)
+        .unionAll(named(entries.filter(F.col("n_bytes").isNull()), "unreadable"))
+        .unionAll(named(shut, "unreadable"))
+        .unionAll(named(no_value.join(shut, "path", "left_anti"), "read as lines only")))
+
+
 def scan_directory(
     spark: SparkSession, root: str, max_bytes: int | None = None
 ) -> DataFrame:
     """Read a directory tree as ``files``, with the sizes as ``n_bytes``.
 
     The files are chosen by their paths and sizes first; no other is opened. A file that may not
-    be read is left out. ``skipped(list_directory(...))`` names what is not chosen."""
-    chosen = list_directory(spark, root).filter(language_of().isNotNull() & ~is_pruned())
-    if max_bytes is not None:
-        chosen = chosen.filter(F.col("n_bytes") <= max_bytes)
-    return tree.read_files(chosen, root).select(
+    be read is left out. ``skipped_in_directory`` names all that is not in the result."""
+    return tree.read_files(_chosen(spark, root, max_bytes), root).select(
         F.col("path").alias("file_id"), "path", "n_bytes",
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )

@@ -297,6 +297,21 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touched.join(orders, "commit_id")
 
 
+#: Repositories of ``ordered_change_log``.
+ROOTS = 7
+
+
+def ordered_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of several repositories, with ``root`` and ``seq``, whose times lie out of the log's order.
+
+    A commit's place is a mixed number of its own, so neighbours of the log are days apart either way."""
+    log = change_log(spark, sf_dir)
+    return log.withColumns({
+        "root": F.concat(F.lit("r"), (F.col("commit_id") % ROOTS).cast("string")),
+        "seq": F.expr("(commit_id * 7919) % 1000003 * 1000000 + commit_id"),
+    })
+
+
 #: Extensions given to the rows of a table of plain texts in turn; all of supported languages.
 TEXT_EXTENSIONS = {"documents": (".md", ".sql", ".py", ".yaml", ".go"), "pages": (".js", ".php", ".rb")}
 

@@ -40,6 +40,18 @@ def explode_lines(files: DataFrame) -> DataFrame:
     )
 
 
+def explode_chunks(chunks: DataFrame) -> DataFrame:
+    """As ``explode_lines``, of ``(file_id, path, language, n_lines, first_line, content)`` with whole lines as content."""
+    both = F.transform(
+        split_lines(), lambda x: F.struct(x.alias("line"), text.strip(x).alias("trimmed")))
+    return chunks.select(
+        "file_id", "path", "language", "n_lines", "first_line", F.posexplode_outer(both).alias("pos", "l")
+    ).select(
+        "file_id", "path", "language", "n_lines",
+        (F.col("first_line") + F.col("pos")).alias("line_no"), "l.line", "l.trimmed",
+    )
+
+
 def with_line_columns(lines: DataFrame) -> DataFrame:
     """Add the lengths, indent and flags that describe a line."""
     return lines.withColumns(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codestrata import fixed_values as fv
-from codestrata.queries import REPORT_ROOT, SMALL_FILE_BYTES, TEXT_CHECKS, TEXT_TABLES, TOP_CHURN, WALK_FIRST
+from codestrata.queries import NEWEST_OF_ROOT, REPORT_ROOT, SMALL_FILE_BYTES, TEXT_CHECKS, TEXT_TABLES, TOP_CHURN, WALK_FIRST
 from codestrata.sources.derived import TEXT_EXTENSIONS
 from oracle.base import CTES, has, names, query
 from oracle.tables import (
@@ -46,6 +46,18 @@ add("skipped_files",
     f"""SELECT * FROM (SELECT file_id, path, strlen(content)::INT AS n_bytes, CASE WHEN {PRUNED} THEN 'pruned'
       WHEN language IS NULL THEN 'unsupported' WHEN strlen(content) > {SMALL_FILE_BYTES} THEN 'too large' END AS reason
       FROM tagged) WHERE reason IS NOT NULL""", "tagged")
+add("directory_scan",
+    "SELECT path, strlen(content) AS n_bytes, language, md5(content) AS content_md5 FROM files", "files")
+add("directory_lines",
+    """SELECT path, len(ls)::INT AS n_lines, n::INT AS line_no, md5(ls[n]) AS line_md5 FROM (
+      SELECT path, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT path, string_split(content, chr(10)) AS ls FROM files))""",
+    "files")
+add("directory_skipped",
+    f"""SELECT path, strlen(content) AS n_bytes, CASE WHEN {PRUNED} THEN 'pruned'
+      WHEN language IS NULL THEN 'unsupported' ELSE 'too large' END AS reason
+    FROM tagged WHERE ({PRUNED} OR language IS NULL OR strlen(content) > {SMALL_FILE_BYTES})
+      AND file_id NOT IN (SELECT file_id FROM (SELECT file_id, regexp_extract(path, '^(.*/)', 1) AS path FROM raw_files) WHERE {PRUNED})""",
+    "tagged", "raw_files")
 add("walk_prune", f"SELECT file_id, path, {PRUNED} AS pruned FROM raw_files", "raw_files")
 add("language_tagging", "SELECT file_id, path, language FROM tagged", "tagged")
 add("size_filter",
@@ -291,6 +303,17 @@ add("file_churn",
       arg_max(author, (authored_at, commit_id)) AS last_author,
       strftime(max(authored_at), '%Y-%m-%d') AS last_modified
     FROM change_log GROUP BY path""", "change_log")
+add("newest_commits_of_roots",
+    f"""SELECT root, commit_id, author, path FROM ordered_log WHERE commit_id IN (
+      SELECT commit_id FROM (SELECT DISTINCT root, seq, commit_id FROM ordered_log)
+      QUALIFY row_number() OVER (PARTITION BY root ORDER BY seq) <= {NEWEST_OF_ROOT})""", "ordered_log")
+add("file_churn_of_roots",
+    """SELECT root, path, count(*)::INT AS commit_count, count(DISTINCT author)::INT AS author_count,
+      arg_min(author, seq) AS last_author, strftime(max(authored_at), '%Y-%m-%d') AS last_modified
+    FROM ordered_log GROUP BY root, path""", "ordered_log")
+add("file_authors_of_roots",
+    """SELECT root, path, row_number() OVER (PARTITION BY root, path ORDER BY first_seq)::INT AS author_no, author
+    FROM (SELECT root, path, author, min(seq) AS first_seq FROM ordered_log GROUP BY ALL)""", "ordered_log")
 add("file_authors",
     """SELECT path, row_number() OVER (PARTITION BY path ORDER BY first_seq)::INT AS author_no, author
     FROM (SELECT path, author, min(seq) AS first_seq FROM history GROUP BY ALL)""", "history")

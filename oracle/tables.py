@@ -773,6 +773,12 @@ define(
       FROM (SELECT DISTINCT commit_id, authored_at FROM change_log)) USING (commit_id)""",
     "change_log",
 )
+define(
+    "ordered_log",
+    f"""SELECT *, 'r' || (commit_id % {derived.ROOTS}) AS root, (commit_id * 7919) % 1000003 * 1000000 + commit_id AS seq
+    FROM change_log""",
+    "change_log",
+)
 define("newest", "SELECT * FROM history WHERE seq <= 100", "history")
 define(
     "git_info",

@@ -7,6 +7,13 @@ neighbouring blocks and between blocks of one parent element hold those together
 The minimum cut, found by maximum flow, is the labelling of least cost; blocks that can still be
 reached from the content terminal are content. Weights are fixed, as no pages are labelled.
 
+What an element is called counts by how plainly it says so: a class made of words for boilerplate and
+for boxes speaks as strongly as a tag, one that holds other words too (`related-work`, `social-history`)
+little, and of an article or a main element nothing but words for comments and teasers does. A form
+is boilerplate only where its controls outweigh its text (a whole page may stand in a form). Articles
+beside a main element are no content. Behind a heading that announces comments the rest of its section
+is boilerplate.
+
 Character references are decoded, white space in a block becomes one space, blocks are joined by an
 empty line. Comments, scripts, styles, form controls and the head have no text. Null and empty pages
 have an empty text, as have pages of boilerplate alone. Unclosed and misplaced tags are read as
@@ -52,7 +59,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("ul ol dl table div section article main body aside nav footer header form blockquote".split())
 
 CONTENT_TAGS = frozenset(("article", "main"))
-BOILERPLATE_TAGS = frozenset("nav aside footer form menu dialog label fieldset legend".split())
+BOILERPLATE_TAGS = frozenset("nav aside footer menu dialog label fieldset legend".split())
+CONTROLS = frozenset("input select textarea button label".split())
 CONTENT_ROLES = frozenset(("main", "article"))
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 CONTENT_NAMES = frozenset("article content main post entry story".split())
@@ -62,14 +70,29 @@ BOILERPLATE_NAMES = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations widget pagination pager toolbar copyright legal disclaimer skip "
     "aside search form teaser teasers trending".split())
+#: Words that say how a box looks or where it is, not what is in it.
+BOX_NAMES = frozenset(
+    "box block list item items wrap wrapper container inner outer section area bar links link posts articles content top bottom "
+    "left right site page global primary secondary main col column row grid group panel unit text title head heading header body "
+    "area region zone slot thread count icon icons button buttons btn js is the and of on in post article entry story "
+    "background sticky fixed mobile desktop small large dark light".split())
+#: What a content element may be called without ceasing to be content.
+OF_CONTENT = frozenset(
+    "legal social notice notices alert search form skip banner copyright signup login share sharing subscription subscribe "
+    "consent gdpr cookie cookies recommended recommendations widget menu".split())
+COMMENTS = re.compile(
+    r"(?:\d+\s+|no\s+|all\s+|leave\s+an?\s+|post\s+an?\s+|add\s+an?\s+|write\s+an?\s+|reader\s+|user\s+|your\s+|join\s+the\s+)*"
+    r"(?:comments?|repl(?:y|ies)|responses?|discussion|conversation)(?:\s*[(:]?\s*\d*\s*[):]?)(?:\s+(?:on|to)\s+.*)?", re.I | re.S)
 NOT_OWN = frozenset("has with no without show hide".split())
 PAGE_HEADER_NAMES = frozenset(("header", "topbar", "masthead"))
 
 #: Scores of the classifier, in hundredths.
-INSIDE, OUTSIDE, NAMED, BOILERPLATE = 600, -600, 400, -1500
+INSIDE, OUTSIDE, NAMED, BOILERPLATE, HINT = 400, -600, 400, -1500, -200
 PARAGRAPH, HEADING, SENTENCE, LETTERS, MOST_LETTERS, LINKED, FRAGMENT = 150, 100, 150, 2, 300, -500, -300
 #: Capacities between blocks: neighbours, neighbours across a border, blocks of one parent.
-NEAR, ACROSS, SIBLINGS = 100, 20, 150
+NEAR, ACROSS, SIBLINGS = 250, 20, 250
+#: Letters of text that outweigh a control of a form.
+LETTERS_A_CONTROL = 150
 
 
 class _Tokens:
@@ -122,56 +145,105 @@ class _Tokens:
 
 
 class Block:
-    __slots__ = ("text", "tag", "inside", "named", "boilerplate", "parent", "linked")
+    __slots__ = ("text", "tag", "inside", "in_main", "named", "boilerplate", "hinted", "parent", "linked", "form", "within")
 
-    def __init__(self, text, tag, inside, named, boilerplate, parent, linked):
-        self.text, self.tag, self.inside, self.named = text, tag, inside, named
-        self.boilerplate, self.parent, self.linked = boilerplate, parent, linked
+    def __init__(self, text, tag, top, parent, linked):
+        self.text, self.tag, self.parent, self.linked = text, tag, parent, linked
+        self.inside, self.in_main, self.named = top.inside, top.in_main, top.named
+        self.boilerplate, self.hinted, self.form, self.within = top.boilerplate, top.hinted, top.form, top
 
 
 class _Open:
     """An open element, with what its ancestors say."""
-    __slots__ = ("tag", "inside", "named", "boilerplate", "number", "link")
-
-    def __init__(self, tag, inside, named, boilerplate, number, link):
-        self.tag, self.inside, self.named = tag, inside, named
-        self.boilerplate, self.number, self.link = boilerplate, number, link
+    __slots__ = ("tag", "inside", "in_main", "named", "boilerplate", "hinted", "number", "link", "form", "above")
+
+    def __init__(self, tag="", number=0, above=None):
+        self.tag, self.number, self.above = tag, number, above
+        self.inside = self.in_main = self.named = self.boilerplate = self.hinted = self.link = False
+        self.form = 0
+        if above:
+            self.inside, self.in_main, self.named, self.hinted = above.inside, above.in_main, above.named, above.hinted
+            self.boilerplate, self.form, self.link = above.boilerplate, above.form, above.link or tag == "a"
+
+
+def _says(words: list[str], tag: str, inside: bool) -> str:
+    """What a class or id of these words says of its element: `content`, `hint`, `boilerplate` or nothing."""
+    if not NOT_OWN.isdisjoint(words):
+        return ""
+    page_header = not inside and not PAGE_HEADER_NAMES.isdisjoint(words)
+    against = BOILERPLATE_NAMES.intersection(words)
+    if not against and not page_header:
+        return "" if CONTENT_NAMES.isdisjoint(words) else "content"
+    if tag in CONTENT_TAGS:
+        own = against - OF_CONTENT
+        return "boilerplate" if own and words[0] in own and set(words) <= own | BOX_NAMES else ""
+    return "boilerplate" if page_header or set(words) <= BOILERPLATE_NAMES | BOX_NAMES else "hint"
 
 
 def _entered(above: _Open, tag: str, raw: str, number: int) -> _Open:
-    inside = above.inside or tag in CONTENT_TAGS
-    named, boilerplate = above.named, above.boilerplate or tag in BOILERPLATE_TAGS
-    if tag == "header" and not above.inside:
-        boilerplate = True
-    if raw and tag not in ("html", "body") and not boilerplate:
+    own = _Open(tag, number, above)
+    own.inside = own.inside or tag in CONTENT_TAGS
+    own.in_main = own.in_main or tag == "main"
+    own.boilerplate = own.boilerplate or tag in BOILERPLATE_TAGS or (tag == "header" and not above.inside)
+    if tag == "form":
+        own.form = number
+    if raw and tag not in ("html", "body") and not own.boilerplate:
         for name, *values in _ATTRIBUTE.findall(raw):
             value = "".join(values)
             name = name.lower()
             if name in ("class", "id"):
                 for one in value.split():
-                    words = [w.lower() for w in _WORD.findall(one)]
-                    if not NOT_OWN.isdisjoint(words):
-                        continue
-                    if not BOILERPLATE_NAMES.isdisjoint(words) or (not above.inside and not PAGE_HEADER_NAMES.isdisjoint(words)):
-                        boilerplate = boilerplate or tag not in CONTENT_TAGS or not words or words[0] not in CONTENT_NAMES
-                    elif not CONTENT_NAMES.isdisjoint(words):
-                        named = True
+                    said = _says([w.lower() for w in _WORD.findall(one)], tag, above.inside)
+                    own.boilerplate = own.boilerplate or said == "boilerplate"
+                    own.hinted = own.hinted or said == "hint"
+                    own.named = own.named or said == "content"
             elif name == "role":
-                inside = inside or value.lower() in CONTENT_ROLES
-                boilerplate = boilerplate or value.lower() in BOILERPLATE_ROLES
+                own.inside = own.inside or value.lower() in CONTENT_ROLES
+                own.in_main = own.in_main or value.lower() == "main"
+                own.boilerplate = own.boilerplate or value.lower() in BOILERPLATE_ROLES
             elif (name == "aria-hidden" and value.lower() == "true") or (
                     name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                boilerplate = True
+                own.boilerplate = True
     # the word within a value, but for classes, says nothing
     if "hidden" in raw and re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "class" else " ", raw)):
-        boilerplate = True
-    return _Open(tag, inside, named, boilerplate, number, above.link or tag == "a")
+        own.boilerplate = True
+    return own
+
+
+def _settle(page: list[Block], controls: dict[int, int]) -> list[Block]:
+    """What only the whole page tells: forms of controls, articles beside a main element, comment threads."""
+    letters: dict[int, int] = {}
+    for b in page:
+        if b.form and not b.boilerplate and not b.linked > 0.5:
+            letters[b.form] = letters.get(b.form, 0) + len(b.text)
+    has_main = any(b.in_main and not b.boilerplate for b in page)
+    thread: tuple[int, str] | None = None  # the element that holds the heading of comments, and its level
+    for b in page:
+        if b.form and letters.get(b.form, 0) < LETTERS_A_CONTROL * max(1, controls.get(b.form, 0)):
+            b.boilerplate = True
+        if has_main:
+            b.inside = b.in_main
+        if thread:
+            element = b.within
+            while element and element.number != thread[0]:
+                element = element.above
+            if element is None or (b.tag in HEADINGS and b.tag <= thread[1]):
+                thread = None
+        if b.tag in HEADINGS and not b.boilerplate and COMMENTS.fullmatch(b.text):
+            holder = b.within.above if b.within.tag == b.tag else b.within
+            while holder and holder.tag in HEADINGS | INLINE | {"header", "hgroup"}:
+                holder = holder.above
+            thread = (holder.number if holder else 0, b.tag)
+        if thread:
+            b.boilerplate = True
+    return page
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    stack = [_Open("", False, False, False, 0, False)]
+    stack = [_Open()]
+    controls: dict[int, int] = {}
     parts: list[str] = []
     linked = number = 0
     skip = ""  # inside a silent element
@@ -185,7 +257,7 @@ def blocks(html: str) -> list[Block]:
             if text:
                 top = next(e for e in reversed(stack) if e.tag not in INLINE)
                 above = stack[stack.index(top) - 1].number if top.tag not in ("", "body", "div", "article", "main", "section") and len(stack) > 1 else top.number
-                out.append(Block(text, top.tag, top.inside, top.named, top.boilerplate, above, linked / len(text)))
+                out.append(Block(text, top.tag, top, above, linked / len(text)))
         linked = 0
 
     def close_to(place: int) -> None:
@@ -234,6 +306,8 @@ def blocks(html: str) -> list[Block]:
                 else:
                     close_block()
             continue
+        if tag in CONTROLS and stack[-1].form:
+            controls[stack[-1].form] = controls.get(stack[-1].form, 0) + ("hidden" not in raw)
         if tag in SILENT:
             if not raw.rstrip().endswith("/"):
                 skip = tag
@@ -270,7 +344,7 @@ def blocks(html: str) -> list[Block]:
     if not skip:
         parts.append(unescape(html[at:]))
     close_block()
-    return out
+    return _settle(out, controls)
 
 
 def scores(page: list[Block]) -> list[int]:
@@ -279,7 +353,7 @@ def scores(page: list[Block]) -> list[int]:
     named = any(b.named and not b.boilerplate for b in page)
     out = []
     for b in page:
-        s = BOILERPLATE if b.boilerplate else 0
+        s = BOILERPLATE if b.boilerplate else HINT if b.hinted else 0
         if marked:
             s += INSIDE if b.inside else OUTSIDE
         elif named:
@@ -361,8 +435,8 @@ def minimum_cut(terminal: list[int], edges: list[tuple[int, int, int]]) -> list[
                 next_[a] += 1
 
 
-def labels(page: list[Block]) -> list[bool]:
-    """Which blocks are content."""
+def smoothness(page: list[Block]) -> list[tuple[int, int, int]]:
+    """(block, block, capacity) of those that stand side by side or in one parent."""
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(page):
@@ -370,9 +444,14 @@ def labels(page: list[Block]) -> list[bool]:
             same = (b.boilerplate, b.inside) == (page[i - 1].boilerplate, page[i - 1].inside)
             edges.append((i - 1, i, NEAR if same else ACROSS))
         if b.parent in last:
-            edges.append((last[b.parent], i, SIBLINGS))
+            edges.append((last[b.parent], i, SIBLINGS if b.boilerplate == page[last[b.parent]].boilerplate else ACROSS))
         last[b.parent] = i
-    return minimum_cut(scores(page), edges)
+    return edges
+
+
+def labels(page: list[Block]) -> list[bool]:
+    """Which blocks are content."""
+    return minimum_cut(scores(page), smoothness(page))
 
 
 def main_text(html: str) -> str:

@@ -114,3 +114,61 @@ def test_table(spark):
     out = [x.text for x in h.extract_pages(pages).collect()]
     assert out == ["", "", h.main_text(PAGE), h.main_text(PAGE), ""]
     assert h.extract_pages(pages.limit(0)).count() == 0
+
+
+TEXT = "This is a sentence of the article that says a thing or two. And it goes on with one more of the kind."
+BODY = f"<h1>Title here</h1><p>{TEXT}</p><p>{TEXT} {TEXT}</p>"
+WHOLE = ["Title here", TEXT, f"{TEXT} {TEXT}"]
+
+
+@pytest.mark.parametrize(("page", "more"), (
+    (f"<form runat=server action=x><input type=hidden name=v><nav><a href=1>Home</a></nav><article>{BODY}</article><input></form>", []),
+    (f"<article class='legal'>{BODY}</article>", []),
+    (f"<main id='social-history'>{BODY}</main>", []),
+    (f"<article>{BODY}<div class='related-work'><p>{TEXT}</p></div></article>", [TEXT]),
+    (f"<div class='page-with-sidebar'><article>{BODY}</article></div>", []),
+    (f"<article>{BODY}</article><section><h2>Comments</h2><p>{TEXT}</p><p>{TEXT}</p></section>", []),
+    (f"<article>{BODY}<section><h2>3 Comments</h2><p>{TEXT}</p></section><p>After. {TEXT}</p></article>", [f"After. {TEXT}"]),
+    (f"<article>{BODY}<h2>Leave a reply</h2><p>{TEXT}</p><h2>Notes</h2><p>{TEXT}</p></article>", ["Notes", TEXT]),
+    (f"<article>{BODY}<h2>The comments of the board</h2><p>{TEXT}</p></article>", ["The comments of the board", TEXT]),
+    (f"<main>{BODY}</main><article><h2>Read this too</h2><p>{TEXT}</p></article>", []),
+    (f"<article>{BODY}<form><label>Name</label><p>Please fill in all fields. Thank you.</p><input><input><button>Go</button></form></article>", []),
+    (f"<article>{BODY}<div class='advert'><p>{TEXT}</p></div><div class='related-posts'><p>{TEXT}</p></div></article>", []),
+    (f"<article>{BODY}<article class='comment'><p>{TEXT}</p></article></article>", []),
+    (f"<article>{BODY}</article><article class='teaser'><p>{TEXT}</p></article>", []),
+))
+def test_names_forms_and_threads(page, more):
+    assert h.main_text(f"<body>{page}</body>").split("\n\n") == WHOLE + more
+
+
+MIXED = (
+    f"<div><p>{TEXT}</p><p>Yes</p><p>{TEXT}</p></div>",
+    f"<div><p>{TEXT}</p><ul><li>One</li><li>Two</li></ul><p>{TEXT}</p></div>",
+    f"<article><p>{TEXT}</p><p><a href=1>All of this is linked</a></p><p>{TEXT}</p></article>",
+    f"<div class=top><a href=1>One</a></div><div><p>{TEXT}</p><p>Short</p></div><div>Foot</div>",
+    f"<div><div>Home</div><div>News. </div><div>Sport</div></div><div><p>{TEXT}</p></div>",
+)
+
+
+def test_the_cut_decides():
+    """Blocks whose scores speak against them are kept by what stands around them."""
+    up = 0
+    for page in MIXED:
+        blocks = h.blocks(page)
+        for s, content in zip(h.scores(blocks), h.labels(blocks), strict=True):
+            up += content and s < 0
+    assert up >= 2
+
+
+def test_labels_are_of_least_energy():
+    for page in (*MIXED, PAGE[:900]):
+        blocks = h.blocks(page)
+        assert len(blocks) <= 14
+        scores, edges = h.scores(blocks), h.smoothness(blocks)
+
+        def energy(side):
+            return (sum(abs(s) for s, content in zip(scores, side) if (s > 0) != content and s)
+                    + sum(c for a, b, c in edges if side[a] != side[b]))
+
+        least = min(energy(side) for side in product((False, True), repeat=len(blocks)))
+        assert energy(h.labels(blocks)) == least

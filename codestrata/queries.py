@@ -229,6 +229,11 @@ def _(a: Analysis):
         F.coalesce(F.array_join(item, ";"), F.lit("")).alias("issues"))
 
 
+@whole("json_document")
+def _(a: Analysis):
+    return reports.json_document(a.summary, a.file_report, a.issues)
+
+
 @whole("markdown_report")
 def _(a: Analysis):
     return reports.markdown_rows(a.summary, a.file_report, a.issues).select(

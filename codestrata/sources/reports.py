@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.functions import text
 from codestrata.operators.findings import ORDER
 from codestrata.operators.ranking import numbered
+from codestrata.session import cut
 from codestrata.sources.corpus import walk_key
 
 FUNCTION_SCHEMA = "struct<name:string,start_line:int,end_line:int,complexity:int,line_count:int>"
@@ -53,6 +54,42 @@ def write_json_report(
     json_report(file_report, issues).write.mode("overwrite").json(f"{out}/files")
 
 
+def json_document(summary: DataFrame, file_report: DataFrame, issues: DataFrame) -> DataFrame:
+    """All lines of the JSON report as one document, ``(line_no, value)``.
+
+    A file is a line that opens it, one for each finding, and one that closes it. Findings stand beside
+    their file by their order alone and are never gathered, so a file may have any number of them.
+    Whether a finding is the first of its file, and goes without a comma, is told by the number of its line.
+    """
+    kept = file_report.filter((F.col("issue_count") > 0) | (F.col("ai_score") >= fv.JSON_KEEP_FROM))
+    opened = F.concat(
+        F.regexp_replace(F.to_json(F.struct("path")), r"\}\z", ""),
+        F.format_string(',"ai_probability":%.6f,"complexity":%d,"issues":[', F.col("ai_score") / 100 + 1e-9, "complexity"))
+    found = F.format_string(
+        '{"line":%d,"type":"%s","severity":"%s"}', F.col("line_no"), F.col("type"), text.severity_name())
+    head = F.format_string(
+        '{"summary":{"files_analyzed":%d,"files_flagged":%d,"avg_complexity":%.6f,"total_issues":%d},"files":[',
+        "files_analyzed", "files_flagged", F.col("avg_complexity") + 1e-9, "total_issues")
+
+    def rows(df: DataFrame, part: int, kind: int, line: Column, of_file: bool = True, order=None) -> DataFrame:
+        return df.select(
+            F.lit(part).alias("part"), (F.col("path") if of_file else F.lit("")).alias("path"),
+            *[F.col(c) if of_file else F.lit(None).cast(kinds[c]).alias(c) for c in key], F.lit(kind).alias("kind"),
+            *[(F.col(c) if order else F.lit(0)).cast("long").alias(c) for c in ORDER], line.alias("text"))
+
+    # a path may stand in several roots; the findings know their file
+    key, kinds = ["file_id"], dict(file_report.dtypes)
+    lines = (
+        rows(summary, 1, 0, head, of_file=False)
+        .unionAll(rows(kept, 2, 1, opened)).unionAll(rows(issues, 2, 2, found, order=True)).unionAll(rows(kept, 2, 3, F.lit("]}")))
+        .unionAll(rows(summary, 3, 0, F.lit("]}"), of_file=False)))
+    placed = cut(numbered(lines, ["part", walk_key(), *key, "kind", *ORDER], "line_no").select("line_no", "kind", "text"))
+    opens = placed.filter(F.col("kind") == 1).select((F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("first"))
+    first = F.when(F.col("kind") == 1, F.col("line_no") == 2).when(F.col("kind") == 2, F.coalesce("first", F.lit(False))).otherwise(True)
+    return placed.join(opens, "line_no", "left").select(
+        "line_no", F.concat(F.when(first, "").otherwise(","), "text").alias("value"))
+
+
 def full_dump(file_report: DataFrame, functions: DataFrame, issues: DataFrame) -> DataFrame:
     """Every file with its functions, findings and history, in ``DUMP_SCHEMA``."""
     nested_issues = _nested(
@@ -152,6 +189,6 @@ def markdown_report(
     return numbered(body.unionByName(frame), order, "line_no").select("line_no", F.col("text").alias("value"))
 
 
-def write_markdown(report: DataFrame, out: str) -> None:
-    """Write the lines in order; part files in name order make up the report."""
+def write_lines(report: DataFrame, out: str) -> None:
+    """Write a report's lines in order; part files in name order make up the document."""
     report.orderBy("line_no").select("value").write.mode("overwrite").text(out)

@@ -78,6 +78,23 @@ add("json_report",
       {case_of('severity', fv.SEVERITY_NAMES)}, ';' ORDER BY pass_no, check_no, ord, rule_no) AS i
       FROM issues GROUP BY file_id) USING (file_id)
     WHERE issue_count > 0 OR ai_score >= 30""", "file_report", "issues")
+NO_ORDER = "0 AS pass_no, 0 AS check_no, 0 AS ord, 0 AS rule_no"
+add("json_document",
+    f"""SELECT row_number() OVER o AS line_no, CASE WHEN kind = 1 AND row_number() OVER o > 2
+        OR kind = 2 AND lag(kind) OVER o = 2 THEN ',' ELSE '' END || text AS value FROM (
+      SELECT 1 AS part, '' AS path, NULL AS file_id, 0 AS kind, 0 AS pass_no, 0 AS check_no, 0 AS ord, 0 AS rule_no,
+        printf('{{"summary":{{"files_analyzed":%d,"files_flagged":%d,"avg_complexity":%.6f,"total_issues":%d}},"files":[',
+          files_analyzed, files_flagged, avg_complexity::DOUBLE + 1e-9, total_issues) AS text FROM summary
+      UNION ALL SELECT 2, path, file_id, 1, {NO_ORDER}, '{{"path":' || to_json(path)
+        || printf(',"ai_probability":%.6f,"complexity":%d,"issues":[', ai_score::DOUBLE / 100 + 1e-9, complexity)
+        FROM file_report WHERE issue_count > 0 OR ai_score >= {fv.JSON_KEEP_FROM}
+      UNION ALL SELECT 2, path, file_id, 2, pass_no, check_no, ord, rule_no,
+        printf('{{"line":%d,"type":"%s","severity":"%s"}}', line_no, type, {case_of('severity', fv.SEVERITY_NAMES)}) FROM issues
+      UNION ALL SELECT 2, path, file_id, 3, {NO_ORDER}, ']}}' FROM file_report
+        WHERE issue_count > 0 OR ai_score >= {fv.JSON_KEEP_FROM}
+      UNION ALL SELECT 3, '', NULL, 0, {NO_ORDER}, ']}}')
+    WINDOW o AS (ORDER BY part, string_split(path, '/'), file_id, kind, pass_no, check_no, ord, rule_no)""",
+    "summary", "issues", "file_report")
 BAR = "repeat('█', least(floor(ai_score / 10), 10)::INT) || repeat('░', 10 - least(floor(ai_score / 10), 10)::INT)"
 add("markdown_report",
     f"""SELECT 1 AS part, 0 AS severity, '' AS path, unnest([
@@ -90,7 +107,6 @@ add("markdown_report",
     UNION ALL SELECT 3, 0, path, '| `' || path || '` | ' || {BAR} || ' ' || printf('%.0f', ai_score)
       || '% | ' || complexity || ' |' FROM file_report WHERE ai_score > 50""",
     "summary", "issues", "file_report")
-NO_ORDER = "0 AS pass_no, 0 AS check_no, 0 AS ord, 0 AS rule_no"
 
 
 def report_lines(part: int, severity: int, texts, condition: str = "true") -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import text
 from codestrata.operators import churn, rollup, views
 from codestrata.operators.ranking import numbered
+from codestrata.operators.findings import ORDER
 from codestrata.plans.analysis import Analysis
 from codestrata.sources import changes, corpus, reports
 from codestrata.sources.lines import explode_lines, line_count, with_line_columns
@@ -219,6 +220,26 @@ def test_reports(spark, files, tmp_path):
     a.release()
 
 
+def test_json_document(spark, files, tmp_path):
+    """One valid document, read back from its part files, with the findings of a file in their order."""
+    many = "x := 1 // TODO: a\n" * 500
+    a = Analysis(files([("b.go", "h := md5.New()\n// todo: x\nvalue = 4711"), ("a \"q\".py", many), ("clean.go", "x"), ("c/d.go", "FIXME: y")]))
+    document = reports.json_document(a.summary, a.file_report, a.issues)
+    reports.write_lines(document, f"{tmp_path}/doc")
+    parts = sorted(f for f in os.listdir(f"{tmp_path}/doc") if f.startswith("part-"))
+    stored = json.loads("".join(open(f"{tmp_path}/doc/{f}").read() for f in parts))
+    assert stored["summary"]["files_analyzed"] == 4 and stored["summary"]["total_issues"] == a.issues.count()
+    assert [f["path"] for f in stored["files"]] == ['a "q".py', "b.go", "c/d.go"]
+    for f in stored["files"]:
+        rows = a.issues.filter(F.col("path") == f["path"]).orderBy(*ORDER).collect()
+        assert [(i["line"], i["type"]) for i in f["issues"]] == [(r.line_no, r.type) for r in rows] != []
+    plan = document._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    nothing = Analysis(files([]))
+    lines = [r.value for r in reports.json_document(nothing.summary, nothing.file_report, nothing.issues).orderBy("line_no").collect()]
+    assert json.loads("".join(lines))["files"] == []
+
+
 def test_snippets_and_views(files):
     a = Analysis(files(["  h := md5.New() // " + "x" * 90]))
     row = views.security_view(a.security_findings).first()

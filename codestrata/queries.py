@@ -116,7 +116,7 @@ class TextInputs(Inputs):
 TEXT_TABLES = ("documents", "pages")
 TEXT_CHECKS = (
     "line_explode", "security_scan", "identifier_tokens", "magic_numbers", "code_duplication",
-    "formatting", "line_length_dist", "generic_repetition",
+    "formatting", "line_length_dist", "generic_repetition", "branch_counts", "comment_quality",
 )
 
 

@@ -31,10 +31,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **setting
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, which all executors share.
 
-    Only where it names none (tests), one of its own is made."""
+    Only where it names none and runs on one machine (tests), one of its own is made."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         named = context.getCheckpointDir()
     elif context.getCheckpointDir() is None:

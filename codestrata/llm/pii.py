@@ -9,9 +9,11 @@ The result has the same format and passes the same test: letters stay letters (o
 digits digits, separators stay, check digits are computed anew. Equal values get equal pseudonyms in
 every document, different values different ones, and the key alone decides.
 
-Of a mail address the part before the @ changes (letters A-Z and digits of it), of a telephone number
-all but the country code, of an IBAN the digits after the check digits. Numbers that fail their test
-stay. Null texts stay null, with counts of 0; texts of any length are rewritten whole. All expressions
+Of a mail address the part before the @ changes (letters A-Z and digits of it; other letters stay, so a
+part without any of A-Z and digits stays whole), of a telephone number all but the country code, or the 0
+and the digit after it, of an IBAN the digits after the check digits. Social security numbers with spaces
+or without separators are found after their name, IBANs in small letters at their country's length.
+Numbers that fail their test stay. Null texts stay null, with counts of 0; texts of any length are rewritten whole. All expressions
 are Spark's own. Columns other than the text stay; added columns replace columns of the same name."""
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ IBAN_LENGTHS = {
     25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
     28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
     31: "MT SC", 32: "LC", 33: "RU"}
+_COMPACT = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
 _SPACED = "|".join(
     f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
     for n, names in IBAN_LENGTHS.items())
@@ -39,26 +42,38 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: What may stand between two digits of a telephone number.
 _BETWEEN = (r"(?:[ .-](?=[0-9]{2})|(?<=\+[0-9]{1,3})[ .-](?=[0-9])|(?<=\+[0-9]{1,3})[ .-]?\((?=[0-9]{1,5}\))"
             r"|(?<=\([0-9]{1,5})\)[ .-]?)")
+_BARE_SSN = r"(?!000|666|9)[0-9]{3}(?: (?!00)[0-9]{2} (?!0000)|(?!00)[0-9]{2}(?!0000))[0-9]{4}"
 #: One pattern for each kind, tried in this order at every place. All repeats are bounded.
 PATTERNS = {
-    "mail": r"(?<![\p{L}0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_SPACED})(?![A-Za-z0-9])"
+    # a name starts at a letter or digit, whatever sign stands before it
+    "mail": r"(?<![\p{L}\p{M}0-9])[\p{L}0-9][\p{L}\p{M}0-9._%+-]{0,63}@[\p{L}\p{M}0-9-]{1,63}(?:\.[\p{L}\p{M}0-9-]{1,63}){1,8}",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Za-z]{{2}}[0-9]{{2}} )(?i:{_SPACED})(?![A-Za-z0-9])"
+            rf"|(?<![A-Za-z0-9])(?=[a-z]{{2}}[0-9]{{2}}[a-z0-9])(?i:{_COMPACT})(?![A-Za-z0-9])"
             r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
             r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}"
+            r"|(?:19|20)[0-9]{2}\.[0-9]{2}\.[0-9]{2}"
+            r"|(?:19|20)[0-9]{2}\.[0-9]{2}\.[0-9]{2}"
             r"|[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}"
             r"|[0-9]{1,2}-[0-9]{1,2}-(?:19|20)[0-9]{2})(?![0-9A-Za-z]|[./-][0-9])",
-    "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+           # its name before it
+           rf"|(?<=(?<![A-Za-z])(?i:ssn|social security|social security number|social security no)[.:#]{{0,2}} {{0,2}}(?:is )?)(?:{_BARE_SSN})(?![0-9A-Za-z]|[ .-]?[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
              r"|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])"
              # groups of any length, as many as make 8 to 15 digits; brackets and single digits after the country code
              rf"|(?<![0-9A-Za-z+])\+[0-9](?:{_BETWEEN}?[0-9]){{7,14}}(?![0-9A-Za-z])"
-             r"|(?<![0-9A-Za-z.+-])(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
+             r"|(?<![0-9A-Za-z.+-])(?:1[ .-])?[2-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+             # within a country: a 0, the area and one or two groups, or pairs of digits
+             r"|(?<![0-9A-Za-z.,+/-])0[1-9](?:[0-9]{1,4}[ /-][0-9]{5,9}|[0-9]{1,4}[ /-][0-9]{3,4}[ -][0-9]{3,5}"
+             r"|(?:[ .-][0-9]{2}){4})(?![0-9A-Za-z]|[.,/-][0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){3}"
             r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a match looks like where nothing stands around it.
+SHAPES = {**PATTERNS, "ssn": f"{PATTERNS['ssn']}|{_BARE_SSN}"}
 
 
 def _text(s: str) -> str:
@@ -157,10 +172,10 @@ def _rules(key: str) -> dict[str, tuple[str, str]]:
     ip = _let("o", octets, _let(
         "z", network.permuted("'ip'", "o[0] * 256 + o[1]", "o[2] * 256 + o[3]", "65536L", "65536L"),
         "concat_ws('.', z.l DIV 256, z.l % 256, z.r DIV 256, z.r % 256)"))
-    plain = "regexp_replace(m, ' ', '')"
+    plain = "upper(regexp_replace(m, ' ', ''))"
     body = _let("v", "substring(m, 5)", _digits_only(network, "iban"))
-    iban = _let("w", body, _let("p", "regexp_replace(w, ' ', '')",
-                f"concat(substring(m, 1, 2), lpad(CAST(98 - {_mod97('concat(substring(m, 1, 2), concat(' + _text('00') + ', p))')} AS STRING), 2, '0'), w)"))
+    iban = _let("w", body, _let("p", "upper(regexp_replace(w, ' ', ''))",
+                f"concat(substring(m, 1, 2), lpad(CAST(98 - {_mod97('concat(upper(substring(m, 1, 2)), concat(' + _text('00') + ', p))')} AS STRING), 2, '0'), w)"))
     # year, month and day stand where the separators say; day first, unless only month first is a date
     fields = "transform(split(m, '[./-]'), x -> CAST(x AS INT))"
     last_day = ("element_at(array(31, IF(y % 4 = 0 AND (y % 100 != 0 OR y % 400 = 0), 29, 28), 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), mo)")
@@ -177,13 +192,12 @@ def _rules(key: str) -> dict[str, tuple[str, str]]:
             "t", f"date_add(DATE'{FIRST_DAY}', CAST(z.l * {b} + z.r AS INT))",
             "date_format(t, concat(CASE o WHEN 'ymd' THEN 'yyyy-MM-dd' WHEN 'dmy' THEN 'dd-MM-yyyy' ELSE 'MM-dd-yyyy' END))")))))
     date = _let("s", date, "concat_ws(regexp_extract(m, '[./-]', 0), split(s, '-'))")
-    area = "CAST(split(m, '-')[0] AS INT)"
-    ssn = _let("z", network.permuted(
-        "'ssn'", f"{area} - IF({area} > 666, 2, 1)",
-        "(CAST(split(m, '-')[1] AS INT) - 1) * 9999 + CAST(split(m, '-')[2] AS INT) - 1", "898L", "989901L"),
-        "concat(lpad(CAST(z.l + IF(z.l >= 665, 2, 1) AS STRING), 3, '0'), '-', lpad(CAST(z.r DIV 9999 + 1 AS STRING), 2, '0'), "
-        "'-', lpad(CAST(z.r % 9999 + 1 AS STRING), 4, '0'))")
-    code = r"'^(?:\\+[0-9]{1,3}(?=[ .(-])|\\+[0-9]|1(?=[ .-]))'"
+    part = lambda first, n: f"CAST(substring(n, {first}, {n}) AS INT)"
+    ssn = _let("n", "regexp_replace(m, '[ -]', '')", _let("z", network.permuted(
+        "'ssn'", f"{part(1, 3)} - IF({part(1, 3)} > 666, 2, 1)", f"({part(4, 2)} - 1) * 9999 + {part(6, 4)} - 1", "898L", "989901L"),
+        "concat_ws(regexp_extract(m, '[ -]', 0), lpad(CAST(z.l + IF(z.l >= 665, 2, 1) AS STRING), 3, '0'), "
+        "lpad(CAST(z.r DIV 9999 + 1 AS STRING), 2, '0'), lpad(CAST(z.r % 9999 + 1 AS STRING), 4, '0'))"))
+    code = r"'^(?:\\+[0-9]{1,3}(?=[ .(-])|\\+[0-9]|1(?=[ .-])|0[1-9])'"
     phone = f"concat(regexp_extract(m, {code}, 0), " + _let("v", f"regexp_replace(m, {code}, '')", _permuted_text(network, "phone", "v")) + ")"
     card = _let("w", _let("v", "substring(m, 1, length(m) - 1)", _permuted_text(network, "card", "v")), f"concat(w, {_check_digit('w')})")
     return {
@@ -210,7 +224,7 @@ def findings(text: str, key: str) -> Column:
     value failed its test and stays."""
     rules = _rules(key)
     kind = "CASE " + " ".join(
-        f"WHEN m RLIKE {_text('^(?:' + PATTERNS[k] + ')$')} THEN IF({test}, '{k}', NULL)" for k, (test, _) in rules.items()) + " END"
+        f"WHEN m RLIKE {_text('^(?:' + SHAPES[k] + ')$')} THEN IF({test}, '{k}', NULL)" for k, (test, _) in rules.items()) + " END"
     pseudonym = "CASE kind " + " ".join(f"WHEN '{k}' THEN {new}" for k, (_, new) in rules.items()) + " ELSE m END"
     one = _let("kind", kind, f"named_struct('kind', kind, 'value', m, 'pseudonym', {pseudonym})")
     return F.expr(f"transform(regexp_extract_all(`{text}`, {_text(ANY)}, 0), m -> {one})")

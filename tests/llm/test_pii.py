@@ -151,6 +151,43 @@ def test_forms_of_telephone_numbers(rewritten, phone):
         assert new.startswith(f"call {code}")
 
 
+@pytest.mark.parametrize("phone", ("0170 1234567", "030/1234567", "0171-12345678", "020 7946 0958", "06 12 34 56 78", "01.23.45.67.89"))
+def test_telephone_numbers_within_a_country(rewritten, phone):
+    texts = [f"call {phone}{x}" for x in ("", ".", " now", ", or write")]
+    news = rewritten(texts)
+    for text, (new, kinds) in zip(texts, news, strict=True):
+        assert kinds == ["phone"] and phone not in new and new.startswith(f"call {phone[:2]}")
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in text]
+    assert rewritten([news[0][0]])[0][1] == ["phone"]  # the pseudonym has the format too
+
+
+def test_addresses_of_mail_after_signs_and_beyond_a_to_z(rewritten):
+    (plain, _), = rewritten(["john.doe@example.com"])
+    for before in ("_", "..", "-", "+", "%", "." * 80, "<", "'", "mailto:"):
+        assert rewritten([f"{before}john.doe@example.com"]) == [(before + plain, ["mail"])]
+    for mail in ("müller@müller.de", "josé.ñu@correo.es", "a\u0308b@x.de"):
+        (new, kinds), = rewritten([f"to {mail}, now"])
+        at = mail.index("@")
+        assert kinds == ["mail"] and new != f"to {mail}, now" and new[3 + at:] == f"{mail[at:]}, now"
+
+
+def test_dotted_dates_small_ibans_and_named_numbers(rewritten):
+    (new, kinds), = rewritten(["born 1980.03.05, not 1980.13.05"])
+    assert kinds == ["date", None] and new.endswith(", not 1980.13.05") and "1980.03.05" not in new
+    datetime.datetime.strptime(new[5:15], "%Y.%m.%d")
+    (upper, _), (lower, kinds), (compact, _), (bad, _), (words, none) = rewritten([
+        "DE89 3704 0044 0532 0130 00", "de89 3704 0044 0532 0130 00", "de89370400440532013000", "de88370400440532013000",
+        "de12 this that more"])
+    assert kinds == ["iban"] and lower == upper.lower() and compact == lower.replace(" ", "")
+    assert bad == "de88370400440532013000" and (words, none) == ("de12 this that more", [])
+    (dashed, _), = rewritten(["123-45-6789"])
+    for name in ("SSN ", "ssn: ", "Social Security Number is ", "social security no. "):
+        assert rewritten([f"{name}123 45 6789."]) == [(f"{name}{dashed.replace('-', ' ')}.", ["ssn"])]
+        assert rewritten([f"{name}123456789"]) == [(f"{name}{dashed.replace('-', '')}", ["ssn"])]
+    others = ["classn 123456789", "SSN 000 12 1234", "total 123 45 6789", "SSN 123 45 67890", "SSN 1234567890"]
+    assert rewritten(others) == [(x, []) for x in others]
+
+
 def test_odd_texts_and_empty_table(docs, odd_texts, rewritten):
     assert [t for t, _ in rewritten(odd_texts)] == odd_texts
     long = "x" * 200_000 + " a@b.org " + "1" * 100_000 + "@" * 1000 + "+" * 1000

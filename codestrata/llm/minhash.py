@@ -160,23 +160,33 @@ def hub_pairs(family: DataFrame, classes: DataFrame, matches: int, percent: int)
             .filter(alike >= matches).select("a", "b"))
 
 
+def meetings(family: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(hub, id, component, own, others): the block of each member of a mixed family and those it meets.
+
+    Members of a family's largest component are connected already: their blocks meet the blocks of
+    the rest only, so a family of m members with s outside that component moves some 2 m s / block rows."""
+    named = family.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    mixed = named.groupBy("hub", "component").agg(F.count("*").alias("members")).groupBy("hub").agg(
+        F.max_by("component", F.struct("members", "component")).alias("main"),
+        F.max("members").alias("inside"), F.sum("members").alias("size"), F.count("*").alias("n")
+    ).filter("n > 1").select(
+        "hub", "main", F.expr(f"CAST(ceil(inside / {block}) AS INT)").alias("first"),
+        F.expr(f"CAST(ceil(inside / {block}) + ceil((size - inside) / {block}) AS INT)").alias("blocks"))
+    return named.join(mixed, "hub").select(
+        "hub", "id", "component",
+        F.expr("IF(component = main, pmod(xxhash64(id), first), first + pmod(xxhash64(id), blocks - first))").cast("int").alias("own"),
+        F.expr("sequence(IF(component = main, first, 0), blocks - 1)").alias("others"))
+
+
 def rest_links(family: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame,
                matches: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between components that meet in a family, at least one for each two of them.
 
     A pair is looked at in the first family that it shares. Only links leave the task."""
-    named = family.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    mixed = named.groupBy("hub").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-    ).filter("low < high").select("hub", "size")
     own_hubs = family.groupBy("id").agg(F.array_sort(F.collect_list("hub")).alias("hubs"))
-    # a family of several blocks meets in pairs of blocks; a member goes wherever its block does
-    blocks = F.expr(f"CAST(ceil(size / {block}) AS INT)")
-    dealt = (named.join(mixed, "hub").withColumn("blocks", blocks)
-             .withColumn("own", F.expr("pmod(xxhash64(id), blocks)").cast("int"))
-             .join(own_hubs, "id").join(classes, "id").join(sets, "id")
-             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = (meetings(family, labels, block).join(own_hubs, "id").join(classes, "id").join(sets, "id")
+             .withColumn("other", F.explode("others"))
              .select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      "own", "id", "component", "hubs", "signature", "shingles"))
 

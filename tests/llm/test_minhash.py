@@ -87,3 +87,19 @@ def test_components_of_chains_and_stars(spark):
     out = dict(components(spark.createDataFrame(chain + star, "a long, b long")).distinct().collect())
     assert out == {i: 100 for i in range(100, 141)} | {i: 3 for i in (3, 5, *range(200, 230))}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_stray_in_a_large_family_moves_few_rows(spark):
+    """Members of the largest component meet the others only; every pair across components shares a pair of blocks."""
+    n = 4000
+    family = spark.range(n + 3).select(F.lit(0).cast("long").alias("hub"), "id", F.lit(1).alias("met"))
+    labels = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    rows = m.meetings(family, labels, block=16).collect()
+    assert len(rows) == n + 3 and sum(len(r.others) for r in rows) == n + 3 * (n // 16 + 1)
+    own = {r.id: r.own for r in rows}
+    meets = {r.id: set(r.others) for r in rows}
+    for stray in range(n, n + 3):
+        for other in (*range(0, n, 97), *range(n, n + 3)):
+            assert own[other] in meets[stray] and own[stray] in meets[other]
+    alone = spark.range(n).select(F.lit(0).cast("long").alias("hub"), "id", F.lit(1).alias("met"))
+    assert m.meetings(alone, labels).count() == 0

@@ -16,6 +16,7 @@ from codestrata.operators.findings import ISSUE_COLUMNS
 from codestrata.plans.analysis import Analysis
 from codestrata.session import shared_folder
 from codestrata.sources import changes, corpus, derived, reports, tree
+from codestrata.streaming.corrections import Corrected
 from codestrata.sources.lines import (
     line_count, per_file, with_line_columns,
 )
@@ -650,6 +651,25 @@ def _(a: Analysis):
     return a.directories
 
 
+def corrected(i: Inputs) -> Corrected:
+    """The state after the whole history of the files has come in, as three batches."""
+    state = Corrected(i.spark, f"{shared_folder(i.spark)}/feed-{uuid.uuid4().hex}")
+    changes = derived.file_changes(i.spark, i.sf_dir)
+    for arrival in range(3):
+        state.apply(changes.filter(F.col("arrival") == arrival).drop("arrival"), arrival)
+    return state
+
+
+@single("corrected_directories")
+def _(i: Inputs):
+    return corrected(i).directories
+
+
+@single("corrected_issues")
+def _(i: Inputs):
+    return corrected(i).issues.groupBy("file_id", "path", "category").agg(F.count("*").alias("issue_count"))
+
+
 @single("file_churn")
 def _(i: Inputs):
     return churn.churn(i.change_log)

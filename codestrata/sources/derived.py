@@ -312,6 +312,32 @@ def ordered_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+#: Lines that stood on top of a file before it was edited.
+FIRST_DRAFT = 'password = "Tr0ub4dor-and-3"\nh := md5.New()\n// TODO: later\n'
+
+
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(arrival, file_id, version, path, content, deleted)``: the history of all files of the corpus.
+
+    First come all files. Then a tenth is deleted, a tenth moved and three tenths edited into what
+    the corpus holds. Last come late versions from between, of the deleted and of the edited."""
+    files = code_files(spark, sf_dir).withColumn("kind", F.expr(
+        "CASE file_id % 10 WHEN 0 THEN 'deleted' WHEN 1 THEN 'moved' WHEN 2 THEN 'edited' WHEN 3 THEN 'edited' WHEN 4 THEN 'edited' ELSE 'kept' END"))
+    draft = F.when(F.col("kind") == "edited", F.concat(F.lit(FIRST_DRAFT), "content")).otherwise(F.col("content"))
+    moved = F.when(F.col("kind") == "moved", F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    arrivals = F.array(
+        F.struct(F.lit(0).alias("arrival"), F.lit(1).alias("version")),
+        F.struct(F.lit(1).alias("arrival"), F.lit(3).alias("version")),
+        F.struct(F.lit(2).alias("arrival"), F.lit(2).alias("version")))
+    last = F.col("version") == 3
+    return (
+        files.select("*", F.inline(arrivals))
+        .filter("version = 1 OR version = 3 AND kind <> 'kept' OR version = 2 AND kind IN ('deleted', 'edited')")
+        .select("arrival", "file_id", F.col("version").cast("long").alias("version"), F.when(last, moved).otherwise(F.col("path")).alias("path"),
+                F.when(last, F.col("content")).otherwise(draft).alias("content"), (last & (F.col("kind") == "deleted")).alias("deleted"))
+    )
+
+
 #: Extensions given to the rows of a table of plain texts in turn; all of supported languages.
 TEXT_EXTENSIONS = {"documents": (".md", ".sql", ".py", ".yaml", ".go"), "pages": (".js", ".php", ".rb")}
 

@@ -314,6 +314,16 @@ add("directory_rollup",
     FROM (SELECT *, array_to_string(parts[1:n], '/') AS directory FROM (
       SELECT *, string_split(path, '/') AS parts, unnest(range(0, len(string_split(path, '/')))) AS n
       FROM file_report)) GROUP BY directory""", "file_report")
+AFTER_CHANGES = "(SELECT * REPLACE (CASE WHEN file_id % 10 = 1 THEN 'moved/' || path ELSE path END AS path) FROM {} WHERE file_id % 10 <> 0)"
+add("corrected_directories",
+    f"""SELECT directory, count(*)::BIGINT AS files, sum(line_count)::BIGINT AS line_count,
+      sum(complexity)::BIGINT AS complexity, sum(issue_count)::BIGINT AS issue_count,
+      sum(security_issues)::BIGINT AS security_issues
+    FROM (SELECT *, array_to_string(parts[1:n], '/') AS directory FROM (
+      SELECT *, string_split(path, '/') AS parts, unnest(range(0, len(string_split(path, '/')))) AS n
+      FROM {AFTER_CHANGES.format('file_report')})) GROUP BY directory""", "file_report")
+add("corrected_issues",
+    f"SELECT file_id, path, category, count(*) AS issue_count FROM {AFTER_CHANGES.format('issues')} GROUP BY ALL", "issues")
 add("file_churn",
     """SELECT path, count(*)::INT AS commit_count, count(DISTINCT author)::INT AS author_count,
       arg_max(author, (authored_at, commit_id)) AS last_author,

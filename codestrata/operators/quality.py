@@ -481,18 +481,15 @@ def unused_import() -> Column:
 def duplicate_windows(lines: DataFrame) -> DataFrame:
     """``(file_id, path, line_no, first_line)`` of windows seen before in the file."""
     size = fv.DUPLICATE_WINDOW
-    following = ["trimmed"] + [F.lead("trimmed", n).over(in_file()) for n in range(1, size)]
+    # the text of a line becomes its hash before any sort, so six lines are six numbers
+    numbers = lines.filter(F.col("n_lines") >= 2 * size).select(
+        "file_id", "path", "n_lines", "line_no", F.xxhash64("trimmed").alias("of_line"))
+    following = ["of_line"] + [F.lead("of_line", n).over(in_file()) for n in range(1, size)]
+    blank = F.xxhash64(*[F.xxhash64(F.lit(""))] * size)
     hashed = (
-        lines.filter(F.col("n_lines") >= 2 * size)
-        .select("file_id", "path", "n_lines", "line_no", F.concat_ws("\n", *following).alias("block"))
-        .filter(
-            (F.col("line_no") <= F.col("n_lines") - (size - 1))
-            & (F.col("block") != "\n" * (size - 1))
-        )
-        .select(
-            "file_id", "path", "line_no",
-            F.substring(F.sha2("block", 256), 1, 16).alias("hash"),
-        )
+        numbers.select("file_id", "path", "n_lines", "line_no", F.xxhash64(*following).alias("hash"))
+        .filter((F.col("line_no") <= F.col("n_lines") - (size - 1)) & (F.col("hash") != blank))
+        .select("file_id", "path", "line_no", "hash")
     )
     same = Window.partitionBy("file_id", "hash")
     return (

@@ -5,7 +5,10 @@ The cases are analysed together, once.
 
 import pytest
 
+from codestrata.operators import quality
 from codestrata.plans.analysis import Analysis
+from codestrata.sources import corpus
+from codestrata.sources.lines import explode_lines
 
 CASES = {}
 
@@ -147,3 +150,11 @@ case("empty", "", " ")
 
 def test_empty_and_blank_files(found):
     assert found("empty") == []
+
+
+def test_windows_of_lines_are_looked_at_as_numbers(files):
+    block = "\n".join(f"line {i}" for i in range(6))
+    lines = explode_lines(corpus.analysable(files([f"{block}\nx\n{block}" + "\n" * 20])))
+    found = quality.duplicate_windows(lines)
+    assert [(r.line_no, r.first_line) for r in found.collect()] == [(8, 1)]
+    assert "lead(trimmed" not in found._jdf.queryExecution().optimizedPlan().toString()

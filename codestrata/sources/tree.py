@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import stat
 from collections.abc import Iterator
 from functools import reduce
 
@@ -52,7 +53,9 @@ def _entries(system: fs.FileSystem, base: str, directory: str) -> Iterator[tuple
     """Files and directories right below; links to directories are not followed.
 
     A directory that may not be read is an entry itself, without a size."""
-    local = isinstance(system, fs.LocalFileSystem)
+    if isinstance(system, fs.LocalFileSystem):
+        yield from _local_entries(base, directory)
+        return
     try:
         found = system.get_file_info(fs.FileSelector(f"{base}/{directory}".rstrip("/") or "/"))
     except (PermissionError, FileNotFoundError):
@@ -60,12 +63,28 @@ def _entries(system: fs.FileSystem, base: str, directory: str) -> Iterator[tuple
         return
     for info in found:
         is_dir = info.type == fs.FileType.Directory
-        if is_dir and local and os.path.islink(info.path):
-            continue
         if is_dir or info.type == fs.FileType.File:
             yield f"{directory}/{info.base_name}".lstrip("/"), is_dir, None if is_dir else info.size
 
 
+def _local_entries(base: str, directory: str) -> Iterator[tuple[str, bool, int | None]]:
+    """As ``_entries``, name by name: a directory of any number of names is never held."""
+    try:
+        with os.scandir(f"{base}/{directory}".rstrip("/") or "/") as found:
+            for entry in found:
+                try:
+                    mode = entry.stat()
+                except FileNotFoundError:  # gone, or a link to nothing
+                    continue
+                is_dir = stat.S_ISDIR(mode.st_mode)
+                if is_dir and entry.is_symlink():
+                    continue
+                if is_dir or stat.S_ISREG(mode.st_mode):
+                    yield f"{directory}/{entry.name}".lstrip("/"), is_dir, None if is_dir else mode.st_size
+    except (PermissionError, FileNotFoundError):
+        yield directory, False, None
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(schema)], schema=schema)
@@ -158,11 +177,15 @@ def write_files(files: DataFrame, root: str) -> None:
     """Write the contents of ``files(path, content)`` as a tree below ``root``, each task its own."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _opened(resolved_root)
+        made: set[str] = set()
         for batch in batches:
-            for path, content in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                system.create_dir(os.path.dirname(f"{base}/{path}"), recursive=True)
-                with system.open_output_stream(f"{base}/{path}") as stream:
-                    stream.write(content)
+            for path_, content in zip(batch.column(0), batch.column(1), strict=True):
+                path = f"{base}/{path_.as_py()}"
+                if (parent := os.path.dirname(path)) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(path) as stream:
+                    stream.write(content.as_buffer())  # no second copy of a batch of contents
             yield batch.slice(0, 0).select([0])
 
     resolved_root = resolved(root)
@@ -216,6 +239,7 @@ def _over_chunks(root: str, chunk_bytes: int, kept: int, make, schema: pa.Schema
     """Rows of (path, n_bytes, chunk, ...) with what ``make`` gives for the lines of the chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _opened(root)
+        rows, held = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 path, n_bytes, chunk = row[:3]
@@ -224,8 +248,17 @@ def _over_chunks(root: str, chunk_bytes: int, kept: int, make, schema: pa.Schema
                         lines = lines_of_chunk(source, n_bytes, chunk * chunk_bytes, (chunk + 1) * chunk_bytes)
                 except OSError:
                     continue
-                if lines is not None:
-                    yield _batch([(*row[:kept], make(lines))], schema)
+                if lines is None:
+                    continue
+                made = make(lines)
+                size = len(made) if isinstance(made, bytes) else 8
+                if rows and (held + size > _BYTES_A_BATCH or len(rows) == _ENTRIES_A_BATCH):
+                    yield _batch(rows, schema)
+                    rows, held = [], 0
+                rows.append((*row[:kept], made))
+                held += size
+        if rows:
+            yield _batch(rows, schema)
     return run
 
 

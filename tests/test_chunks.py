@@ -77,3 +77,24 @@ def test_what_cannot_be_opened_is_named(spark, root):
     system, base = tree._opened(root)
     assert list(tree._entries(system, base, "missing")) == [("missing", False, None)]
     assert tree.read_chunks(listed, root).select("path").distinct().collect()[0].path == "a.go"
+
+
+def test_chunks_share_batches(spark, root):
+    import pyarrow as pa
+    size = len(CONTENTS["big.go"].encode())
+    rows = pa.record_batch([["big.go"] * 50, [size] * 50, list(range(50))], names=["path", "n_bytes", "chunk"])
+    schema = pa.schema([("path", pa.string()), ("n_bytes", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64())])
+    found = list(tree._over_chunks(root, 100, 3, lambda x: x.count(b"\n") + 1, schema)(iter([rows])))
+    assert len(found) == 1 and found[0].num_rows == 50
+
+
+def test_names_of_a_directory_come_one_by_one(tmp_path, monkeypatch):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "_a.go").write_text("xyz")
+    (tmp_path / "to_file").symlink_to(tmp_path / "_a.go")
+    (tmp_path / "to_dir").symlink_to(tmp_path / "sub")
+    (tmp_path / "to_nothing").symlink_to(tmp_path / "none")
+    system, base = tree._opened(str(tmp_path))
+    monkeypatch.setattr(tree.fs, "FileSelector", None)  # would hold all names at once
+    assert sorted(tree._entries(system, base, "")) == [("_a.go", False, 3), ("sub", True, None), ("to_file", False, 3)]
+    assert list(tree._entries(system, base, "gone")) == [("gone", False, None)]

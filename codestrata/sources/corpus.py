@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codestrata import fixed_values as fv
 from codestrata.operators.ranking import numbered
+from codestrata.session import cut
 from codestrata.sources import tree
 from codestrata.sources.changes import roots
 from codestrata.sources.lines import explode_chunks
@@ -64,7 +65,11 @@ def list_directory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _chosen(spark: SparkSession, root: str, max_bytes: int | None) -> DataFrame:
-    chosen = list_directory(spark, root).filter(language_of().isNotNull() & ~is_pruned())
+    return _chosen_of(list_directory(spark, root), max_bytes)
+
+
+def _chosen_of(files: DataFrame, max_bytes: int | None) -> DataFrame:
+    chosen = files.filter(language_of().isNotNull() & ~is_pruned())
     return chosen if max_bytes is None else chosen.filter(F.col("n_bytes") <= max_bytes)
 
 
@@ -89,8 +94,8 @@ def skipped_in_directory(spark: SparkSession, root: str, max_bytes: int | None =
     the chosen files are opened to see), and files that no value can hold (``read as lines only``)."""
     entries = tree.list_entries(spark, root, is_pruned).select(F.col("path").alias("file_id"), "path", "n_bytes")
     files = entries.filter(F.col("n_bytes").isNotNull())
-    chosen = _chosen(spark, root, max_bytes)
-    shut = tree.unreadable(chosen, root)
+    chosen = _chosen_of(files, max_bytes)  # of the same list: the tree is walked once
+    shut = cut(tree.unreadable(chosen, root))  # read twice below, the files are opened once
     no_value = chosen.filter(F.col("n_bytes") > tree.READABLE_BYTES)
     named = lambda t, reason: t.select(F.col("path").alias("file_id"), "path", "n_bytes", F.lit(reason).alias("reason"))
     return (

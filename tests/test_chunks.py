@@ -98,3 +98,12 @@ def test_names_of_a_directory_come_one_by_one(tmp_path, monkeypatch):
     monkeypatch.setattr(tree.fs, "FileSelector", None)  # would hold all names at once
     assert sorted(tree._entries(system, base, "")) == [("_a.go", False, 3), ("sub", True, None), ("to_file", False, 3)]
     assert list(tree._entries(system, base, "gone")) == [("gone", False, None)]
+
+
+def test_what_a_scan_leaves_out_walks_the_tree_once(spark, root, monkeypatch):
+    walks = []
+    walk = tree.list_entries
+    monkeypatch.setattr(tree, "list_entries", lambda *args: walks.append(args) or walk(*args))
+    found = corpus.skipped_in_directory(spark, root, 500)
+    assert len(walks) == 1
+    assert {(r.path, r.reason) for r in found.collect()} == {("big.go", "too large"), ("n.txt", "unsupported")}

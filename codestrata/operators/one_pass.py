@@ -189,7 +189,10 @@ def _item(tag: int, key: str, at: str = f"line_no * {LINE}", a: str = "0", b: st
 
 def _items() -> str:
     """SQL for the array of all that a line gives; most lines give nothing."""
+    tests = []
+
     def when(test: str, item: str) -> str:
+        tests.append(f"coalesce({test}, false)")
         return f"CASE WHEN {test} THEN {item} END"
 
     in_closure = "coalesce(open_closure >= closed, false)"
@@ -220,7 +223,10 @@ def _items() -> str:
     lists = [f"CASE WHEN size({column}) > 0 THEN {found} ELSE {none} END" for column, found in (
         ("numbers", numbers), ("fired", rules), ("of_file.names.generic", generic), ("of_file.imports", imports),
         ("of_file.copies", copies))]
-    return f"concat(array_compact(array({', '.join(singles)})), {', '.join(lists)})"
+    # array_compact is interpreted, item by item; the compiled test keeps it off the many lines that give nothing
+    # (what rides on the last line comes with its FILE item)
+    some = " OR ".join([*tests, "size(numbers) > 0", "size(fired) > 0"])
+    return f"CASE WHEN {some} THEN concat(array_compact(array({', '.join(singles)})), {', '.join(lists)}) ELSE {none} END"
 
 
 def facts(files: DataFrame) -> DataFrame:

@@ -121,3 +121,8 @@ def test_facts_are_few(spark):
     """What is stored grows with the findings, not with the lines."""
     files = spark.createDataFrame([(0, "a.go", "\n".join(f"value{i} := other{i}" for i in range(20_000)))], TYPES)
     assert one_pass.facts(Analysis(files, keep=False).files).count() < 10
+
+
+def test_lines_that_give_nothing_build_no_items():
+    sql = one_pass._items()
+    assert sql.startswith("CASE WHEN ") and sql.index(" THEN concat(array_compact(") > sql.index("size(fired) > 0")

@@ -111,7 +111,7 @@ def generic_places() -> str:
     """SQL for an array of (name, line_no), from ``identifiers`` and ``content``."""
     words = ", ".join(sql_string(n) for n in fv.GENERIC_NAMES)
     spellings = (
-        "array_distinct(filter(identifiers, t -> array_contains(array(" + words + "), lower(t))))"
+        f"array_distinct(filter(identifiers, t -> lower(t) IN ({words})))"
     )
     firsts = (
         f"get(transform(array({spellings}), c -> filter(c, (t, i) ->"
@@ -119,8 +119,8 @@ def generic_places() -> str:
     )
     before = "substring(content, 1, instr(content, t) - 1)"
     return (
-        f"transform({firsts}, t -> named_struct('name', t, 'line_no',"
-        f" 1 + octet_length({before}) - octet_length(replace({before}, '\\n', ''))))"
+        f"transform({firsts}, t -> named_struct('name', t, 'line_no', get(transform(array({before}), b ->"
+        " 1 + octet_length(b) - octet_length(replace(b, '\\n', ''))), 0)))"
     )
 
 

@@ -16,13 +16,13 @@ from codestrata.sources.lines import explode_lines
 
 
 class Analysis:
-    """All tables of one analysis, declared lazily.
+    """All tables of one analysis, declared lazily but for the facts.
 
     ``files`` holds ``(file_id, path, content)`` and, for several repositories, ``root``.  One pass over
     the selected files, each at the partition of its ``file_id``, gives the ``facts``, a few rows
-    a file, from which all tables follow.  With ``keep`` (the default) the facts are persisted;
-    contents and lines never are.  Lost blocks are computed again from the source.  Call
-    ``release`` when done.  Without ``keep`` every table makes the pass anew; that suits single tables.
+    a file, from which all tables follow.  With ``keep`` (the default) the facts are persisted, by a
+    job of their own as soon as a table asks for them; contents and lines never are.  Lost blocks are
+    computed again from the source.  Call ``release`` when done.  Without ``keep`` every table makes the pass anew; that suits single tables.
     """
 
     def __init__(
@@ -51,6 +51,9 @@ class Analysis:
         if self._keep:
             table.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(table)
+            # a plan that reads an empty store several times fills it by as many jobs at once, and executors
+            # that do not have a partition yet compute it again
+            table.count()
         return table
 
     def release(self) -> None:

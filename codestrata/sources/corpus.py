@@ -18,6 +18,9 @@ from codestrata.sources import tree
 from codestrata.sources.changes import roots
 from codestrata.sources.lines import explode_chunks
 
+#: Tasks of a heavy pass for every core, so that its last round is short.
+TASKS_A_CORE = 4
+
 
 def language_of(path: Column | str = "path") -> Column:
     """Language by the (case-sensitive) extension; NULL if it is not supported."""
@@ -172,11 +175,15 @@ def co_locate(files: DataFrame, partitions: int | None = None) -> DataFrame:
 
     This is the one shuffle of the per-file windows and aggregates: it moves the
     compact contents before they are split into lines, and exploding keeps the
-    partitioning.
+    partitioning.  The number of partitions is fixed: a megabyte of contents is seconds of work, so
+    partitions that are merged by their bytes leave most cores idle in the last round.
     """
-    if partitions is None:
-        return files.repartition("file_id")
-    return files.repartition(partitions, "file_id")
+    return files.repartition(partitions or many_partitions(files.sparkSession), "file_id")
+
+
+def many_partitions(spark: SparkSession) -> int:
+    """As many as shuffles have, and some for every core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
 
 
 def save_bucketed(files: DataFrame, table: str, buckets: int) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import bound
+from codestrata.sources.corpus import co_locate
 
 WORDS_PER_CHUNK = 6
 
@@ -272,7 +273,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("file_id"), "text"
     )
-    return docs.repartition("file_id").select(
+    return co_locate(docs).select(
         "file_id",
         code_path(F.col("file_id")).alias("path"),
         bound(code_content(F.col("text"))).alias("content"),

@@ -126,3 +126,26 @@ def test_facts_are_few(spark):
 def test_lines_that_give_nothing_build_no_items():
     sql = one_pass._items()
     assert sql.startswith("CASE WHEN ") and sql.index(" THEN concat(array_compact(") > sql.index("size(fired) > 0")
+
+
+def test_the_facts_are_stored_by_one_job_before_they_are_read(spark, files):
+    """Several readers of an empty store fill it by several jobs, in each of which executors compute it."""
+    a = Analysis(files(["h := md5.New()\nfunc a() {\n}\n"] * 20))
+    a.facts
+    stored = [x for x in spark.sparkContext._jsc.sc().getRDDStorageInfo() if x.isCached()]
+    assert any(x.numCachedPartitions() == x.numPartitions() for x in stored)
+    a.release()
+
+
+def test_the_pass_is_parted_by_cores_not_by_bytes(spark, files):
+    facts = Analysis(files(["h := md5.New()"] * 400), keep=False).facts
+    facts.count()
+    assert facts.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_counts_and_folding_keep_nulls_and_absent_pieces(spark):
+    from codestrata.functions import text
+    table = spark.createDataFrame([(0, None), (1, ""), (2, "\u017fA{{"), (3, "&&x&&&"), (4, "caf\u00c9")], "n int, x string").select(
+        "n", text.count_of("x", "{"), text.count_of("x", "&&"), text.folded("x"))
+    assert [tuple(r) for r in table.orderBy("n").collect()] == [
+        (0, None, None, None), (1, 0, 0, ""), (2, 2, 0, "sa{{"), (3, 0, 2, "&&x&&&"), (4, 0, 0, "caf\u00e9")]

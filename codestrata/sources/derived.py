@@ -326,17 +326,19 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE file_id % 10 WHEN 0 THEN 'deleted' WHEN 1 THEN 'moved' WHEN 2 THEN 'edited' WHEN 3 THEN 'edited' WHEN 4 THEN 'edited' ELSE 'kept' END"))
     draft = F.when(F.col("kind") == "edited", F.concat(F.lit(FIRST_DRAFT), "content")).otherwise(F.col("content"))
     moved = F.when(F.col("kind") == "moved", F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
-    arrivals = F.array(
-        F.struct(F.lit(0).alias("arrival"), F.lit(1).alias("version")),
-        F.struct(F.lit(1).alias("arrival"), F.lit(3).alias("version")),
-        F.struct(F.lit(2).alias("arrival"), F.lit(2).alias("version")))
-    last = F.col("version") == 3
+
+    def arrivals(number: int, version: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
+        some = files if kinds is None else files.filter(F.col("kind").isin(*kinds))  # before contents are derived
+        last = version == 3
+        return some.select(
+            F.lit(number).alias("arrival"), "file_id", F.lit(version).cast("long").alias("version"),
+            (moved if last else F.col("path")).alias("path"), (F.col("content") if last else draft).alias("content"),
+            (F.lit(last) & (F.col("kind") == "deleted")).alias("deleted"))
+
     return (
-        files.select("*", F.inline(arrivals))
-        .filter("version = 1 OR version = 3 AND kind <> 'kept' OR version = 2 AND kind IN ('deleted', 'edited')")
-        .select("arrival", "file_id", F.col("version").cast("long").alias("version"), F.when(last, moved).otherwise(F.col("path")).alias("path"),
-                F.when(last, F.col("content")).otherwise(draft).alias("content"), (last & (F.col("kind") == "deleted")).alias("deleted"))
-    )
+        arrivals(0, 1)
+        .unionAll(arrivals(1, 3, ("deleted", "moved", "edited")))
+        .unionAll(arrivals(2, 2, ("deleted", "edited"))))
 
 
 #: Extensions given to the rows of a table of plain texts in turn; all of supported languages.

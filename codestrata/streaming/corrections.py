@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,9 +87,11 @@ class Corrected:
             newest.join(known, "file_id", "left")
             .filter(F.col("known").isNull() | (F.struct("version", "deleted") > F.col("known")))
             .drop("known")
+            .persist(StorageLevel.MEMORY_AND_DISK)  # read for the figures and for the facts
         )
         analysis = Analysis(fresh.filter("NOT deleted").select("file_id", "path", "content"))
         try:
+            fresh.count()  # one job stores it
             counts = analysis.file_counts.select("file_id", *(F.col(c).cast("long") for c in COUNTS), F.lit(True).alias("present"))
             figures = fresh.select("file_id", "version", "deleted", "path").join(counts, "file_id", "left").select(
                 "file_id", "version", "deleted", F.coalesce("present", F.lit(False)).alias("present"), "path", *COUNTS)
@@ -97,6 +100,7 @@ class Corrected:
             self._write(analysis.issues.join(stored.select("file_id", "version"), "file_id"), "issues", batch_id)
         finally:
             analysis.release()
+            fresh.unpersist()
         # small tables from here on: figures of the batch's files, then and now
         then = self._current(before.join(stored.select("file_id"), "file_id", "left_semi"))
         sides = [

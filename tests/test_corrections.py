@@ -1,6 +1,7 @@
 """Roll-ups after edits, moves and deletions equal those of a batch run over what is left."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,26 @@ def test_follows_a_stream(spark, feed, tmp_path):
     same_as_batch(spark, state, [(1, "a.go", "x"), (2, "b.go", "x")])
     changed = spark.read.parquet(f"{state.folder}/corrections").filter("batch = 1").agg(F.sum("issue_count")).first()[0]
     assert changed == -1
+
+
+def test_a_batch_is_read_once(spark, feed, tmp_path):
+    """Its rows may be costly to derive; the figures and the facts share them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(content):
+        seen.add(1)
+        return content
+
+    changes = feed([(n, 1, f"f{n}.go", "h := md5.New()", False) for n in range(30)])
+    Corrected(spark, str(tmp_path / "state")).apply(changes.withColumn("content", counted("content")), 0)
+    assert seen.value == 30
+
+
+def test_only_the_files_of_an_arrival_are_derived(spark):
+    from codestrata.sources import derived
+    late = derived.file_changes(spark, "/root/testdata/sf0.001").filter("arrival = 2")
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    nodes = re.findall(r"^[ :+-]*(Generate|Filter|Union)\b", plan, re.M)
+    assert nodes == ["Generate", "Filter"], nodes  # the files are chosen below, before contents are derived
+    assert {r.file_id % 10 for r in late.collect()} == {0, 2, 3, 4}

@@ -51,8 +51,8 @@ class Analysis:
         if self._keep:
             table.persist(StorageLevel.MEMORY_AND_DISK)
             self._kept.append(table)
-            # a plan that reads an empty store several times fills it by as many jobs at once, and executors
-            # that do not have a partition yet compute it again
+            # a plan that reads an empty store several times starts as many jobs over it at once, and executors
+            # that do not have a partition yet may compute it again
             table.count()
         return table
 

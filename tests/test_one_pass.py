@@ -129,7 +129,7 @@ def test_lines_that_give_nothing_build_no_items():
 
 
 def test_the_facts_are_stored_by_one_job_before_they_are_read(spark, files):
-    """Several readers of an empty store fill it by several jobs, in each of which executors compute it."""
+    """Several readers of an empty store start several jobs over it, in each of which executors may compute it."""
     a = Analysis(files(["h := md5.New()\nfunc a() {\n}\n"] * 20))
     a.facts
     stored = [x for x in spark.sparkContext._jsc.sc().getRDDStorageInfo() if x.isCached()]

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata.llm import queries
 from codestrata.llm import suffix_dedup as s
 
 
@@ -87,3 +89,20 @@ def test_repeated_rows_null_ids_and_empty_table(docs):
                             .withColumn("n_bytes", F.lit("clash")), length=10, keep_first=False).collect()
     assert sorted((x.n_bytes, x.n_removed) for x in rows) == [(0, 0), (31, 31), (31, 31), (31, 31)]
     assert s.remove_repeats(docs([]), length=10).count() == 0
+
+
+def test_query_removes_by_400_bytes_whatever_the_words(spark, docs, tmp_path):
+    """Passages of over 50 words stay at 399 bytes; from 400 on every copy goes, and digest and text show the same."""
+    r = random.Random(5)
+    own = lambda n: " ".join(r.choice("abcdefgh") * 5 + r.choice("ijklmnop") for _ in range(60))[:n]
+    short, even, wide = own(399), own(400), own(380) + " éé" * 4
+    assert min(len(x.split()) for x in (short, even)) > 50 and len(wide) < 400 == len(wide.encode())
+    split = own(399)  # é and è begin with the same byte, the 400th
+    texts = [f"1{short}2", f"3{short}4", f"5{even}6", f"7{even}8", f"9{wide}A", f"B{wide}C", f"D{split}é", f"E{split}è", None, "F"]
+    docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.REGISTRY["op5_suffix_array_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    want = plain(texts, 400, False)
+    assert [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows] == [
+        (*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want]
+    assert [x.text for x in rows] == [w[4].decode(errors="replace") for w in want]
+    assert [x.text for x in rows[:8]] == [*texts[:2], "56", "78", "9A", "BC", "D\ufffd", "E\ufffd"]

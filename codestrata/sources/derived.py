@@ -270,16 +270,20 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The content is bound, so that a filter on it does not derive it a second time.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        F.col("doc_id").alias("file_id"), "text"
-    )
-    return co_locate(docs).select(
+    return _located_texts(spark, sf_dir).select(
         "file_id",
         code_path(F.col("file_id")).alias("path"),
         bound(code_content(F.col("text"))).alias("content"),
     )
 
 
+def _located_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("file_id"), "text"
+    )
+    return co_locate(docs)
+
+
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a commit, its line items touch files."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
@@ -322,18 +326,24 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     First come all files. Then a tenth is deleted, a tenth moved and three tenths edited into what
     the corpus holds. Last come late versions from between, of the deleted and of the edited."""
-    files = code_files(spark, sf_dir).withColumn("kind", F.expr(
+    files = _located_texts(spark, sf_dir).withColumn("kind", F.expr(
         "CASE file_id % 10 WHEN 0 THEN 'deleted' WHEN 1 THEN 'moved' WHEN 2 THEN 'edited' WHEN 3 THEN 'edited' WHEN 4 THEN 'edited' ELSE 'kept' END"))
-    draft = F.when(F.col("kind") == "edited", F.concat(F.lit(FIRST_DRAFT), "content")).otherwise(F.col("content"))
-    moved = F.when(F.col("kind") == "moved", F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    path = code_path(F.col("file_id"))
+    moved = F.when(F.col("kind") == "moved", F.concat(F.lit("moved/"), path)).otherwise(path)
+    first_lines = F.when(F.col("kind") == "edited", F.lit(FIRST_DRAFT)).otherwise(F.lit(""))
 
     def arrivals(number: int, version: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
         some = files if kinds is None else files.filter(F.col("kind").isin(*kinds))  # before contents are derived
         last = version == 3
+        content = code_content(F.col("text"))
+        # the contents come last, so that what is known of a version can keep them from being derived
         return some.select(
-            F.lit(number).alias("arrival"), "file_id", F.lit(version).cast("long").alias("version"),
-            (moved if last else F.col("path")).alias("path"), (F.col("content") if last else draft).alias("content"),
-            (F.lit(last) & (F.col("kind") == "deleted")).alias("deleted"))
+            "file_id", F.lit(version).cast("long").alias("version"), (moved if last else path).alias("path"),
+            (F.lit(last) & (F.col("kind") == "deleted")).alias("deleted"),
+            (F.lit("") if last else first_lines).alias("first_lines"), "text",
+        ).select(
+            F.lit(number).alias("arrival"), "file_id", "version", "path",
+            bound(F.concat("first_lines", content)).alias("content"), "deleted")
 
     return (
         arrivals(0, 1)

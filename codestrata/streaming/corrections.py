@@ -2,9 +2,9 @@
 
 A feed brings versions of files, ``(file_id, version, path, content, deleted)``, in any order and
 repeated as it likes. Of a file the greatest version counts; among equal ones a deletion, then the
-one that came first. Each batch is compared with what is known of its own files only: what a file
-gave before is taken off the roll-ups, what it gives now is added. Unchanged files are neither read nor
-analysed again. Rows without ``file_id`` or ``version`` are not part of a feed and are passed over.
+one that came first. Late versions are dropped by key, before their contents are derived or moved. Each
+batch is compared with what is known of its own files only: what a file gave before is taken off the
+roll-ups, what it gives now is added. Unchanged files are neither read nor analysed again. Rows without ``file_id`` or ``version`` are not part of a feed and are passed over.
 
 Kept below one shared folder, a sub-folder a batch, written whole and never changed after:
 
@@ -50,6 +50,17 @@ def newest_versions(changes: DataFrame) -> DataFrame:
     )
 
 
+def newer_than(changes: DataFrame, known: DataFrame) -> DataFrame:
+    """The changes that no version in ``known`` stands against.
+
+    An anti join by key and version: Spark moves it below what derives the contents, so those of late versions never are."""
+    known = known.select(
+        F.col("file_id").alias("known_id"), F.col("version").alias("known_version"), F.col("deleted").alias("known_deleted"))
+    version, deleted = F.col("version"), F.coalesce("deleted", F.lit(False))
+    stands = (F.col("known_version") > version) | ((F.col("known_version") == version) & (F.col("known_deleted") >= deleted))
+    return changes.join(known, (F.col("file_id") == F.col("known_id")) & stands, "left_anti")
+
+
 @dataclass(frozen=True)
 class Corrected:
     """The state of a feed below ``folder``, which all executors share."""
@@ -80,26 +91,21 @@ class Corrected:
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         """Take in one batch; batches come with rising numbers."""
         before = self._read("figures", FIGURES_SCHEMA).filter(F.col("batch") < batch_id).drop("batch").withColumn("batch", F.lit(0))
-        newest = newest_versions(changes)
-        known = self._current(before.join(newest.select("file_id"), "file_id", "left_semi")).select(
-            "file_id", F.struct("version", "deleted").alias("known"))
-        fresh = (
-            newest.join(known, "file_id", "left")
-            .filter(F.col("known").isNull() | (F.struct("version", "deleted") > F.col("known")))
-            .drop("known")
-            .persist(StorageLevel.MEMORY_AND_DISK)  # read for the figures and for the facts
-        )
+        # the contents are needed by the facts alone and once: on disk they leave the memory to the facts and their sorts
+        fresh = newest_versions(newer_than(changes, before)).persist(StorageLevel.DISK_ONLY)
+        keys = fresh.select("file_id", "version", "deleted", "path").persist(StorageLevel.MEMORY_AND_DISK)
         analysis = Analysis(fresh.filter("NOT deleted").select("file_id", "path", "content"))
         try:
-            fresh.count()  # one job stores it
+            keys.count()  # one job stores both
             counts = analysis.file_counts.select("file_id", *(F.col(c).cast("long") for c in COUNTS), F.lit(True).alias("present"))
-            figures = fresh.select("file_id", "version", "deleted", "path").join(counts, "file_id", "left").select(
+            figures = keys.join(counts, "file_id", "left").select(
                 "file_id", "version", "deleted", F.coalesce("present", F.lit(False)).alias("present"), "path", *COUNTS)
             written = self._write(figures, "figures", batch_id)
             stored = self.spark.read.parquet(written)
             self._write(analysis.issues.join(stored.select("file_id", "version"), "file_id"), "issues", batch_id)
         finally:
             analysis.release()
+            keys.unpersist()
             fresh.unpersist()
         # small tables from here on: figures of the batch's files, then and now
         then = self._current(before.join(stored.select("file_id"), "file_id", "left_semi"))

@@ -6,10 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata.functions.text import bound
 from codestrata.operators.findings import ISSUE_COLUMNS
 from codestrata.plans.analysis import Analysis
 from codestrata.streaming import incremental
-from codestrata.streaming.corrections import CHANGES_SCHEMA, SUMS, Corrected, follow
+from codestrata.streaming.corrections import CHANGES_SCHEMA, SUMS, Corrected, follow, newer_than
 
 LINES = ("h := md5.New()", "// TODO: later", "value = 4711", 'password = "Tr0ub4dor-and-3"', "x := 1", "", "if a && b {", "}")
 
@@ -102,6 +103,47 @@ def test_a_batch_is_read_once(spark, feed, tmp_path):
     assert seen.value == 30
 
 
+def test_contents_are_derived_once_and_of_late_versions_never(spark, feed, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(content):
+        seen.add(1)
+        return content
+
+    def costly(versions):
+        rows = feed([(n, version, f"f{n}.go", f"x := {version}" + "0" * n, False) for n, version in versions])
+        return rows.select("file_id", "version", "path", bound(counted("content")).alias("content"), "deleted")
+
+    state = Corrected(spark, str(tmp_path / "state"))
+    state.apply(costly([(n, 3) for n in range(30)]), 0)
+    assert seen.value == 30
+    state.apply(costly([(n, 4 if n < 10 else 2) for n in range(30)]), 1)  # ten edits among late versions
+    assert seen.value == 40
+    state.apply(costly([(n, 1) for n in range(30)]), 2)
+    assert seen.value == 40
+    same_as_batch(spark, state, [(n, f"f{n}.go", f"x := {4 if n < 10 else 3}" + "0" * n) for n in range(30)])
+
+
+def test_contents_of_the_history_are_derived_after_late_versions_are_dropped(spark, tmp_path):
+    from codestrata.sources import derived
+    spark.createDataFrame([(n, "a b c d e f g h") for n in range(20)] + [(20, None)], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    changes = derived.file_changes(spark, str(tmp_path))
+    files = {r.file_id: (r.path, r.content) for r in derived.code_files(spark, str(tmp_path)).collect()}
+    drafted = lambda n: n % 10 in (2, 3, 4)
+    for r in changes.collect():
+        path, content = files[r.file_id]
+        assert r.path == ("moved/" + path if r.version == 3 and r.file_id % 10 == 1 else path)
+        assert r.content == (derived.FIRST_DRAFT + content if r.version < 3 and drafted(r.file_id) else content)
+        assert r.deleted == (r.version == 3 and r.file_id % 10 == 0)
+    known = changes.filter("arrival < 2").select("file_id", "version", "deleted").localCheckpoint()
+    left = newer_than(changes.filter("arrival = 2"), known)
+    nodes = re.findall(r"^[ :+-]*(Generate|Join)\b", left._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    assert nodes == ["Generate", "Join"], nodes  # the join stands below
+    assert left.count() == 0 and newer_than(changes, known.filter("version < 3")).filter("version < 3").count() == 6 + 3
+
+
 def test_only_the_files_of_an_arrival_are_derived(spark):
     from codestrata.sources import derived
     late = derived.file_changes(spark, "/root/testdata/sf0.001").filter("arrival = 2")
